@@ -20,9 +20,11 @@ def next_key_lookup(df: DataFrame, key: str, table: DataFrame, value: str, mode:
     known = table.select(F.col(key), F.struct(F.col(key).alias("k"), F.col(value).alias("v")).alias("__hit"))
     asked = df.select(key).filter(F.col(key).isNotNull()).distinct()
     slots = asked.join(known, key, "full_outer").groupBy(key).agg(F.min("__hit").alias("__hit"))
-    ahead = running(slots, [], [key], {"__next": ("min", F.col("__hit"))}, descending=True)
+    measures = {"__next": ("min", F.col("__hit"), "after")}
+    if mode == "nearest":
+        measures["__prev"] = ("max", F.col("__hit"))
+    ahead = running(slots, [], [key], measures)
     if mode == "nearest":
-        ahead = running(ahead, [], [key], {"__prev": ("max", F.col("__hit"))})
         closer = (F.col(key) - F.col("__prev.k")) < (F.col("__next.k") - F.col(key))
         fallback = F.when(F.col("__next").isNull() | closer, F.col("__prev.v")).otherwise(F.col("__next.v"))
     else:
@@ -39,8 +41,7 @@ def nearest_populated(df: DataFrame, axis: str, value: str, name: str, keys: Seq
     """
     mine = F.when(F.col(value).isNotNull(), F.struct(F.col(axis).alias("k"), F.col(value).alias("v")))
     both = df.withColumn("__own", mine)
-    both = running(both, keys, [axis], {"__prev": ("max", F.col("__own"))})
-    both = running(both, keys, [axis], {"__next": ("min", F.col("__own"))}, descending=True)
+    both = running(both, keys, [axis], {"__prev": ("max", F.col("__own")), "__next": ("min", F.col("__own"), "after")})
     before, after = F.col(axis) - F.col("__prev.k"), F.col("__next.k") - F.col(axis)
     picked = F.when(F.col("__next").isNull() | (before < after), F.col("__prev.v")).otherwise(F.col("__next.v"))
     return both.withColumn(name, F.coalesce(F.col(value), picked)).drop("__own", "__prev", "__next")
@@ -48,8 +49,7 @@ def nearest_populated(df: DataFrame, axis: str, value: str, name: str, keys: Seq
 
 def neighbours(df: DataFrame, axis: str, keys: Sequence[str] = ()) -> DataFrame:
     """Previous and next group on an ordered axis (one row per group)."""
-    both = running(df, keys, [axis], {"prev": ("max", F.col(axis))})
-    return running(both, keys, [axis], {"next": ("min", F.col(axis))}, descending=True)
+    return running(df, keys, [axis], {"prev": ("max", F.col(axis)), "next": ("min", F.col(axis), "after")})
 
 
 def mode_with_fallback(

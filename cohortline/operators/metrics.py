@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.distributions import student_t_p
 from cohortline.operators.rank import attach, pearson_expr, spearman
-from cohortline.operators.running import running
+from cohortline.operators.running import is_small, running, settle
 
 EPS = 1e-7
 
@@ -311,8 +311,15 @@ def score_counts(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()
     )
 
 
+def _scored(df: DataFrame, truth: str, score: str, keys: Sequence[str]) -> DataFrame:
+    """The columns an ordered metric reads, settled when they are derived and large."""
+    slim = df.select(*dict.fromkeys([*keys, truth, score]))
+    return slim if is_small(slim) else settle(slim)
+
+
 def roc_auc(df: DataFrame, truth: str, score: str, keys: Sequence[str] = (), name: str = "auc") -> DataFrame:
     """Exact ROC area with ties counted half; NULL where only one class occurs."""
+    df = _scored(df, truth, score, keys)
     walked = running(
         score_counts(df, truth, score, keys), keys, [score], {"neg_below": ("sum", F.col("neg"))},
         source=df.select(*keys, score),
@@ -325,6 +332,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, keys: Sequence[str] = (), nam
 
 def pr_curve(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Cumulative tp / fp at every distinct threshold, highest first."""
+    df = _scored(df, truth, score, keys)
     counts = score_counts(df, truth, score, keys)
     walked = running(
         counts, keys, [score], {"tp_above": ("sum", F.col("pos")), "fp_above": ("sum", F.col("neg"))},
@@ -344,6 +352,7 @@ def pr_curve(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) ->
 
 
 def average_precision(df: DataFrame, truth: str, score: str, keys: Sequence[str] = (), name: str = "auprc") -> DataFrame:
+    df = _scored(df, truth, score, keys)
     walked = running(
         score_counts(df, truth, score, keys), keys, [score],
         {"tp_above": ("sum", F.col("pos")), "fp_above": ("sum", F.col("neg"))},

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.running import is_small, running
+from cohortline.operators.running import is_small, running, settle
 
 
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -44,6 +44,8 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
     Ties are collapsed on the map side before anything is ordered, so a value
     shared by a third of all rows is one row here.
     """
+    if not is_small(df):
+        df = settle(df)
     counts = value_counts(df, keys, value, weight)
     ranked = running(
         counts,
@@ -59,6 +61,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "ra
     """Add the average-tie rank of ``value`` in its group; NULL stays NULL."""
     if is_small(df):
         return _window_rank(df, keys, value, name)
+    df = settle(df)
     table = tie_ranks(df, keys, value).select(*keys, value, F.col("rank_avg").alias(name))
     return attach(df, table, [*keys, value], "left")
 
@@ -99,6 +102,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rh
         return ranked.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n_pairs"), pearson_expr(F.col("rx"), F.col("ry")).alias(name)
         )
+    complete = settle(complete)
     pairs = complete.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
     rx = tie_ranks(complete, keys, "__x").select(*keys, "__x", F.col("rank_avg").alias("rx"))
     ry = tie_ranks(complete, keys, "__y").select(*keys, "__y", F.col("rank_avg").alias("ry"))
@@ -122,6 +126,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ``percentile`` keeps every distinct value of a group in one task; this form
     reads the two neighbouring order statistics off the running counts.
     """
+    df = df.select(*keys, value)
+    if not is_small(df):
+        df = settle(df)
     ranked = tie_ranks(df, keys, value).select(*keys, value, "n", "below")
     sizes = value_counts_total(df, keys, value)
     sized = attach(ranked, sizes, keys)

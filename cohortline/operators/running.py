@@ -20,6 +20,7 @@ The result does not depend on where the cuts fall; they only spread the work.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,15 +35,40 @@ MIN_CUTS = 4
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _leaf_bytes(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def is_small(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate says one task could hold the table.
+    """True when the tables below ``df`` are small enough for one task.
 
-    Like Spark's own broadcast decision this is an estimate made while planning.
-    It only chooses between a plain window and the sliced form; both are exact.
+    Like Spark's own broadcast decision this is an estimate made while planning
+    (the summed size of all scans, before any filter). It only chooses between a
+    plain window and the sliced form; both are exact.
     """
     limit = int(df.sparkSession.conf.get(SMALL_KEY, str(64 * 1024 * 1024)))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) < limit
+    return _leaf_bytes(df) < limit
+
+
+_SHUFFLING = re.compile(r"^[\s:+\-|]*(Join|Aggregate|Window|Sort|Repartition\w*)\b", re.MULTILINE)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a derived table before it is read several times.
+
+    Plain scans with projections and filters are cheaper to read again, and so
+    stay as they are. The folder is the cluster's ``spark.checkpoint.dir``;
+    where none is set the table is recomputed instead.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            return df
+        spark.sparkContext.setCheckpointDir(shared)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return df.checkpoint() if _SHUFFLING.search(plan) else df
 
 
 def _slices(spark: SparkSession) -> int:
@@ -106,49 +132,48 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    measures: Mapping[str, tuple[str, Column]],
+    measures: Mapping[str, tuple],
     descending: bool = False,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Exclusive running aggregates: for each row, over the rows before it in its group.
 
     ``measures`` maps a new column to ``(kind, column)`` with kind sum, max or
-    min. ``order`` must be unique inside a group (aggregate ties first). Sums
-    start at 0, max/min at NULL. ``descending`` walks from the largest row.
+    min; ``(kind, column, "after")`` looks at the rows behind instead. ``order``
+    must be unique inside a group (aggregate ties first). Sums start at 0,
+    max/min at NULL. ``descending`` walks from the largest row.
     """
     names = list(measures)
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    kind = {n: measures[n][0] for n in names}
+    backwards = {n: (len(measures[n]) > 2) != descending for n in names}
+
+    def frame(group: list[str], by: Sequence[str], back: bool):
+        columns = [F.col(c).desc() if back else F.col(c).asc() for c in by]
+        base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+        return base.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+
     if is_small(source if source is not None else df):
-        plain = (
-            (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-            .orderBy(*[direction(c) for c in order])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        whole = {n: _FOLDS[kind](col).over(plain) for n, (kind, col) in measures.items()}
-        return df.withColumns(
-            {n: F.coalesce(c, F.lit(0)) if measures[n][0] == "sum" else c for n, c in whole.items()}
-        )
+        whole = {n: _FOLDS[kind[n]](measures[n][1]).over(frame(list(keys), order, backwards[n])) for n in names}
+        return df.withColumns({n: F.coalesce(c, F.lit(0)) if kind[n] == "sum" else c for n, c in whole.items()})
+
+    if source is None:
+        df = settle(df)
+    columns = df.columns
     prepared = with_slices(df, keys, order, source)
     prepared = prepared.withColumns({f"__m_{n}": measures[n][1] for n in names})
-    inside = (
-        Window.partitionBy(*keys, "__slice")
-        .orderBy(*[direction(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = [*keys, "__slice"]
+    local = prepared.withColumns(
+        {f"__l_{n}": _FOLDS[kind[n]](f"__m_{n}").over(frame(inside, order, backwards[n])) for n in names}
     )
-    local = prepared.withColumns({f"__l_{n}": _FOLDS[measures[n][0]](f"__m_{n}").over(inside) for n in names})
-
     totals = (
         prepared.filter(F.size("__cuts") > 0)
-        .groupBy(*keys, "__slice")
-        .agg(*[_FOLDS[measures[n][0]](f"__m_{n}").alias(f"__t_{n}") for n in names])
+        .groupBy(*inside)
+        .agg(*[_FOLDS[kind[n]](f"__m_{n}").alias(f"__t_{n}") for n in names])
     )
-    between = (
-        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ).orderBy(direction("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.col("__slice").alias("__s"),
-        *[_FOLDS[measures[n][0]](f"__t_{n}").over(between).alias(f"__c_{n}") for n in names],
+        *[_FOLDS[kind[n]](f"__t_{n}").over(frame(list(keys), ["__slice"], backwards[n])).alias(f"__c_{n}") for n in names],
     )
     on = F.col("__slice") == F.col("__s")
     for i, k in enumerate(keys):
@@ -156,13 +181,12 @@ def running(
     joined = local.join(F.broadcast(carried), on, "left")
 
     def combined(name: str) -> Column:
-        kind = measures[name][0]
         here, carry = F.col(f"__l_{name}"), F.col(f"__c_{name}")
-        if kind == "sum":
+        if kind[name] == "sum":
             return F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        return (F.greatest if kind == "max" else F.least)(here, carry)
+        return (F.greatest if kind[name] == "max" else F.least)(here, carry)
 
-    return joined.select(*df.columns, *[combined(n).alias(n) for n in names])
+    return joined.select(*columns, *[combined(n).alias(n) for n in names])
 
 
 def row_positions(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.distributions import student_t_p, student_t_quantile
-from cohortline.operators.metrics import pearson
 from cohortline.operators.rank import attach, spearman
 
 
@@ -187,7 +186,3 @@ def feature_label_rho(df: DataFrame, features: Sequence[str], label: str) -> Dat
     return spearman(long, ["feature"], "v", "y")
 
 
-__all__ = [
-    "all_pairs", "demean", "feature_label_rho", "holm", "ols", "one_sample_t", "paired_t", "pearson",
-    "reference_dummies", "rho_comparison", "standardised", "welch_t", "within_slope", "within_subject_ols",
-]
