@@ -51,6 +51,17 @@ def is_small(df: DataFrame) -> bool:
     return _leaf_bytes(df) < limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan with heavy per-row work one task per shuffle partition.
+
+    A small file is one row group and so one task. Large scans already have
+    many splits and are left alone.
+    """
+    if not is_small(df):
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 _SHUFFLING = re.compile(r"^[\s:+\-|]*(Join|Aggregate|Window|Sort|Repartition\w*)\b", re.MULTILINE)
 
 

@@ -63,8 +63,8 @@ def minority_neighbours(df: DataFrame, row_id: str, features: Sequence[str], k:
         .applyInPandas(own_block, "id long, x array<double>, home int, first int, last int")
         .withColumn("block", F.explode(F.sequence("first", "last")))
     )
-    pairs = visits.select("home", "block").distinct()
-    refs = blocked.select("id", "x", "block").join(pairs, "block")
+    pairs = visits.select(F.col("home").alias("h"), F.col("block").alias("b")).distinct()
+    refs = blocked.select("id", "x", "block").join(pairs, F.col("block") == F.col("b")).select("h", "b", "id", "x")
 
     def visit(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -78,7 +78,7 @@ def minority_neighbours(df: DataFrame, row_id: str, features: Sequence[str], k:
         })
 
     found = (
-        visits.groupBy("home", "block").cogroup(refs.groupBy("home", "block"))
+        visits.groupBy("home", "block").cogroup(refs.groupBy("h", "b"))
         .applyInPandas(visit, "id long, neighbour long, distance double, y array<double>")
     )
     # At most k candidates per visited block and row.
