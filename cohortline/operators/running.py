@@ -32,6 +32,8 @@ SMALL_KEY = "spark.cohortline.slices.smallBytes"
 # A group is cut only when it holds this many cuts, that is about this many slices' rows.
 MIN_CUTS = 4
 
+WORTH_SPREADING = 512 * 1024
+
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -57,7 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is one row group and so one task. Large scans already have
     many splits and are left alone.
     """
-    if not is_small(df):
+    if _leaf_bytes(df) < WORTH_SPREADING or not is_small(df):
         return df
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
