@@ -63,7 +63,7 @@ def group_folds(df: DataFrame, group: str, k: int, method: str = "serpentine") -
         return pdf.assign(fold=fold)[[group, "n", "fold"]].astype({"fold": "int32"})
 
     schema = f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int"
-    return sizes.groupBy(F.lit(1)).applyInPandas(lightest, schema)
+    return sizes.withColumn("__all", F.lit("x")).groupBy("__all").applyInPandas(lightest, schema)
 
 
 def percentile_bin(df: DataFrame, row_id: str, value: str, bins: int, name: str = "bin") -> DataFrame:
