@@ -149,13 +149,13 @@ _BIN = "select id, cast(ntile(10) over (order by f1, id) - 1 as int) as bin from
 
 
 @query("strat_bins", with_views("surveys", f"""
-select id, bin, cast((row_number() over (partition by bin order by id) - 1) % 5 + 1 as int) as fold from ({_BIN})"""))
+select id, bin, cast((row_number() over (order by bin, id) - 1) % 5 + 1 as int) as fold from ({_BIN})"""))
 def strat_bins(spark, sf):
     return K.stratified_folds(surveys(spark, sf), "id", "f1", 5, bins=10)
 
 
 @query("strat_edges", with_views("surveys", """
-select id, bin, cast((row_number() over (partition by bin order by id) - 1) % 5 + 1 as int) as fold from
+select id, bin, cast((row_number() over (order by bin, id) - 1) % 5 + 1 as int) as fold from
 (select id, case when stress_d >= 4 then 2 when stress_d >= 2 then 1 else 0 end as bin from surveys where stress_d is not null)"""))
 def strat_edges(spark, sf):
     return K.stratified_folds(surveys(spark, sf), "id", "stress_d", 5, edges=[2.0, 4.0])
@@ -172,7 +172,7 @@ def group_fold(spark, sf):
 
 
 @query("strat_group_fold", with_views("surveys", """
-select snapshot_id, bin, cast((row_number() over (partition by bin order by snapshot_id) - 1) % 5 + 1 as int) as fold from
+select snapshot_id, bin, cast((row_number() over (order by bin, snapshot_id) - 1) % 5 + 1 as int) as fold from
 (select snapshot_id, cast(ntile(10) over (order by m, snapshot_id) - 1 as int) as bin from
  (select snapshot_id, avg(stress_d) as m from surveys group by snapshot_id) where m is not null)"""))
 def strat_group_fold(spark, sf):

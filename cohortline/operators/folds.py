@@ -91,7 +91,11 @@ def stratified_folds(
     edges: Sequence[float] | None = None,
     seed: int | None = None,
 ) -> DataFrame:
-    """Deal the rows of each bin round-robin over the folds: ``(row_id, bin, fold)``."""
+    """Deal the rows, bin after bin, round-robin over the folds: ``(row_id, bin, fold)``.
+
+    Dealing goes on where the last bin stopped, so both the folds and every
+    bin's share of them differ by at most one row.
+    """
     if bins is not None:
         binned = percentile_bin(df, row_id, value, bins)
     elif edges is not None:
@@ -99,7 +103,7 @@ def stratified_folds(
     else:
         raise ValueError("give bins or edges")
     base, by = _ordered(binned, [row_id], None, seed)
-    placed = row_positions(base, ["bin"], by)
+    placed = row_positions(base, [], ["bin", *by])
     return placed.select(row_id, "bin", (F.pmod("pos", F.lit(k)) + 1).cast("int").alias("fold"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
@@ -20,7 +20,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasElasticNetParam, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasRegParam
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,35 @@ _RENAMED = {
     "min_samples_leaf": "minInstancesPerNode", "max_iter": "maxIter", "random_state": "seed", "smoothing": "smoothing",
 }
 
+class ElasticNet(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasRegParam, HasElasticNetParam, DefaultParamsReadable, DefaultParamsWritable):
+    """Least squares with ``1/(2n) |y - Xb|^2 + alpha * (r |b|_1 + (1 - r)/2 |b|^2)``.
+
+    Spark divides the label by its standard deviation first, which shrinks the
+    squared penalty by that factor. The two parameters are converted so that
+    the objective above holds; the fitted model is Spark's own.
+    """
+
+    @keyword_only
+    def __init__(self, *, regParam=1.0, elasticNetParam=0.5):
+        super().__init__()
+        self._setDefault(regParam=1.0, elasticNetParam=0.5)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        label = self.getLabelCol()
+        spread_of_label = dataset.agg(F.stddev_pop(label)).first()[0] or 1.0
+        first = self.getRegParam() * self.getElasticNetParam()
+        second = self.getRegParam() * (1.0 - self.getElasticNetParam()) * spread_of_label
+        total = first + second
+        regression = LinearRegression(
+            featuresCol=self.getFeaturesCol(), labelCol=label, predictionCol=self.getPredictionCol(), standardization=False,
+            regParam=total, elasticNetParam=first / total if total > 0 else 0.0, maxIter=1000, tol=1e-10,
+        )
+        return regression.fit(dataset)
+
+
 _FACTORIES: dict[str, Callable[[], Estimator]] = {
-    "ElasticNet": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False, maxIter=1000, tol=1e-10),
+    "ElasticNet": lambda: ElasticNet(),
     "LinearRegression": lambda: LinearRegression(solver="normal", regParam=0.0),
     "RandomForestRegressor": lambda: RandomForestRegressor(seed=17),
     "RandomForestClassifier": lambda: RandomForestClassifier(seed=17),

@@ -82,6 +82,14 @@ def test_true_rank_bins(spark, both_forms):
     assert {r["id"]: r["bin"] for r in folds.percentile_bin(df, "id", "y", 2).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_stratified_folds_balance_small_bins(spark, both_forms):
+    df = spark.range(23).select("id", F.col("id").cast("double").alias("y"))
+    out = folds.stratified_folds(df, "id", "y", 4, bins=10)
+    for keys in (["fold"], ["bin", "fold"]):
+        sizes = out.groupBy(*keys).count().toPandas()["count"]
+        assert sizes.max() - sizes.min() <= 1
+
+
 def test_group_stratified_folds_keep_subjects_whole(spark, both_forms):
     df = spark.range(500).select("id", (F.col("id") % 31).alias("s"), (F.col("id") % 7).cast("double").alias("y"))
     out = folds.with_fold(df, folds.stratified_group_folds(df, "s", "y", 5, bins=3, seed=1), "s")
