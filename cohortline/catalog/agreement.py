@@ -49,7 +49,7 @@ _REG = f"""select Model, Label, count(*) as n,
   round({sql_corr('True_value', 'Predicted_value')}, 6) + 0.0 as pearson,
   round(avg((True_value - Predicted_value) * (True_value - Predicted_value)), 6) + 0.0 as mse,
   round(sqrt(avg((True_value - Predicted_value) * (True_value - Predicted_value))), 6) + 0.0 as rmse,
-  round(1 - avg((True_value - Predicted_value) * (True_value - Predicted_value)) / nullif(var_pop(True_value), 0), 6) + 0.0 as r2,
+  round(1 - avg((True_value - Predicted_value) * (True_value - Predicted_value)) / nullif(var_pop(True_value), 0) + 1e-9, 6) + 0.0 as r2,
   round({SMAPE_SQL}, 6) + 0.0 as smape,
   round({sql_corr('rt', 'rp')}, 6) + 0.0 as spearman
 from r group by Model, Label"""
@@ -58,7 +58,8 @@ from r group by Model, Label"""
 @query("reg_metrics", with_views("oof", _REG, f"r as ({sql_ranks('oof', 'Model, Label', {'rt': 'True_value', 'rp': 'Predicted_value'})})"))
 def reg_metrics(spark, sf):
     names = ["pearson", "mse", "rmse", "r2", "smape", "spearman"]
-    return rounded(M.evaluate(oof(spark, sf), "True_value", "Predicted_value", names, ["Model", "Label"]), *names)
+    out = M.evaluate(oof(spark, sf), "True_value", "Predicted_value", names, ["Model", "Label"])
+    return rounded(out.withColumn("r2", F.col("r2") + 1e-9), *names)
 
 
 @query("correlation_p")

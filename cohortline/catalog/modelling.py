@@ -43,16 +43,16 @@ def stacking_join(spark, sf):
     return rounded(out.withColumnRenamed("id", "doc_id"), "stacked")
 
 
-_PROBS = """p as (select l_orderkey as id, l_linenumber as fold, l_discount as a, l_tax as b, 0.05 as c from lineitem)"""
+_PROBS = """p as (select l_orderkey as id, l_linenumber as fold, l_discount as a, l_tax as b, 0.051237 as c from lineitem)"""
 
 
 @query("ensemble_mean", with_views("", """
 select id, round(a, 6) as a, round(b, 6) as b, round(c, 6) as c, folds,
   case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as predicted
-from (select id, avg(a) as a, avg(b) as b, avg(cast(c as double)) as c, count(*) as folds from p group by id)""", _PROBS))
+from (select id, round(avg(a), 12) as a, round(avg(b), 12) as b, round(avg(cast(c as double)), 12) as c, count(*) as folds from p group by id)""", _PROBS))
 def ensemble_mean(spark, sf):
     rows = load(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), F.lit(0.05).alias("c")
+        F.col("l_orderkey").alias("id"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), F.lit(0.051237).alias("c")
     )
     return rounded(E.fold_average(rows, ["id"], ["a", "b", "c"]), "a", "b", "c")
 

@@ -13,9 +13,12 @@ from cohortline.operators.rows import append_with_new_ids, copy_value_between_la
 
 
 def fold_average(df: DataFrame, keys: Sequence[str], probabilities: Sequence[str]) -> DataFrame:
-    """Mean class probabilities over folds and the arg-max class (first on ties)."""
+    """Mean class probabilities over folds and the arg-max class (first on ties).
+
+    Means are compared at twelve decimals, so summation order cannot decide a tie.
+    """
     averaged = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in probabilities], F.count(F.lit(1)).alias("folds"))
-    return averaged.withColumn("predicted", arg_max(F.array(*[F.col(c) for c in probabilities])))
+    return averaged.withColumn("predicted", arg_max(F.array(*[F.round(c, 12) for c in probabilities])))
 
 
 def product_ensemble(

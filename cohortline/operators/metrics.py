@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.distributions import student_t_p
-from cohortline.operators.rank import attach, pearson_expr, spearman
+from cohortline.operators.rank import attach, pearson_expr, spearman, varies
 from cohortline.operators.running import is_small, running, settle
 
 EPS = 1e-7
@@ -38,7 +38,7 @@ def mae(t: Column, p: Column) -> Column:
 def r2(t: Column, p: Column) -> Column:
     both = t.isNotNull() & p.isNotNull()
     tt = F.when(both, t)
-    return F.lit(1.0) - F.try_divide(mse(t, p), F.var_pop(tt))
+    return F.when(varies(tt), F.lit(1.0) - F.try_divide(mse(t, p), F.var_pop(tt)))
 
 
 def smape(t: Column, p: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.rank import attach, exact_quantiles, group_mode
+from cohortline.operators.rank import attach, exact_quantiles, group_mode, varies
 from cohortline.operators.rows import hash_order
 from cohortline.operators.running import row_positions
 
@@ -55,7 +55,8 @@ def fold_train_moments(df: DataFrame, fold: str, columns: Sequence[str]) -> Data
         lambda s, p: s + F.coalesce(p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")), F.lit(0.0)),
     )
     variance = F.try_divide(F.col("within") + between, F.col("n").cast("double"))
-    return withc.select(fold, "column", "n", "mean", F.sqrt(variance).alias("sd"), "low", "high")
+    sd = F.when(F.col("low") < F.col("high"), F.sqrt(variance)).when(F.col("low").isNotNull(), 0.0)
+    return withc.select(fold, "column", "n", "mean", sd.alias("sd"), "low", "high")
 
 
 def _stats_by_fold(moments: DataFrame, fold: str, columns: Sequence[str], stat: str) -> DataFrame:
@@ -166,7 +167,7 @@ class TrainScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsW
     def _fit(self, dataset: DataFrame) -> TrainScalerModel:
         columns, strategy = self.getInputCols(), self.getOrDefault(self.strategy)
         if strategy == "standardize":
-            one, two = F.avg, F.stddev_pop
+            one, two = F.avg, lambda c: F.when(varies(F.col(c)), F.stddev_pop(c))
         elif strategy == "min-max":
             one, two = F.min, F.max
         else:

@@ -74,16 +74,19 @@ def _window_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     return df.withColumn(name, F.when(known, rank))
 
 
-def guarded_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson r from moments; NULL where a side is constant."""
-    cov = sxy - sx * sy / n
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
+def varies(x: Column) -> Column:
+    """True where a group holds two different values.
+
+    Merged partial variances of a constant can differ from 0 by rounding, so
+    constancy is decided by minimum and maximum.
+    """
+    return F.min(x) < F.max(x)
 
 
 def pearson_expr(x: Column, y: Column) -> Column:
     """Pearson r as one aggregate; NULL on constant or single-row groups."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    ratio = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(varies(x) & varies(y), ratio)
 
 
 def _pair(value: str) -> Column:
@@ -108,16 +111,11 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rh
     ry = tie_ranks(complete, keys, "__y").select(*keys, "__y", F.col("rank_avg").alias("ry"))
     ranked = attach(attach(pairs, rx, [*keys, "__x"]), ry, [*keys, "__y"])
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
-    moments = ranked.groupBy(*keys).agg(
-        F.sum(w).alias("n_pairs"),
-        F.sum(w * a).alias("sx"),
-        F.sum(w * b).alias("sy"),
-        F.sum(w * a * a).alias("sxx"),
-        F.sum(w * b * b).alias("syy"),
-        F.sum(w * a * b).alias("sxy"),
-    )
-    rho = guarded_corr(*[F.col(c) for c in ("n_pairs", "sx", "sy", "sxx", "syy", "sxy")])
-    return moments.select(*keys, "n_pairs", rho.alias(name))
+    n, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * b)
+    cov = F.sum(w * a * b) - sx * sy / n
+    vx, vy = F.sum(w * a * a) - sx * sx / n, F.sum(w * b * b) - sy * sy / n
+    rho = F.when(varies(a) & varies(b), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    return ranked.groupBy(*keys).agg(n.alias("n_pairs"), rho.alias(name))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:

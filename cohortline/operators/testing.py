@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.distributions import student_t_p, student_t_quantile
-from cohortline.operators.rank import attach, spearman
+from cohortline.operators.rank import attach, spearman, varies
 
 
 def _t_columns(n: Column, mean: Column, sd: Column) -> tuple[Column, Column, Column]:
@@ -18,10 +18,16 @@ def _t_columns(n: Column, mean: Column, sd: Column) -> tuple[Column, Column, Col
     return F.try_divide(mean, se), (n - 1).cast("double"), se
 
 
+def _sd(value: str) -> Column:
+    """Sample sd; exactly 0 for a constant, NULL for a single value."""
+    sd = F.stddev_samp(value)
+    return F.when(varies(F.col(value)) | sd.isNull(), sd).otherwise(0.0)
+
+
 def one_sample_t(df: DataFrame, value: str, mu: float = 0.0, keys: Sequence[str] = (), p_value: bool = True) -> DataFrame:
     """t, degrees of freedom, mean difference, 95 % interval and p; nulls dropped."""
     m = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(value).alias("n"), (F.avg(value) - F.lit(mu)).alias("mean_diff"), F.stddev_samp(value).alias("sd_diff")
+        F.count(value).alias("n"), (F.avg(value) - F.lit(mu)).alias("mean_diff"), _sd(value).alias("sd_diff")
     )
     t, dof, se = _t_columns(F.col("n"), F.col("mean_diff"), F.col("sd_diff"))
     out = m.select(*keys, "n", "mean_diff", "sd_diff", t.alias("t"), dof.alias("df"))
@@ -124,7 +130,7 @@ def ols(df: DataFrame, label: str, features: Sequence[str], lost_df: int = 0) ->
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """z-scores (sample sd) of complete rows, for standardised coefficients."""
     complete = df.dropna(subset=list(columns))
-    stats = complete.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
+    stats = complete.agg(*[F.struct(F.avg(c).alias("m"), _sd(c).alias("s")).alias(c) for c in columns])
     cells = {c: stats.select(c).scalar() for c in columns}
     return complete.withColumns({c: F.try_divide(F.col(c) - cells[c]["m"], cells[c]["s"]) for c in columns})
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.scalar import pad_left
+from cohortline.operators.rank import varies
 from cohortline.operators.running import is_small, row_positions
 
 CHUNK_ROWS = 200_000
@@ -57,7 +58,7 @@ def sequences_with_label(
 def scale_sequences(df: DataFrame, steps: str, fit_on: DataFrame | None = None) -> DataFrame:
     """Standardise every feature over all rows and steps of the fitting rows."""
     cells = (fit_on if fit_on is not None else df).select(F.explode(steps).alias("step")).select(F.posexplode("step").alias("f", "v"))
-    stats = cells.groupBy("f").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stats = cells.groupBy("f").agg(F.avg("v").alias("m"), F.when(varies(F.col("v")), F.stddev_pop("v")).otherwise(0.0).alias("s"))
     table = stats.agg(F.sort_array(F.collect_list(F.struct("f", "m", "s"))).alias("stats")).scalar()
     with_stats = df.withColumn("__stats", table)
 

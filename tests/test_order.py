@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators.rank import average_rank, exact_quantiles, group_mode, spearman
+from cohortline.operators.rank import average_rank, exact_quantiles, group_mode, pearson_expr, spearman
 from cohortline.operators.running import ntile_of, row_positions, running, with_slices
 
 
@@ -98,3 +98,9 @@ def test_ntile(spark, n, k):
     got = [r[0] for r in df.select(ntile_of(F.col("id"), F.lit(n), k)).collect()]
     want = [r[0] - 1 for r in spark.sql(f"select ntile({k}) over (order by id) from range({n})").collect()]
     assert got == want
+
+
+def test_spearman_constant_over_many_partitions(spark, both_forms):
+    df = spark.range(0, 29996, 1, 7).select((F.col("id") * 0 + 4).cast("double").alias("x"), (F.col("id") % 1013).cast("double").alias("y"))
+    assert spearman(df, [], "x", "y").first()["rho"] is None
+    assert df.agg(pearson_expr(F.col("x") + 0.1, F.col("y"))).first()[0] is None
