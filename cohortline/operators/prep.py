@@ -66,7 +66,7 @@ def _stats_by_fold(moments: DataFrame, fold: str, columns: Sequence[str], stat:
 def impute_out_of_fold(df: DataFrame, fold: str, columns: Sequence[str]) -> DataFrame:
     """Fill nulls with the mean of the other folds' rows."""
     stats = _stats_by_fold(fold_train_moments(df, fold, columns), fold, columns, "mean")
-    joined = attach(df, stats, [fold])
+    joined = attach(df, stats, [fold], bounded=True)
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__mean_{c}")) for c in columns}).select(*df.columns)
 
 
@@ -76,7 +76,9 @@ def scale_out_of_fold(
     """Standardise (population sd) or min-max scale with the other folds' statistics."""
     moments = fold_train_moments(df, fold, columns)
     a, b = ("mean", "sd") if strategy == "standardize" else ("low", "high")
-    joined = attach(attach(df, _stats_by_fold(moments, fold, columns, a), [fold]), _stats_by_fold(moments, fold, columns, b), [fold])
+    joined = df
+    for stat in (a, b):
+        joined = attach(joined, _stats_by_fold(moments, fold, columns, stat), [fold], bounded=True)
 
     def scaled(c: str) -> Column:
         first, second = F.col(f"__{a}_{c}"), F.col(f"__{b}_{c}")

@@ -19,12 +19,17 @@ def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
     return on
 
 
-def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", bounded: bool = False) -> DataFrame:
     """Join ``table`` (one row per key) to ``df``; nulls in keys match each other.
 
     Left as an ordinary join on purpose: adaptive execution broadcasts the
     table when its measured size is small and splits hot keys when it is not.
+    ``bounded`` is for tables whose row count is fixed by an argument, such as
+    one row per fold; they are broadcast, so ``df`` is never shuffled on a
+    handful of keys.
     """
+    if bounded:
+        table = F.broadcast(table)
     if not keys:
         return df.withColumns({c: table.select(c).scalar() for c in table.columns})
     extra = [c for c in table.columns if c not in keys]
