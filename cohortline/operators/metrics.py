@@ -411,7 +411,7 @@ def correlation_with_p(df: DataFrame, truth: str, pred: str, keys: Sequence[str]
         base = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), pearson(F.col(truth), F.col(pred)).alias("r"))
     dof = (F.col("n_pairs") - 2).cast("double")
     t = F.col("r") * F.sqrt(F.try_divide(dof, F.lit(1.0) - F.col("r") * F.col("r")))
-    perfect = F.abs(F.col("r")) >= 1.0
+    perfect = F.abs(F.col("r")) >= 1.0 - 1e-14
     p = F.when(perfect & (dof > 0), F.lit(0.0)).otherwise(student_t_p(F.when(~perfect & (dof > 0), t), dof))
     return base.select(*keys, "n_pairs", "r", p.alias("p_value"))
 

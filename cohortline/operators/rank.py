@@ -119,7 +119,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rh
     n, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * b)
     cov = F.sum(w * a * b) - sx * sy / n
     vx, vy = F.sum(w * a * a) - sx * sx / n, F.sum(w * b * b) - sy * sy / n
-    rho = F.when(varies(a) & varies(b), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    rho = F.when(varies(a) & varies(b), F.try_divide(cov, F.sqrt(vx * vy)))
     return ranked.groupBy(*keys).agg(n.alias("n_pairs"), rho.alias(name))
 
 
