@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import packing, sharding, toxicity
+from cohortline.llm import decontamination, packing, sharding, toxicity
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,36 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+SQL["op3_decontamination"] = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents),
+b as (
+  select item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark),
+g as (
+  select distinct item_id, least(len(w), 10) as span, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as gram
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+p as (
+  select r, span, i, array_to_string(w[i:i + span - 1], ' ') as gram
+  from (select r, w, span, unnest(range(1, len(w) - span + 2)) as i from d, (select distinct span from g) where len(w) >= span)),
+h as (select p.r, p.i, p.span, g.item_id from p join g on p.span = g.span and p.gram = g.gram),
+n as (select r, count(distinct k) as n_hit from (select distinct r, unnest(range(i, i + span)) as k from h) group by r),
+m as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+  from h group by r)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join m using (r)
+"""

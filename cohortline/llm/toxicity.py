@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from cohortline.llm.common import text_batches
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 8000
 SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 REMEMBERED = 1_000_000
@@ -44,10 +44,10 @@ _EDGES = b"\"'()[]{}<>.,;:!?*#$%&+-=_/\\|~^`@"
 @dataclass(frozen=True)
 class Shape:
     buckets: int = 1 << 17
-    dim: int = 12
+    dim: int = 8
     shortest: int = 3
-    longest: int = 6
-    epochs: int = 12
+    longest: int = 5
+    epochs: int = 6
     rate: float = 0.5
     batch: int = 32
     seed: int = 7
