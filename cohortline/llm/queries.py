@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import decontamination, packing, sharding, toxicity
+from cohortline.llm import decontamination, packing, secret_scan, sharding, toxicity
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,48 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n using (r) left join m using (r)
 """
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(load(spark, sf_dir, "documents"))
+
+
+SQL["op7_secret_scan"] = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+k as (select * from (values (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'key'), (4, 'endpoint')) as v(kind, name)),
+m as (
+  select r, 0 as kind, regexp_split_to_array(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as gaps,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as hits from d
+  union all select r, 1, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') from d
+  union all select r, 2, regexp_split_to_array(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') from d
+  union all select r, 3, regexp_split_to_array(t, '[A-Za-z0-9+/]{32,}'), regexp_extract_all(t, '[A-Za-z0-9+/]{32,}') from d
+  union all select r, 4, regexp_split_to_array(t, 'https?://[^\x00-\x20"''<>]+'), regexp_extract_all(t, 'https?://[^\x00-\x20"''<>]+') from d),
+u as (select r, kind, unnest(range(1, len(hits) + 1)) as i, gaps, hits from m),
+l as (select r, kind, i, length(gaps[i]) as gap, hits[i] as hit from u),
+p as (
+  select r, kind, hit, sum(gap + length(hit)) over (partition by r, kind order by i) - length(hit) as s,
+    sum(gap + length(hit)) over (partition by r, kind order by i) as e from l),
+f as (
+  select * from p
+  where case kind
+    when 0 then length(regexp_extract(hit, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 6
+    when 1 then length(hit) >= 20
+    when 3 then regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Z]') and regexp_matches(hit, '[a-z]')
+    else true end),
+x as (
+  select r, kind, s, e from f where kind <= 2
+  union all
+  select w.r, w.kind, w.s, w.e from f w join f o on w.r = o.r and abs(w.s - o.s) <= 400 and o.kind <= 3 where w.kind >= 3
+  group by w.r, w.kind, w.s, w.e
+  having bool_or(o.kind = 1) and (w.kind = 3 or bool_or(o.kind <> 1))),
+g as (
+  select r, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    count(*) filter (kind = 3) as n_key, count(*) filter (kind = 4) as n_endpoint,
+    string_agg(name || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, kind) filter (kind <= 2) as base,
+    string_agg(name || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, kind) as spans
+  from x join k using (kind) group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_key, 0) as n_key, coalesce(n_endpoint, 0) as n_endpoint
+from d left join g using (r)
+"""
