@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import decontamination, packing, secret_scan, sharding, toxicity
+from cohortline.llm import decontamination, packing, secret_scan, sharding, toxicity, warc
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,48 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_key, 0) as n_key, coalesce(n_endpoint, 0) as n_endpoint
 from d left join g using (r)
 """
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest columns of the derived records of all pages; the blocks themselves are reported by digest and length."""
+    return warc.derive(warc.responses(load(spark, sf_dir, "pages"))).drop("block")
+
+
+SQL["op5_warc"] = r"""
+with s as (select page_id, coalesce(url, '') as uri, coalesce(html, '') as payload from pages),
+r as (
+  select *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
+      || octet_length(encode(payload)) || chr(13) || chr(10) || chr(13) || chr(10) as source_headers,
+    'sha1:' || sha1(payload) as source_digest,
+    md5('response' || chr(10) || coalesce(cast(page_id as varchar), '') || chr(10) || uri || chr(10) || 'sha1:' || sha1(payload)) as h
+  from s),
+t1 as (
+  select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
+      '(?is)<!--.*?(?:-->|\z)|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?(?:</(?:script|style|noscript|template|head)\s*>|\z)', ' ', 'g'),
+      '[\r\n\t ]+', ' ', 'g'),
+      '(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|form)(?:[\s/][^>]*)?>', chr(10), 'g'),
+      '(?s)</?[a-zA-Z][^>]*(?:>|\z)|<![^>]*(?:>|\z)', '', 'g') as t
+  from r),
+t2 as (
+  select * exclude (t), replace(replace(replace(replace(replace(replace(replace(replace(t,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as t
+  from t1),
+t3 as (
+  select * exclude (t), regexp_replace(regexp_replace(regexp_replace(t, '[ ]+', ' ', 'g'), '[ ]*\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g') as t
+  from t2),
+b as (
+  select *, 'metadata' as record_type, 'application/warc-fields' as content_type,
+    'source-digest: ' || source_digest || chr(13) || chr(10) || 'source-content-length: ' || octet_length(encode(payload)) || chr(13) || chr(10)
+      || 'text-length: ' || length(t) || chr(13) || chr(10) as block
+  from t3
+  union all
+  select *, 'conversion', 'text/plain; charset=utf-8', t from t3),
+u as (
+  select *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as refers_to from b),
+v as (select *, md5(record_type || chr(10) || refers_to) as g from u)
+select page_id, record_type, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] || '>' as record_id,
+  refers_to, uri as target_uri, content_type, source_headers, source_digest, 'sha1:' || sha1(block) as block_digest,
+  case when record_type = 'conversion' then 'sha1:' || sha1(block) end as payload_digest, octet_length(encode(block)) as content_length
+from v
+"""
