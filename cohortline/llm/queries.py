@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import decontamination, packing, secret_scan, sharding, toxicity, warc
+from cohortline.llm import decontamination, html_extract, packing, secret_scan, sharding, toxicity, warc
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,8 @@ select page_id, record_type, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' ||
   case when record_type = 'conversion' then 'sha1:' || sha1(block) end as payload_digest, octet_length(encode(block)) as content_length
 from v
 """
+
+
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages"))
