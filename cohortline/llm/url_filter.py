@@ -87,7 +87,7 @@ def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
     for end in range(1, len(name) + 1):
         options = []
         for start in range(max(0, end - LONGEST_WORD), end):
-            n = counts.get(name[start:end], 0)
+            n = counts.get(name[start:end], 0) or (1 + total // 100_000) * (name[start:end] in SEED_BLOCKED)
             cost = base - math.log(n) if n else base + (end - start) * math.log(10)
             options.append((best[start][0] + cost, start))
         best.append(min(options))
