@@ -1,8 +1,9 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax.
 
 A word is the mean of the vectors of its hashed character n-grams (and of the
-whole word), a text is the mean of its words, and a two-class softmax reads the
-text's vector. Embeddings and softmax are trained jointly, in numpy, on a sample
+whole word), a text is the mean of its words and of a few empty ones (``padding``,
+so that two words don't decide alone), and a two-class softmax reads the text's
+vector. Embeddings and softmax are trained jointly, in numpy, on a sample
 of labelled rows. Misspelt and unseen words share the n-grams of known ones.
 
 Fixed by parameters, whatever the size of the tables: the number of sampled rows
@@ -47,6 +48,7 @@ class Shape:
     dim: int = 8
     shortest: int = 3
     longest: int = 5
+    padding: int = 10
     epochs: int = 6
     rate: float = 0.5
     batch: int = 32
@@ -55,7 +57,7 @@ class Shape:
 
 @dataclass(frozen=True)
 class Model:
-    """Log odds of a text: ``intercept`` plus the mean over its words of the mean bucket weight."""
+    """Log odds of a text: ``intercept`` plus the (padded) mean over its words of the mean bucket weight."""
 
     shape: Shape
     weights: np.ndarray
@@ -83,7 +85,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _bag(text: str | None, known: dict, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares, which sum to 1; never more entries than buckets."""
+    """Buckets of a text and their shares of its mean; never more entries than buckets."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -96,7 +98,7 @@ def _bag(text: str | None, known: dict, shape: Shape) -> tuple[np.ndarray, np.nd
             ids = known[w] = np.array(subwords(w, shape), np.int32)
         parts.append(ids)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    share = np.bincount(np.concatenate(parts), np.repeat(1 / (sizes * len(parts)), sizes), shape.buckets)
+    share = np.bincount(np.concatenate(parts), np.repeat(1 / (sizes * (len(parts) + shape.padding)), sizes), shape.buckets)
     ids = np.flatnonzero(share)
     return ids.astype(np.int32), share[ids].astype(np.float32)
 
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             raw = np.empty(b.num_rows)
             for i, t in enumerate(b.column(at).to_pylist()):
                 words = words_of(t)
-                raw[i] = m.intercept + (sum(map(worth.__getitem__, words)) / len(words) if words else 0.0)
+                raw[i] = m.intercept + sum(map(worth.__getitem__, words)) / max(1, len(words) + m.shape.padding)
             if len(worth) > REMEMBERED:
                 worth.clear()
             p = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
