@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import decontamination, html_extract, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
+from cohortline.llm import ann, decontamination, html_extract, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
+@query
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(load(spark, sf_dir, "embeddings"))
