@@ -123,7 +123,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: s
         keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__text": F.xxhash64("text")})
         hit = hits(keyed.select("__id", "__text", "text"), benchmark, window, ("__id", "__text")).filter(F.size("found") > 0)
         return keyed.join(hit.select("__id", "__text").distinct(), ["__id", "__text"], "left_anti").select(*docs.columns)
-    found = hits(docs, benchmark, window, tuple(docs.columns))
+    # The row travels as one struct, so that its columns' names can't meet those used here.
+    found = hits(docs.select(F.struct("*").alias("__doc"), "text"), benchmark, window, ("__doc", "text"))
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).*?{_WORD}"), F.lit(0))
     tail = F.regexp_replace("text", f"(?s)^.*{_WORD}", "")
     # Spans are merged first, so that a word asks only a few of them.
@@ -141,7 +142,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: s
     found = found.withColumn("__merged", F.when(F.size("found") > 0, merged))
     left = F.filter(pieces, lambda _, i: ~F.exists("__merged", lambda s: (i >= s["pos"]) & (i < s["pos"] + s["span"])))
     text = F.when(F.size("found") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    doc = F.col("__doc").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        doc = doc.withField("n_chars", F.when(F.size("found") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__doc.n_chars")))
+    return found.select(doc.alias("__doc")).select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])

@@ -152,14 +152,14 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
                 last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(a, F.array(x))),
     )
-    joined = keyed.join(by_text.select("__id", "__text", merged.alias("m")), ["__id", "__text"], "left")
-    before = F.transform("m", lambda x, i: F.concat(
-        F.expr("text").substr(F.coalesce(F.get("m", i - 1)["end"], F.lit(0)).cast("int") + 1,
-                              (x["start"] - F.coalesce(F.get("m", i - 1)["end"], F.lit(0))).cast("int")),
+    joined = keyed.join(by_text.select("__id", "__text", merged.alias("__m")), ["__id", "__text"], "left")
+    before = F.transform("__m", lambda x, i: F.concat(
+        F.expr("text").substr(F.coalesce(F.get("__m", i - 1)["end"], F.lit(0)).cast("int") + 1,
+                              (x["start"] - F.coalesce(F.get("__m", i - 1)["end"], F.lit(0))).cast("int")),
         F.lit(mask),
     ))
-    rest = F.expr("substring(text, int(element_at(m, -1).end) + 1)")
-    out = joined.withColumn("text", F.when(F.col("m").isNotNull(), F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
+    rest = F.expr("substring(text, int(element_at(__m, -1).end) + 1)")
+    out = joined.withColumn("text", F.when(F.col("__m").isNotNull(), F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("m").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__m").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
