@@ -262,14 +262,16 @@ def oof_linear(spark, sf):
     )
 
 
-@query("oof_once", with_views("", "select count(*) as n, count(*) as ids from lineitem"))
+@query("oof_once", with_views("", "select count(*) as n, count(distinct o_orderkey) as ids, 1 as most from orders"))
 def oof_once(spark, sf):
     """A forest's out-of-fold table holds every row once."""
-    df = _regression_rows(spark, sf)
-    stages = L.preparation(["price", "l_discount", "l_tax"])
-    run = L.cross_validate(df, "fold", range(1, 6), "id", "y", stages, "RandomForestRegressor", {"n_estimators": 5, "max_depth": 4})
+    df = load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") % 7).cast("double").alias("a"),
+        F.month("o_orderdate").cast("double").alias("b"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("fold"),
+    )
+    run = L.cross_validate(df, "fold", range(1, 6), "id", "y", L.preparation(["a", "b"]), "RandomForestRegressor", {"n_estimators": 5, "max_depth": 4})
     keyed = run.predictions.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    return keyed.agg(F.sum("c").alias("n"), F.sum("c").alias("ids"))
+    return keyed.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("ids"), F.max("c").alias("most"))
 
 
 @query("nested_elastic_net")
@@ -384,5 +386,5 @@ def text_naive_bayes(spark, sf):
 
     docs = load(spark, sf, "documents").select("doc_id", "text").join(load(spark, sf, "labels"), "doc_id")
     df = spread(docs).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), words(F.lower("text")).alias("words"), (F.col("doc_id") % 3 + 1).cast("int").alias("fold"))
-    run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.text_block("words", "features", use_idf=False), "MultinomialNB", classes=["bad", "good"])
+    run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.text_block("words", "features", 1 << 20, use_idf=False), "MultinomialNB", classes=["bad", "good"])
     return rounded(evaluate(run.predictions, "True_value", "Predicted_value", ["accuracy", "f1_weighted"], ["fold"]), "accuracy", "f1_weighted")

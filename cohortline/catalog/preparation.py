@@ -218,25 +218,25 @@ _INDEX = r"""tk as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L
 ix as (select word, c, cast(row_number() over (order by c desc, word) as int) as idx from (select word, count(*) as c from tk group by word))"""
 
 
-@query("word_index", with_views("", "select word, c, idx from ix where idx < 40000", _INDEX))
+@query("word_index", with_views("", "select word, c, idx from ix", _INDEX))
 def word_index(spark, sf):
-    return X.word_index(load(spark, sf, "documents"), "text")
+    return X.word_index(load(spark, sf, "documents"), "text", None)
 
 
 @query("word_ids", with_views("", "select d.doc_id, " + ", ".join(f"coalesce(max(case when k = {i + 1} then idx end), 0) as id_{i}" for i in range(12)) + """
-from documents d left join (select doc_id, idx, row_number() over (partition by doc_id order by pos) as k from tk join ix on tk.word = ix.word where idx < 2000) t
+from documents d left join (select doc_id, idx, row_number() over (partition by doc_id order by pos) as k from tk join ix on tk.word = ix.word) t
 on d.doc_id = t.doc_id group by d.doc_id""", _INDEX))
 def word_ids(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    ids = X.word_id_sequences(docs, "doc_id", "text", X.word_index(docs, "text", 2000), 12)
+    ids = X.word_id_sequences(docs, "doc_id", "text", X.word_index(docs, "text", None), 12)
     return ids.select("doc_id", *[F.get("ids", F.lit(i)).alias(f"id_{i}") for i in range(12)])
 
 
 @query("word_vectors", with_views("", """
-select ix.word, ix.idx, """ + ", ".join(f"coalesce(cast(e.embedding[{i + 1}] as double), 0.0) as v_{i}" for i in range(4)) + """
-from ix left join embeddings e on e.vec_id = ix.idx where ix.idx < 40000""", _INDEX))
+select ix.word, ix.idx, """ + ", ".join(f"coalesce(cast(e.embedding[{i + 1}] as double), 0.0) as v_{i}" for i in range(64)) + """
+from ix left join embeddings e on e.vec_id = ix.idx""", _INDEX))
 def word_vectors(spark, sf):
-    index = X.word_index(load(spark, sf, "documents"), "text").select("word", "idx", F.col("idx").cast("long").alias("vec"))
+    index = X.word_index(load(spark, sf, "documents"), "text", None).select("word", "idx", F.col("idx").cast("long").alias("vec"))
     vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
     out = X.word_vectors(index, "vec", vectors, "vec_id", "embedding", 64)
-    return out.select("word", "idx", *[F.get("vector", F.lit(i)).alias(f"v_{i}") for i in range(4)])
+    return out.select("word", "idx", *[F.get("vector", F.lit(i)).alias(f"v_{i}") for i in range(64)])

@@ -13,6 +13,7 @@ from cohortline.operators import ensemble as E
 from cohortline.operators import rows as R
 from cohortline.operators import summary as D
 from cohortline.operators.folds import folds_from_wide
+from cohortline.operators.rank import attach
 
 KEYS = ["snapshot_id", "Model", "Label"]
 MODELS = ["ElasticNet", "MLP", "RandomForestRegressor"]
@@ -25,7 +26,7 @@ from surveys s left join daily_summary d on s.snapshot_id = d.snapshot_id and s.
 join demographics g on s.snapshot_id = g.snapshot_id"""))
 def covariate_join(spark, sf):
     s = surveys(spark, sf).select("id", "snapshot_id", "survey_date", "stress_d")
-    joined = s.join(daily_summary(spark, sf), ["snapshot_id", "survey_date"], "left").join(demographics(spark, sf), "snapshot_id")
+    joined = attach(attach(s, daily_summary(spark, sf), ["snapshot_id", "survey_date"], "left"), demographics(spark, sf), ["snapshot_id"])
     return rounded(joined.drop("survey_date"), "avg_stress", "age")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +11,6 @@ from cohortline.operators.rank import attach
 from cohortline.operators.rows import hash_order
 from cohortline.operators.running import ntile_of, row_positions
 
-GREEDY_LIMIT = 1_000_000
-
 
 def _ordered(df: DataFrame, ids: Sequence[str], order: Sequence[str] | None, seed: int | None) -> tuple[DataFrame, list[str]]:
     if order is not None:
@@ -36,34 +33,14 @@ def _serpentine(pos: Column, k: int) -> Column:
     return (F.when(lap % 2 == 0, step).otherwise(k - 1 - step) + 1).cast("int")
 
 
-def group_folds(df: DataFrame, group: str, k: int, method: str = "serpentine") -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """Whole groups per fold with balanced row counts: ``(group, n, fold)``.
 
-    ``serpentine`` deals groups by size rank back and forth and scales with the
-    number of groups. ``greedy`` always adds to the lightest fold; that is
-    sequential, so it is limited to ``GREEDY_LIMIT`` groups and refuses more.
+    Groups are dealt by size rank, back and forth, however many there are.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if method == "serpentine":
-        placed = row_positions(sizes.withColumn("__rank", -F.col("n")), [], ["__rank", group])
-        return placed.select(group, "n", _serpentine(F.col("pos"), k).alias("fold"))
-    if method != "greedy":
-        raise ValueError("method is 'serpentine' or 'greedy'")
-    n_groups = sizes.count()
-    if n_groups > GREEDY_LIMIT:
-        raise ValueError(f"{n_groups} groups: use method='serpentine' beyond {GREEDY_LIMIT}")
-
-    def lightest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", group], ascending=[False, True])
-        load, fold = [0] * k, []
-        for n in pdf["n"]:
-            target = load.index(min(load))
-            load[target] += int(n)
-            fold.append(target + 1)
-        return pdf.assign(fold=fold)[[group, "n", "fold"]].astype({"fold": "int32"})
-
-    schema = f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int"
-    return sizes.withColumn("__all", F.lit("x")).groupBy("__all").applyInPandas(lightest, schema)
+    placed = row_positions(sizes.withColumn("__rank", -F.col("n")), [], ["__rank", group])
+    return placed.select(group, "n", _serpentine(F.col("pos"), k).alias("fold"))
 
 
 def percentile_bin(df: DataFrame, row_id: str, value: str, bins: int, name: str = "bin") -> DataFrame:

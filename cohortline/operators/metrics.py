@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.distributions import student_t_p
 from cohortline.operators.rank import attach, pearson_expr, spearman, varies
-from cohortline.operators.running import is_small, running, settle
+from cohortline.operators.running import running, settle
 
 EPS = 1e-7
 
@@ -312,9 +312,8 @@ def score_counts(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()
 
 
 def _scored(df: DataFrame, truth: str, score: str, keys: Sequence[str]) -> DataFrame:
-    """The columns an ordered metric reads, settled when they are derived and large."""
-    slim = df.select(*dict.fromkeys([*keys, truth, score]))
-    return slim if is_small(slim) else settle(slim)
+    """The columns an ordered metric reads, settled when they are derived."""
+    return settle(df.select(*dict.fromkeys([*keys, truth, score])))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, keys: Sequence[str] = (), name: str = "auc") -> DataFrame:
@@ -482,26 +481,29 @@ def get_metric(name: str) -> Metric:
 
 
 def default_metric(task: str) -> str:
-    return {"regression": "mse", "binary": "roc_auc", "multiclass": "roc_auc"}[task]
+    return {"regression": "mse", "binary": "roc_auc", "multiclass": "f1_macro"}[task]
 
 
 def evaluate(
     df: DataFrame,
     truth: str,
     pred: str,
-    metrics: Sequence[str | tuple[str, Callable[[Column, Column], Column]]],
+    metrics: Sequence[str | tuple[str, Metric]],
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """One row per group with every requested metric and the row count.
 
-    A metric is a registry name or ``(name, f(truth, pred) -> aggregate column)``.
+    A metric is a registry name or ``(name, Metric)``, whose direction is stated, so
+    that a tuned error is not taken for a score.
     """
     plain, tables, order = [F.count(F.lit(1)).alias("n")], [], []
     for item in metrics:
         if isinstance(item, str):
             metric, name = get_metric(item), item
         else:
-            metric, name = Metric("max", item[1]), item[0]
+            name, metric = item
+            if not isinstance(metric, Metric):
+                raise TypeError(f"give {name!r} as a Metric with its direction")
         order.append(name)
         if metric.expr is not None:
             plain.append((metric.expr(F.col(truth), F.col(pred)) * F.lit(metric.sign)).alias(name))

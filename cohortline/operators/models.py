@@ -98,12 +98,14 @@ def make_estimator(model: str | Callable[..., Estimator], label: str, params: Ma
             raise KeyError(f"unknown model {model!r}; one of {', '.join(_FACTORIES)}")
         estimator = _FACTORIES[model]()
         if "max_depth" in params:
-            params["max_depth"] = min(params["max_depth"] or MAX_TREE_DEPTH, MAX_TREE_DEPTH)
+            params["max_depth"] = params["max_depth"] or MAX_TREE_DEPTH
+            if params["max_depth"] > MAX_TREE_DEPTH:
+                raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep, not {params['max_depth']}; None asks for that depth")
         estimator._set(**{_RENAMED.get(k, k): v for k, v in params.items()})
     return estimator._set(featuresCol=FEATURES, labelCol=label)
 
 
-def text_block(column: str, out: str, min_df: float = 0.01, cap: int = 1 << 18, use_idf: bool = True) -> list[Estimator]:
+def text_block(column: str, out: str, cap: int, min_df: float = 1.0, use_idf: bool = True) -> list[Estimator]:
     """Pipeline stages from a word-array column to (TF-IDF) vectors."""
     counts = CountVectorizer(inputCol=column, outputCol=f"{out}_tf" if use_idf else out, minDF=min_df, vocabSize=cap)
     if not use_idf:
@@ -249,8 +251,9 @@ def score_side_by_side(rows: DataFrame, models: Mapping[int, Model], keep: Seque
         out = fitted.transform(out)
 
     def guess(i: int) -> Column:
-        if score and f"__q{i}" in out.columns:
-            return F.get(vector_to_array(f"__q{i}"), F.lit(1))
+        for made in (f"__q{i}", f"__r{i}") if score else ():  # without probabilities, decision values rank just as well
+            if made in out.columns:
+                return F.get(vector_to_array(made), F.lit(1))
         return F.col(f"__p{i}")
 
     cells = F.array(*[F.struct(F.lit(i).alias("set"), guess(i).alias("p")) for i in models])

@@ -220,7 +220,7 @@ def one_hot(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": F.when(F.col(column) == F.lit(v), 1).otherwise(0) for v in values})
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 1000) -> list[object]:
+def distinct_values(df: DataFrame, column: str, limit: int) -> list[object]:
     """Sorted distinct values for ``one_hot``; refuses more than ``limit`` new columns."""
     rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.running import is_small, running, settle
+from cohortline.operators.running import running, settle
 
 
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -31,7 +31,8 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     if bounded:
         table = F.broadcast(table)
     if not keys:
-        return df.withColumns({c: table.select(c).scalar() for c in table.columns})
+        one = table.select(F.struct(*table.columns).alias("__one")).scalar()  # one subquery for all columns
+        return df.withColumn("__one", one).select("*", *[F.col("__one").getField(c).alias(c) for c in table.columns]).drop("__one")
     extra = [c for c in table.columns if c not in keys]
     joined = df.alias("a").join(table.alias("b"), null_safe("a", "b", keys), how)
     return joined.select("a.*", *[F.col(f"b.{c}") for c in extra])
@@ -49,8 +50,7 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
     Ties are collapsed on the map side before anything is ordered, so a value
     shared by a third of all rows is one row here.
     """
-    if not is_small(df):
-        df = settle(df)
+    df = settle(df)
     counts = value_counts(df, keys, value, weight)
     ranked = running(
         counts,
@@ -64,21 +64,11 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank_avg") -> DataFrame:
     """Add the average-tie rank of ``value`` in its group; NULL stays NULL."""
-    if is_small(df):
-        return _window_rank(df, keys, value, name)
     df = settle(df)
     table = tie_ranks(df, keys, value).select(*keys, value, F.col("rank_avg").alias(name))
     return attach(df, table, [*keys, value], "left")
 
 
-def _window_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    known = F.col(value).isNotNull()
-    group = Window.partitionBy(*keys, known.cast("int"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(group.orderBy(value)) + (ties - 1) / F.lit(2.0)
-    return df.withColumn(name, F.when(known, rank))
-
-
 def varies(x: Column) -> Column:
     """True where a group holds two different values.
 
@@ -101,15 +91,10 @@ def _pair(value: str) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rho") -> DataFrame:
     """Spearman rho per group on pairwise complete rows.
 
-    Large tables collapse to distinct (x, y) pairs first; both rank tables come
+    Rows collapse to distinct (x, y) pairs first; both rank tables come
     from value counts, and rank moments are summed with the counts as weights.
     """
     complete = df.select(*keys, _pair(x).alias("__x"), _pair(y).alias("__y")).dropna(subset=["__x", "__y"])
-    if is_small(complete):
-        ranked = _window_rank(_window_rank(complete, keys, "__x", "rx"), keys, "__y", "ry")
-        return ranked.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_pairs"), pearson_expr(F.col("rx"), F.col("ry")).alias(name)
-        )
     complete = settle(complete)
     pairs = complete.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
     rx = tie_ranks(complete, keys, "__x").select(*keys, "__x", F.col("rank_avg").alias("rx"))
@@ -130,8 +115,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     reads the two neighbouring order statistics off the running counts.
     """
     df = df.select(*keys, value)
-    if not is_small(df):
-        df = settle(df)
+    df = settle(df)
     ranked = tie_ranks(df, keys, value).select(*keys, value, "n", "below")
     sizes = value_counts_total(df, keys, value)
     sized = attach(ranked, sizes, keys)

@@ -6,10 +6,11 @@ ROC curves, medians, label shuffles and fold numbers all need an ordered pass,
 so they share the one operator below, which never needs a task larger than a
 slice of a group:
 
-1. Cut points: a hash-selected sample of the order values. About ``slices`` of
-   them exist in the whole table, so a group gets cuts in proportion to its
-   size and ordinary groups get none. The selection depends on values only, so
-   a recomputed task sees the same cuts.
+1. Cut points: a hash-selected sample of the order values, one for about
+   ``ROWS_PER_SLICE`` rows, so a group gets cuts in proportion to its size and
+   groups below that size mostly none. Beyond ``MAX_CUTS`` of them in the whole
+   table slices grow instead, which bounds what is broadcast. The selection
+   depends on values only, so a recomputed task sees the same cuts.
 2. Every row finds its slice by binary search in its group's cuts.
 3. One window per (group, slice).
 4. Slice totals exist only for groups with cuts (at most twice the number of
@@ -23,44 +24,22 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES_KEY = "spark.cohortline.slices.count"
-SMALL_KEY = "spark.cohortline.slices.smallBytes"
+ROWS_KEY = "spark.cohortline.slices.rows"
 
-# A group is cut only when it holds this many cuts, that is about this many slices' rows.
-MIN_CUTS = 4
-
-WORTH_SPREADING = 512 * 1024
+#: Rows that a slice holds on average, and the number of cuts from which on slices grow with the table.
+ROWS_PER_SLICE, MAX_CUTS = 20_000, 100_000
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _leaf_bytes(df: DataFrame) -> int:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the tables below ``df`` are small enough for one task.
-
-    Like Spark's own broadcast decision this is an estimate made while planning
-    (the summed size of all scans, before any filter). It only chooses between a
-    plain window and the sliced form; both are exact.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_KEY, str(64 * 1024 * 1024)))
-    return _leaf_bytes(df) < limit
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan with heavy per-row work one task per shuffle partition.
+    """Deal narrow rows with heavy per-row work (tokenising, exploding) over all shuffle partitions.
 
-    A small file is one row group and so one task. Large scans already have
-    many splits and are left alone.
+    One split of a scan otherwise feeds the whole explosion to one task.
     """
-    if _leaf_bytes(df) < WORTH_SPREADING or not is_small(df):
-        return df
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
@@ -84,27 +63,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if _SHUFFLING.search(plan) else df
 
 
-def _slices(spark: SparkSession) -> int:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return int(spark.conf.get(SLICES_KEY, str(max(16, 4 * parts))))
-
-
-def _search_steps(slices: int) -> list[int]:
-    # Cuts per group stay near ``slices``; eight times that leaves room for chance.
-    top = (8 * slices).bit_length()
-    return [1 << i for i in range(top, -1, -1)]
+#: Steps of a binary search in a group's cuts; there are MAX_CUTS of them but for chance.
+_STEPS = [1 << i for i in range((2 * MAX_CUTS).bit_length(), -1, -1)]
 
 
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def _cuts(source: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    share = source.agg((F.lit(float(slices)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("share"))
+def _cuts(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rows = float(source.sparkSession.conf.get(ROWS_KEY, str(ROWS_PER_SLICE)))
+    count = F.greatest(F.count(F.lit(1)), F.lit(1))
+    share = source.agg(F.least(F.lit(1.0 / rows), F.lit(float(MAX_CUTS)) / count).alias("share"))
     unit = F.xxhash64(*[F.col(c) for c in (*keys, *order)]) / F.lit(float(2**64)) + F.lit(0.5)
     picked = source.filter(unit < share.scalar()).select(*keys, _order_struct(order).alias("__at")).distinct()
-    gathered = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("__at")).alias("__cuts"))
-    return gathered.filter(F.size("__cuts") >= MIN_CUTS)
+    return picked.groupBy(*keys).agg(F.sort_array(F.collect_list("__at")).alias("__cuts"))
 
 
 def with_slices(
@@ -119,8 +92,7 @@ def with_slices(
     ``source`` may name a cheaper table with the same keys and order values to
     take the cuts from (usually the rows before an aggregation).
     """
-    slices = _slices(df.sparkSession)
-    cuts = _cuts(source if source is not None else df, keys, order, slices)
+    cuts = _cuts(source if source is not None else df, keys, order)
     if keys:
         right = cuts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts")
         on = None
@@ -131,7 +103,7 @@ def with_slices(
     else:
         df = df.withColumn("__cuts", cuts.select("__cuts").scalar())
     me = _order_struct(order)
-    steps = F.array(*[F.lit(s) for s in _search_steps(slices)])
+    steps = F.array(*[F.lit(s) for s in _STEPS])
     found = F.aggregate(
         steps,
         F.lit(0),
@@ -165,10 +137,6 @@ def running(
         base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         return base.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
 
-    if is_small(source if source is not None else df):
-        whole = {n: _FOLDS[kind[n]](measures[n][1]).over(frame(list(keys), order, backwards[n])) for n in names}
-        return df.withColumns({n: F.coalesce(c, F.lit(0)) if kind[n] == "sum" else c for n, c in whole.items()})
-
     if source is None:
         df = settle(df)
     columns = df.columns

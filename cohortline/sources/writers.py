@@ -30,12 +30,11 @@ def append_results(df: DataFrame, path: str, columns: Sequence[str] | None = Non
 def write_results(df: DataFrame, path: str, keys: Sequence[str] = ("Model", "Label", "fold"), mode: str = "overwrite") -> None:
     """Results, predictions or confusion counts laid out by model, label and fold.
 
-    Rows of a (model, label, fold) are brought together by hash plus a salt, so
-    a large combination is written by several tasks.
+    Rows of a (model, label, fold) are brought together; adaptive execution
+    splits a combination over as many tasks as its measured size asks for.
     """
     present = [k for k in keys if k in df.columns]
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in present] or [F.lit(0)]), F.lit(8))
-    df.repartition(*[F.col(k) for k in present], salt).write.mode(mode).partitionBy(*present).parquet(path)
+    df.hint("rebalance", *[F.col(k) for k in present]).write.mode(mode).partitionBy(*present).parquet(path)
 
 
 def write_folds(folds: DataFrame, path: str, row_id: str, k: int, wide: bool = False, name: str | None = None) -> str:

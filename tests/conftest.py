@@ -20,16 +20,13 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["plain", "sliced"])
+@pytest.fixture(params=["20000", "7"])
 def both_forms(spark, request):
-    """Run a test with plain windows and with groups cut into many slices."""
-    small, slices = "spark.cohortline.slices.smallBytes", "spark.cohortline.slices.count"
-    if request.param == "sliced":
-        spark.conf.set(small, "0")
-        spark.conf.set(slices, "400")
+    """Run a test with the usual slices and with slices of a few rows."""
+    key = "spark.cohortline.slices.rows"
+    spark.conf.set(key, request.param)
     yield request.param
-    spark.conf.unset(small)
-    spark.conf.unset(slices)
+    spark.conf.unset(key)
 
 
 @pytest.fixture(scope="session")

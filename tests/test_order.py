@@ -35,12 +35,21 @@ def test_ranks_match_pandas(spark, both_forms):
 
 
 def test_slices_cut_the_hot_group(spark):
-    spark.conf.set("spark.cohortline.slices.count", "400")
+    spark.conf.set("spark.cohortline.slices.rows", "7")
     _, df = skewed(spark)
     sizes = with_slices(df.select("g", "id"), ["g"], ["id"]).groupBy("g", "__slice").count()
     hot = sizes.filter("g = 'hot'").agg(F.max("count"), F.count("*")).first()
     assert hot[1] > 50 and hot[0] < 200
-    spark.conf.unset("spark.cohortline.slices.count")
+    spark.conf.unset("spark.cohortline.slices.rows")
+
+
+def test_small_groups_above_the_target_are_cut(spark):
+    """A group of under one percent of the rows is cut as soon as it holds several slices' rows."""
+    spark.conf.set("spark.cohortline.slices.rows", "100")
+    df = spark.range(200_000).selectExpr("if(id < 1500, 'some', concat('g', id % 5000)) as g", "id")
+    sizes = with_slices(df, ["g"], ["id"]).filter("g = 'some'").groupBy("__slice").count()
+    assert sizes.count() > 5 and sizes.agg(F.max("count")).first()[0] < 1500
+    spark.conf.unset("spark.cohortline.slices.rows")
 
 
 def test_running_sum_max_min(spark, both_forms):
