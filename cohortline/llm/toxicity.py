@@ -49,7 +49,7 @@ class Shape:
     shortest: int = 3
     longest: int = 5
     padding: int = 10
-    epochs: int = 6
+    epochs: int = 12
     rate: float = 0.5
     batch: int = 32
     seed: int = 7
@@ -104,7 +104,10 @@ def _bag(text: str | None, known: dict, shape: Shape) -> tuple[np.ndarray, np.nd
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_toxic: float) -> Model:
-    """Joint gradient steps (with per-row scaling) on embeddings and softmax; the balance of the sample is undone."""
+    """Joint gradient steps (with per-row scaling) on embeddings and softmax.
+
+    Both classes weigh alike in training; the intercept then returns to the share of toxic labels.
+    """
     rng = np.random.default_rng(shape.seed)
     y = np.array([b[2] for b in bags], np.float64)
     if len(bags) == 0 or y.min() == y.max():
@@ -113,6 +116,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_to
     table = rng.uniform(-1, 1, (shape.buckets, shape.dim)).astype(np.float32) / shape.dim
     soft = rng.normal(0, 0.3, (2, shape.dim)).astype(np.float32)
     bias = np.zeros(2)
+    weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     seen = np.full(shape.buckets, 1e-6, np.float32)
     seen_soft, seen_bias = np.full((2, shape.dim), 1e-6), np.full(2, 1e-6)
     for _ in range(shape.epochs):
@@ -132,7 +136,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_to
             p /= p.sum(1, keepdims=True)
             wrong = p.copy()
             wrong[np.arange(len(some)), y[some].astype(int)] -= 1
-            wrong /= len(some)
+            wrong *= weigh[some][:, None] / len(some)
             pull = np.bincount(ids, share * wrong[text, 1], shape.buckets).astype(np.float32)
             touched = np.flatnonzero(pull)
             across = (soft[1] - soft[0]).astype(np.float32)
@@ -143,8 +147,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_to
             soft -= (shape.rate * grad_soft / np.sqrt(seen_soft)).astype(np.float32)
             seen_bias += grad_bias**2
             bias -= shape.rate * grad_bias / np.sqrt(seen_bias)
-    p_sample, p_all = y.mean(), min(max(share_toxic, 1e-9), 1 - 1e-9)
-    shift = np.log(p_all / (1 - p_all)) - np.log(p_sample / (1 - p_sample))
+    p = min(max(share_toxic, 1e-9), 1 - 1e-9)
+    shift = np.log(p / (1 - p))
     return Model(shape, table @ (soft[1] - soft[0]), float(bias[1] - bias[0] + shift))
 
 

@@ -243,7 +243,7 @@ def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op9_toxicity"](spark, folder).join(load(spark, folder, "labels"), "doc_id").filter("held_out").collect()
     n = Counter((r["toxic"], r["predicted"]) for r in got)
-    assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.06 * (n[0, 0] + n[0, 1])
+    assert n[1, 1] >= 0.7 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.05 * (n[0, 0] + n[0, 1])  # from some 370 toxic labels
 
 
 # N-gram join
