@@ -180,14 +180,18 @@ select word as ngram, 1 as n, c, cast(null as double) as pmi from u
 union all select ngram, 2, c, round(pmi, 6) from (select b.ngram, b.c, log2(b.c) + log2((select sum(c) from u)) - log2(u1.c) - log2(u2.c) as pmi
   from b join u u1 on u1.word = b.w1 join u u2 on u2.word = b.w2) where pmi > 2.0
 union all select ngram, 3, c, round(pmi, 6) from (select t.ngram, t.c, log2(t.c) + 2 * log2((select sum(c) from u)) - log2(u1.c) - log2(u2.c) - log2(u3.c) as pmi
-  from t join u u1 on u1.word = t.w1 join u u2 on u2.word = t.w2 join u u3 on u3.word = t.w3) where pmi > 2.0""", _TOK + """,
+  from t join u u1 on u1.word = t.w1 join u u2 on u2.word = t.w2 join u u3 on u3.word = t.w3) where pmi > 2.0
+union all select ngram, 4, c, round(pmi, 6) from (select q.ngram, q.c, log2(q.c) + 3 * log2((select sum(c) from u)) - log2(u1.c) - log2(u2.c) - log2(u3.c) - log2(u4.c) as pmi
+  from q join u u1 on u1.word = q.w1 join u u2 on u2.word = q.w2 join u u3 on u3.word = q.w3 join u u4 on u4.word = q.w4) where pmi > 2.0""", _TOK + """,
 u as (select word, count(*) as c from tk group by word),
 b as (select w1 || ' ' || w2 as ngram, w1, w2, count(*) as c from (select words[i] as w1, words[i + 1] as w2 from
   (select words, unnest(range(1, len(words))) as i from st)) group by w1, w2),
 t as (select w1 || ' ' || w2 || ' ' || w3 as ngram, w1, w2, w3, count(*) as c from (select words[i] as w1, words[i + 1] as w2, words[i + 2] as w3 from
-  (select words, unnest(range(1, len(words) - 1)) as i from st)) group by w1, w2, w3)"""))
+  (select words, unnest(range(1, len(words) - 1)) as i from st)) group by w1, w2, w3),
+q as (select w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 as ngram, w1, w2, w3, w4, count(*) as c from (select words[i] as w1, words[i + 1] as w2, words[i + 2] as w3, words[i + 3] as w4 from
+  (select words, unnest(range(1, len(words) - 2)) as i from st)) group by w1, w2, w3, w4)"""))
 def pmi_vocab(spark, sf):
-    return rounded(X.pmi_vocabulary(load(spark, sf, "documents"), "doc_id", "text", 1, 3), "pmi")
+    return rounded(X.pmi_vocabulary(load(spark, sf, "documents"), "doc_id", "text", 1, 4), "pmi")
 
 
 @query("tfidf", with_views("", """
