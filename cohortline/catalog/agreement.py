@@ -265,6 +265,24 @@ def threshold_metrics(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "snapshot_id"])
 
 
+@query("named_metrics", with_views("binary_scores", """
+select snapshot_id, count(*) as n, sum(f * y) as true_positives, sum(f * (1 - y)) as false_positives,
+  sum((1 - f) * y) as false_negatives, sum((1 - f) * (1 - y)) as true_negatives,
+  round(case when sum(f) = 0 then 0 else sum(f * y) / sum(f) end, 6) as precision, round(case when sum(y) = 0 then 0 else sum(f * y) / sum(y) end, 6) as recall,
+  round(case when sum(f) + sum(y) = 0 then 0 else 2 * sum(f * y) / (sum(f) + sum(y)) end, 6) as f1,
+  round(case when sum(2 - f - y) = 0 then 0 else 2 * sum((1 - f) * (1 - y)) / sum(2 - f - y) end, 6) as f1_neg,
+  round((case when sum(f + y - f * y) = 0 then 0 else sum(f * y) / sum(f + y - f * y) end
+    + case when sum(1 - f * y) = 0 then 0 else sum((1 - f) * (1 - y)) / sum(1 - f * y) end) / 2, 6) as mean_iou,
+  round(avg(f), 6) as mean
+from (select snapshot_id, cast(truth as double) as y, cast(case when score > 0.5 then 1 else 0 end as double) as f from binary_scores where truth is not null and score is not null)
+group by snapshot_id"""))
+def named_metrics(spark, sf):
+    """Count metrics asked for by name."""
+    df = binary_scores(spark, sf).filter("truth is not null and score is not null").withColumn("flag", F.when(F.col("score") > 0.5, 1).otherwise(0))
+    names = ["true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1", "f1_neg", "mean_iou", "mean"]
+    return rounded(M.evaluate(df, "truth", "flag", names, ["snapshot_id"]), *names[4:])
+
+
 @query("multilabel_auc", with_views("binary_scores", f"""
 select label, round((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0), 6) as auc,
   cast(sum(y) as bigint) as positives

@@ -206,6 +206,18 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
 
 
+def _of_counts(pick: Callable[[dict[str, Column]], Column]) -> Callable[[Column, Column], Column]:
+    """An aggregate of the confusion counts of predicted against true classes, 1 being positive."""
+    return lambda t, p: pick(confusion_counts(t, p))
+
+
+def mean_iou(t: Column, p: Column) -> Column:
+    """Mean over both classes of intersection over union; a class that doesn't occur counts 0."""
+    c = confusion_counts(t, p)
+    wrong = c["fp"] + c["fn"]
+    return (_ratio(c["tp"], c["tp"] + wrong) + _ratio(c["tn"], c["tn"] + wrong)) / 2
+
+
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(tp * 2, tp * 2 + fp + fn)
 
@@ -431,6 +443,10 @@ def _f1(which: str) -> Callable[..., DataFrame]:
     return lambda df, t, p, keys, name: f1_averages(df, t, p, keys).select(*keys, F.col(f"f1_{which}").alias(name))
 
 
+def _point(which: str) -> Callable[..., DataFrame]:
+    return lambda df, t, p, keys, name: operating_points(df, t, p, 0.5, keys).select(*keys, F.col(which).alias(name))
+
+
 METRICS: dict[str, Metric] = {
     "mse": Metric("min", mse),
     "rmse": Metric("min", rmse),
@@ -466,6 +482,24 @@ METRICS: dict[str, Metric] = {
     "f1_micro": Metric("max", table=_f1("micro")),
     "f1_macro": Metric("max", table=_f1("macro")),
     "f1_weighted": Metric("max", table=_f1("weighted")),
+    "binary_accuracy": Metric("max", lambda t, p: F.avg((t == (p > 0.5).cast("int")).cast("double"))),
+    "precision": Metric("max", _of_counts(lambda c: _ratio(c["tp"], c["tp"] + c["fp"]))),
+    "recall": Metric("max", _of_counts(lambda c: _ratio(c["tp"], c["tp"] + c["fn"]))),
+    "f1": Metric("max", _of_counts(lambda c: _ratio(c["tp"] * 2, c["tp"] * 2 + c["fp"] + c["fn"]))),
+    "precision_neg": Metric("max", _of_counts(lambda c: _ratio(c["tn"], c["tn"] + c["fn"]))),
+    "recall_neg": Metric("max", _of_counts(lambda c: _ratio(c["tn"], c["tn"] + c["fp"]))),
+    "f1_neg": Metric("max", _of_counts(lambda c: _ratio(c["tn"] * 2, c["tn"] * 2 + c["fp"] + c["fn"]))),
+    "true_positives": Metric("max", _of_counts(lambda c: c["tp"])),
+    "true_negatives": Metric("max", _of_counts(lambda c: c["tn"])),
+    "false_positives": Metric("min", _of_counts(lambda c: c["fp"])),
+    "false_negatives": Metric("min", _of_counts(lambda c: c["fn"])),
+    "mean_iou": Metric("max", mean_iou),
+    "sum": Metric("max", lambda t, p: F.sum(p)),
+    "mean": Metric("max", lambda t, p: F.avg(p)),
+    "precision_at_recall": Metric("max", table=_point("precision_at_recall")),
+    "recall_at_precision": Metric("max", table=_point("recall_at_precision")),
+    "sensitivity_at_specificity": Metric("max", table=_point("sensitivity_at_specificity")),
+    "specificity_at_sensitivity": Metric("max", table=_point("specificity_at_sensitivity")),
     "kappa_linear": Metric("max", table=lambda df, t, p, keys, name: kappa_linear(df, t, p, keys).select(*keys, F.col("kappa").alias(name))),
 }
 

@@ -218,8 +218,10 @@ def cross_validate(
         chosen = params[k] if params and k in params else params
         return Pipeline(stages=[*stages, make_estimator(model, label, chosen)]).fit(train)
 
-    models = dict(zip(folds, _in_parallel(df, fit, folds, parallelism)))
-    data.unpersist()
+    try:
+        models = dict(zip(folds, _in_parallel(df, fit, folds, parallelism)))
+    finally:
+        data.unpersist()
     source = df.filter(F.col(label).isNotNull())
     out = None
     for k in folds:
@@ -283,7 +285,16 @@ def tune(
     if len(grid) == 1:
         return dict(grid[0]), []
     data = train.filter(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    inner_folds = list(inner_folds)
+    try:
+        return _searched(data, label, list(inner_folds), inner_fold, stages, model, grid, metric, parallelism)
+    finally:
+        data.unpersist()
+
+
+def _searched(
+    data: DataFrame, label: str, inner_folds: Sequence[int], inner_fold: str, stages: Sequence[Estimator],
+    model: str | Callable[..., Estimator], grid: Sequence[Mapping[str, object]], metric: str, parallelism: int,
+) -> tuple[dict[str, object], list[dict[str, object]]]:
 
     def ready(j: int) -> DataFrame:
         prepared = Pipeline(stages=list(stages)).fit(data.filter(F.col(inner_fold) != j)).transform(data)
@@ -306,7 +317,6 @@ def tune(
     for row in evaluate(every, label, "p", [metric], ["set", "inner"]).collect():
         if row[metric] is not None:
             scores[row["set"]].append(row[metric])
-    data.unpersist()
     table = [{"params": dict(grid[i]), "score": sum(v) / len(v) if v else None} for i, v in scores.items()]
     return pick_best(table, get_metric(metric).better), table
 
@@ -382,7 +392,7 @@ def importance_table(df: DataFrame, models: Mapping[int, PipelineModel], feature
         else:
             theta = last.theta.toArray()
             weights = theta[-1] - theta[0] if theta.shape[0] == 2 else theta[-1]
-        rows += [(k, f, float(w)) for f, w in zip(features, weights)]
+        rows += [(k, f, float(w)) for f, w in zip(features, weights, strict=True)]
     return df.sparkSession.createDataFrame(rows, "fold int, feature string, weight double")
 
 
@@ -452,11 +462,14 @@ def balanced_bagging(
 def repeated_forests(df: DataFrame, features: Sequence[str], label: str, repeats: int = 1000, trees: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Small forests with different seeds: mean importance, and the five numbers of the in-sample rho."""
     data = VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(df.dropna(subset=[label, *features]))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    models = {
-        seed: make_estimator("RandomForestRegressor", label, {"n_estimators": trees, "max_depth": depth, "random_state": seed}).fit(data)
-        for seed in range(1, repeats + 1)
-    }
+    held = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = {
+            seed: make_estimator("RandomForestRegressor", label, {"n_estimators": trees, "max_depth": depth, "random_state": seed}).fit(held)
+            for seed in range(1, repeats + 1)
+        }
+    finally:
+        held.unpersist()
     rho, seeds = None, list(models)
     for start in range(0, repeats, 50):
         batch = {k: models[k] for k in seeds[start:start + 50]}

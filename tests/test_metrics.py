@@ -58,7 +58,7 @@ def test_direction_and_negation():
 
 def test_custom_metric_column(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], "t double, p double")
-    got = M.evaluate(df, "t", "p", ["mae", ("worst", lambda t, p: F.max(F.abs(t - p)))]).first()
+    got = M.evaluate(df, "t", "p", ["mae", ("worst", M.Metric("min", lambda t, p: F.max(F.abs(t - p))))]).first()
     assert got["mae"] == 1.5 and got["worst"] == 2.0 and got["n"] == 2
 
 
@@ -95,3 +95,13 @@ def test_multiclass_auc_averages(spark):
     n = np.bincount(y)
     assert got["auc_macro"] == pytest.approx(each.mean()) and got["auc_weighted"] == pytest.approx((each * n).sum() / n.sum())
     assert got["auc_micro"] == pytest.approx(brute_auc(np.eye(3)[y].ravel(), s.ravel()))
+
+
+def test_custom_metrics_state_their_direction(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "t double, p double")
+    worst = M.Metric("min", lambda t, p: F.max(F.abs(t - p)))
+    assert M.evaluate(df, "t", "p", [("worst", worst), "sum"]).first().asDict() == {"n": 2, "worst": 1.0, "sum": 5.0}
+    with pytest.raises(TypeError):
+        M.evaluate(df, "t", "p", [("worst", worst.expr)])
+    assert M.get_metric(M.default_metric("multiclass")).better == "max"
+    assert M.get_metric("false_negatives").better == "min"
