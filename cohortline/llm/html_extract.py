@@ -225,6 +225,9 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             continue
         before, after = left[i], right[i]
         sides = [(abs(i - k), labels[k]) for k in (before, after) if k >= 0]
+        # Equally near neighbours that disagree: a bad one set apart by its own container (a menu, comments) says less.
+        if len({d for d, _ in sides}) == 1 and any(found[k].bad for k in (before, after) if k >= 0 and labels[k] == "bad"):
+            sides = [x for x in sides if x[1] == "good"] or sides
         if b.tag in _HEADINGS and after >= 0 and labels[after] == "good" and after - i <= rules.heading_reach:
             b.label = "good"
         elif not sides:
