@@ -232,7 +232,7 @@ def test_misspelt_words_share_what_is_learned():
 
     def odds(text):
         ids, share = toxicity._bag(text, {}, shape)
-        return model.intercept + share @ model.weights[ids]
+        return model.intercept + share.astype(float) / toxicity.SCALE @ model.weights[ids]
 
     plain = " ".join(clean[:40])
     assert odds(plain + " scoundrel wretched vermin") > 0 > odds(plain)
