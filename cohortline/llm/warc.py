@@ -5,7 +5,8 @@ headers and payload). ``derive`` makes two records of each response: a
 ``metadata`` record of source facts and a ``conversion`` record with the plain
 text. Both carry WARC-Refers-To, the response's WARC-Record-ID, the target URI,
 the source record's headers that describe it, the source payload's digest and
-their own block and payload digests. ``serialize`` gives the bytes of a record.
+their own block and payload digests. ``serialize`` gives the bytes of a record,
+the source headers and digest among its header lines.
 
 Record ids are UUID URNs made from a digest of what they identify (page id, URI,
 payload digest and kind of record), so a repeated run gives the same ids and
@@ -17,9 +18,14 @@ made all the same, with the digests of nothing). Extra columns are left out.
 
 from __future__ import annotations
 
+import html as references
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.llm.common import text_batches
+
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 VERSION = "WARC/1.0"
 
@@ -28,17 +34,29 @@ _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|noscript|template|head)(?:\s
 _BREAK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|form)(?:[\s/][^>]*)?>"
 _TAG = r"(?s)</?[a-zA-Z][^>]*(?:>|\z)|<![^>]*(?:>|\z)"
 
-#: Character references that are decoded; the ampersand last, so that nothing is decoded twice.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: White space that a reference may stand for, no-break space included.
+_SPACES = str.maketrans(dict.fromkeys("\t\n\f\r\xa0", " "))
+
+
+def _decoded(text: str | None) -> str | None:
+    """All named and numeric character references replaced, each once, as HTML5 reads them."""
+    if text is None or "&" not in text:
+        return text
+    parts = text.split("\n")  # line ends of blocks; a reference to one is white space
+    return "\n".join(references.unescape(p).translate(_SPACES) if "&" in p else p for p in parts)
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: a line for each block, single spaces inside lines, no empty lines."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(_decoded)
+
     out = F.regexp_replace(html, _HIDDEN, " ")
     out = F.regexp_replace(F.regexp_replace(out, r"[\r\n\t ]+", " "), _BREAK, "\n")
     out = F.regexp_replace(out, _TAG, "")
-    for ref, char in ENTITIES:
-        out = F.replace(out, F.lit(ref), F.lit(char))
+    out = decoded(out)
     out = F.regexp_replace(F.regexp_replace(out, "[ ]+", " "), "[ ]*\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
 
@@ -73,6 +91,7 @@ def derive(source: DataFrame) -> DataFrame:
     source_digest, block, block_digest, payload_digest (conversion only; the
     metadata block has no payload of its own), content_length; page_id goes along.
     """
+    text_batches(source.sparkSession)
     text = source.withColumn("text", plain_text(F.col("payload")))
     facts = F.concat_ws(
         "\r\n",
@@ -103,14 +122,20 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialize(records: DataFrame, date: str) -> DataFrame:
-    """``record`` (binary): header lines, an empty line, the block, two line ends; ``date`` is the WARC-Date."""
+    """``record`` (binary): header lines, an empty line, the block, two line ends; ``date`` is the WARC-Date.
+
+    The source's digest and its headers, each a Source-Header line, stand after the headers that WARC names.
+    """
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
 
+    kept = F.filter(F.split("source_headers", "\r\n"), lambda x: x != "")
+    source = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("Source-Header: "), x, F.lit("\r\n"))), "")
     head = F.concat(
         F.lit(VERSION + "\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Refers-To", F.col("refers_to")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.lit(date)),
         line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.col("payload_digest")),
         line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")),
+        line("Source-Digest", F.col("source_digest")), F.coalesce(source, F.lit("")),
     )
     return records.withColumn("record", F.encode(F.concat(head, F.lit("\r\n"), "block", F.lit("\r\n\r\n")), "UTF-8"))

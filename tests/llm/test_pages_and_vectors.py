@@ -104,6 +104,18 @@ def test_records_link_to_their_responses(spark):
     assert warc.derive(warc.responses(df.filter("false"))).count() == 0
 
 
+def test_conversion_records_decode_every_reference_and_keep_source_headers(spark):
+    html = "<p>caf&eacute; &mdash; it&rsquo;s &#8217;&#xE9;&#233; &apos;x&apos; &amp;lt; a&#10;b&nbsp;&#160;c &unknown; &#x110000; A&amp;B</p><p>&hellip;</p>"
+    records = warc.derive(warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")))
+    for r in warc.serialize(records, "2024-01-01T00:00:00Z").collect():
+        if r["record_type"] == "conversion":
+            assert r["block"] == "café — it’s ’éé 'x' &lt; a b c &unknown; \ufffd A&B\n…"
+            assert r["block_digest"] == "sha1:" + hashlib.sha1(r["block"].encode()).hexdigest()
+        head = bytes(r["record"]).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert f"Source-Digest: {r['source_digest']}" in head
+        assert [x.removeprefix("Source-Header: ") for x in head if x.startswith("Source-Header: ")] == r["source_headers"].strip().split("\r\n")
+
+
 # URLs
 
 
