@@ -1,9 +1,9 @@
 """URL verdicts: host rules first, then naive Bayes over segmented names.
 
 Rules name a host (with all its subdomains) and a start of the path; the longest
-that fits decides. Other URLs are scored: host names are split into words by a
-unigram Viterbi pass over word counts of all pages' visible text, paths into
-their tokens, and a multinomial naive Bayes model, fitted on every URL that a
+that fits decides. Other URLs are scored: host names are cut into runs of letters
+(of any script) and of digits, the letters split into words by a unigram Viterbi
+pass over word counts of all pages' visible text, paths into their tokens, and a multinomial naive Bayes model, fitted on every URL that a
 rule decides, weighs the tokens of host and path.
 
 Tokens are hashed into ``BUCKETS`` counters for each verdict, so the model has
@@ -21,6 +21,7 @@ are left out.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -40,7 +41,8 @@ SEED_COUNT, SEED_SHARE = 50, 0.2
 BUCKETS = 1 << 17
 SALT = 64
 LONGEST_WORD = 20
-_LABEL = 63  # a host label's greatest length by the rules of DNS; longer ones are kept whole
+_LABEL = 63  # a host label's greatest length by the rules of DNS; longer runs of letters are kept whole
+_LETTERS = r"\p{L}\p{M}"
 
 
 def host_of(url: Column) -> Column:
@@ -61,26 +63,27 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
-def labels_of(host: Column) -> Column:
-    return F.array_remove(F.split(host, "[^a-z0-9]+"), "")
+def runs_of(host: Column) -> Column:
+    """The runs of letters and of digits in a host, in order, in lower case."""
+    return F.regexp_extract_all(F.lower(host), F.lit(rf"[{_LETTERS}]+|\p{{N}}+"), F.lit(0))
 
 
 def path_tokens(path: Column) -> Column:
     """Lower-case words and numbers of a path; all numbers are one token."""
-    parts = F.array_remove(F.split(F.lower(path), "[^a-z0-9]+"), "")
-    return F.transform(parts, lambda t: F.when(t.rlike("^[0-9]+$"), F.lit("#")).otherwise(t))
+    parts = F.array_remove(F.split(F.lower(path), rf"[^{_LETTERS}\p{{N}}]+"), "")
+    return F.transform(parts, lambda t: F.when(t.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(t))
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """How often each word of a-z stands in the visible text of all pages."""
+    """How often each word of letters stands in the visible text of all pages."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?s)<[^>]*>", " "))
-    seen = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word"))
+    seen = pages.select(F.explode(F.split(text, rf"[^{_LETTERS}]+")).alias("word"))
     return seen.filter(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most probable words of a name; unknown words cost more the longer they are."""
-    if len(name) > _LABEL or not name.isalpha():
+    """The most probable words of a run of letters (digits stay whole); unknown words cost more the longer they are."""
+    if len(name) > _LABEL or unicodedata.category(name[0])[0] == "N":
         return [name]
     base = math.log(max(total, 1))
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -102,7 +105,7 @@ def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """``words`` of each distinct host. ``counts`` (word, n) must be settled, as it is read twice."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels = F.filter(labels_of(F.col("host")), lambda x: x.rlike("^[a-z]+$") & (F.length(x) <= _LABEL))
+    labels = F.filter(runs_of(F.col("host")), lambda x: x.rlike(rf"^[{_LETTERS}]") & (F.length(x) <= _LABEL))
     at = F.flatten(F.transform(labels, lambda x: F.flatten(F.transform(
         F.sequence(F.lit(1), F.length(x)),
         lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length(x) - i + 1)), lambda n: F.substr(x, i, n)),
@@ -118,7 +121,7 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             out.append([w for p in parts for w in split_name(p, c, total)])
         return pd.Series(out)
 
-    return hosts.join(known, "host", "left").select("host", split(labels_of(F.col("host")), F.col("known")).alias("words"))
+    return hosts.join(known, "host", "left").select("host", split(runs_of(F.col("host")), F.col("known")).alias("words"))
 
 
 def _bucket(token: Column) -> Column:

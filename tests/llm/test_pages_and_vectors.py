@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortline.llm import ann, html_extract, toxicity, url_filter, warc
@@ -162,6 +163,23 @@ def test_model_blocks_what_rules_block_elsewhere(spark):
     assert (got[200], got[201], got[202]) == ("block", "allow", "block")
 
 
+def test_names_with_digits_and_letters_beyond_ascii_are_split(spark):
+    text = "best casino casino go poker grün grün blume blume " * 20
+    hosts = ["bestcasino24.net", "xxx2go.com", "888poker.com", "GRÜNBLUME.net", "a-1.b22"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x", text) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    names = pages.select(url_filter.host_of(F.col("url")).alias("host"))
+    got = {r["host"]: r["words"] for r in url_filter.segmented(names, url_filter.word_counts(pages)).collect()}
+    assert got["bestcasino24.net"][:3] == ["best", "casino", "24"] and got["xxx2go.com"][:3] == ["xxx", "2", "go"]
+    assert got["888poker.com"][:2] == ["888", "poker"] and got["a-1.b22"] == ["a", "1", "b", "22"]
+    assert got["grÜnblume.net"][:2] == ["grün", "blume"]
+    paths = spark.createDataFrame([("/Straße/Äpfel-12/99/b2",)], "p string").select(url_filter.path_tokens(F.col("p")).alias("t"))
+    assert paths.first()["t"] == ["straße", "äpfel", "#", "#", "b2"]
+    rows = [(i, f"http://{w}.com/{'de' if i % 2 else 'fr'}/{i}", "<p>toad moss</p>") for i, w in enumerate(["moss", "toad"] * 20)]
+    rows += [(200, "http://bestcasino24.net/en/1", ""), (201, "http://moss24.net/en/1", "")]
+    judged = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (judged[200], judged[201]) == ("block", "allow")
+
+
 # Vectors
 
 
