@@ -1,14 +1,24 @@
 """Main text of HTML pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags (and at two line breaks in a row).
-First pass, each block by itself: blocks inside menus, page headers, footers,
-sidebars, notices, adverts, forms and reader comments (by element, role, class
-or id) are bad, blocks of links are bad; where the page marks its article
-(``article``, ``main``), blocks inside it are good and those outside are bad.
-On other pages the rest is judged by length and the share of stop words: long
-blocks with many are good, long ones with few bad, short ones undecided. Second
-pass: undecided blocks take the label of the nearest decided neighbour, and
-headings that of the block they lead to.
+First pass, each block by itself: by length, share of stop words and share of
+links it is good (long, many stop words), bad (links, copyright lines) or
+undecided (short, or with few stop words, which is bad where no mark speaks for it).
+
+Names (menus, footers, sidebars, notices, adverts, forms, reader comments; by
+element, role, whole class or id) make what they hold bad. A name gives way where
+its element holds most of the page's good text (reader comments: all of it), or
+where it often stands for a mere wrapper (form, header, widget) and the block is
+good by itself. ``html`` and ``body`` are never bad, ``article`` and ``main``
+never by name. What is hidden stays out.
+
+Marks (``article``, ``main``) are evidence for undecided blocks. A marked element
+counts if it holds a good block or a quarter of the page's prose (on pages
+without prose, always): undecided blocks inside are good, and if such elements
+hold half of the prose, those outside are bad. Elsewhere undecided blocks go to
+the second pass: they take the label of the nearest decided neighbour, headings
+that of the block they lead to. So do blocks of few stop words in an article,
+unless the page shows none at all (a language without a list here).
 
 Good blocks, with references decoded and white space in a block made single
 spaces, are joined by line ends. Nothing else is dropped or cut.
@@ -23,7 +33,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +61,9 @@ class Rules:
     links: float = 0.4
     links_in_article: float = 0.6
     heading_reach: int = 3
+    article_prose: float = 0.25
+    most: float = 0.5
+    wrapped: float = 0.9
 
 
 _TOKEN = re.compile(
@@ -63,6 +76,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
+_NOTICE = re.compile(r"(?:\xa9|\(c\)|\bcopyright\b)[\s,]*(?:\xa9\s*)?(?:19|20)\d\d", re.IGNORECASE)
 
 _BLOCKS = frozenset("""
 address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -78,10 +92,38 @@ ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb
 disqus footer form header login menu modal nav navbar navigation newsletter notice notices paywall popup promo promotion related replies reply
 respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget
 """.split())
+#: Parts of a class or id that leave the meaning of a bad name beside them as it is (``site-footer``, not ``has-sidebar``).
+_NEUTRAL_NAMES = frozenset("""
+area bar block body bottom box center col column container content desktop fixed global group holder id info inner item items law left link links
+list main message mobile outer page panel policy primary right row secondary section site slot sticky text the thread title top unit wrap wrapper zone
+""".split())
+#: Reader comments are prose too, so these give way only if there is no other prose.
+_READER_NAMES = frozenset("comment comments disqus related replies reply respond".split())
+#: Bad elements, roles and names that also wrap the text itself; a good block inside is good.
+_WRAPPERS = frozenset("""
+banner dialog disclaimer fieldset form header login modal notice notices popup promo promotion search share sharing social sponsor sponsored
+toolbar widget
+""".split())
+#: What no reader sees as text, whatever it holds.
+_UNSEEN_TAGS = frozenset("button canvas head noscript object select svg template".split())
 #: An article's own header holds its title, so these don't count inside one.
 _FINE_IN_ARTICLE = frozenset(("header", "banner", "form", "search"))
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that says something on the blocks in it; ``kind``: article, hidden, named, reader or wrapper."""
+
+    kind: str
+    up: Mark | None
+    at: int
+    prose: int = 0
+    rich: int = 0
+    plain: int = 0
+    says: frozenset = frozenset()
+    article: Mark | None = None
+
+
 @dataclass
 class Block:
     text: str
@@ -90,44 +132,65 @@ class Block:
     bad: bool
     article: bool
     label: str = ""
+    mark: Mark | None = field(default=None, repr=False)
+
+
+def _bad_names(value: str) -> set[str]:
+    """Bad names among the whole words of a class or id; a compound counts if all its parts are bad or neutral."""
+    out: set[str] = set()
+    for token in value.split():
+        parts = {x for x in _NAMES.findall(token) if len(x) > 1}
+        bad = parts & _BAD_NAMES
+        if bad and not parts - bad - _NEUTRAL_NAMES:
+            out |= bad
+    return out
 
 
-def _flags(tag: str, rest: str, article: bool) -> tuple[bool, bool]:
-    """(bad, article) that an opening tag adds."""
-    bad = tag in _BAD_TAGS or (tag == "header" and not article)
+def _flags(tag: str, rest: str, article: bool) -> tuple[str, bool]:
+    """Why an opening tag's blocks are bad (hidden, named, reader, wrapper or empty), and whether it marks an article."""
     main = tag in ("article", "main")
+    names = {tag} if tag in _BAD_TAGS or (tag == "header" and not article) else set()
+    hidden = tag in _UNSEEN_TAGS
     if "=" in rest or "hidden" in rest:
         for name, value in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                found = _BAD_NAMES.intersection(_NAMES.findall(value))
-                bad = bad or bool(found - _FINE_IN_ARTICLE if article or main else found)
+                found = _bad_names(value)
+                names |= found - _FINE_IN_ARTICLE if article or main else found
             elif name == "role":
-                bad = bad or value in _BAD_ROLES
+                names |= {value} & _BAD_ROLES
                 main = main or value == "main"
             elif name == "itemprop":
                 main = main or value == "articlebody"
             elif name == "style":
-                bad = bad or "display:none" in value.replace(" ", "")
+                hidden = hidden or "display:none" in value.replace(" ", "")
             else:
-                bad = bad or (name == "hidden") or value == "true"
-    return bad, main
+                hidden = hidden or (name == "hidden") or value == "true"
+    if tag in ("html", "body"):
+        return "", main
+    if hidden:
+        return "hidden", main
+    if tag in ("article", "main") or not names:
+        return "", main
+    if names & _READER_NAMES:
+        return "reader", main
+    return "wrapper" if names <= _WRAPPERS else "named", main
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
     texts: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, bad, article, the last two with what is around
-    linked, in_link, breaks, tag_here = 0, False, 0, ""
+    open_tags: list[tuple[str, bool, bool, Mark | None]] = []  # tag, bad, article, the last three with what is around
+    linked, in_link, breaks, tag_here, marks = 0, False, 0, "", 0
 
     def close() -> None:
         nonlocal linked, breaks
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                _, bad, article = open_tags[-1] if open_tags else ("", False, False)
-                out.append(Block(text, linked, tag_here, bad, article))
+                _, bad, article, mark = open_tags[-1] if open_tags else ("", False, False, None)
+                out.append(Block(text, linked, tag_here, bad, article, mark=mark))
             texts.clear()
         linked, breaks = 0, 0
 
@@ -160,7 +223,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             in_link = not m["end"]
         elif m["end"]:
-            if any(t == tag for t, _, _ in open_tags):
+            if any(t == tag for t, *_ in open_tags):
                 hidden = open_tags[-1][1]
                 if not block and hidden:
                     close()
@@ -175,14 +238,16 @@ def blocks(page: str) -> list[Block]:
             elif tag == "li" and open_tags and open_tags[-1][0] in ("li", "p"):
                 while open_tags and open_tags[-1][0] in ("li", "p"):
                     open_tags.pop()
-            _, bad, article = open_tags[-1] if open_tags else ("", False, False)
+            _, bad, article, mark = open_tags[-1] if open_tags else ("", False, False, None)
             rest = m["rest"]
             if block or rest or tag in _BAD_TAGS:
-                more_bad, more_article = _flags(tag, rest, article)
-                if block or more_bad or more_article:
-                    if more_bad and not block:
+                why, more_article = _flags(tag, rest, article)
+                if block or why or more_article:
+                    if why and not block:
                         close()
-                    open_tags.append((tag, bad or more_bad, article or more_article))
+                    for kind in ["article"] * more_article + [why] * bool(why):
+                        mark, marks = Mark(kind, mark, marks), marks + 1
+                    open_tags.append((tag, bad or bool(why), article or more_article, mark))
             if block:
                 in_link, tag_here = False, tag
     add(page[at:])
@@ -190,27 +255,111 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _by_itself(b: Block, rules: Rules) -> str:
+    """good, near, low (fewer stop words), poor (few), short, notice, linked or links."""
+    n = len(b.text)
+    share = b.linked / n
+    if share > rules.links_in_article:
+        return "links"
+    if share > rules.links:
+        return "linked"
+    if n >= rules.short:
+        words = b.text.lower().split()
+        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+        if stops >= rules.stop_high:
+            return "good" if n > rules.long else "near"
+        if _NOTICE.search(b.text):
+            return "notice"
+        return "low" if stops >= rules.stop_low else "poor"
+    if _NOTICE.search(b.text):
+        return "notice"
+    return "linked" if b.linked else "short"
+
+
+def _weigh(found: list[Block], own: list[str], rules: Rules) -> tuple[list[bool], list[bool], bool]:
+    """Of each block whether names make it bad and whether a mark that counts holds it; whether such marks hold most prose."""
+    seen: dict[int, Mark] = {}
+    for b in found:
+        m = b.mark
+        while m is not None and m.at not in seen:
+            seen[m.at] = m
+            m = m.up
+    down = [seen[k] for k in sorted(seen)]  # outer ones first
+    for m in down:
+        m.prose = m.rich = m.plain = 0
+        m.says = (m.up.says if m.up else frozenset()) | ({m.kind} if m.kind == "hidden" else frozenset())
+    rich = plain = 0
+    for b, kind in zip(found, own):
+        if not (b.mark and b.mark.says):
+            r, p = len(b.text) * (kind == "good"), len(b.text) - b.linked
+            rich, plain = rich + r, plain + p
+            if b.mark:
+                b.mark.rich, b.mark.plain = b.mark.rich + r, b.mark.plain + p
+    for m in reversed(down):
+        if m.up:
+            m.up.rich, m.up.plain = m.up.rich + m.rich, m.up.plain + m.plain
+    for m in down:
+        if m.kind == "reader":
+            fine = rich and m.rich == rich
+        elif rich:
+            fine = m.rich > rules.most * rich and m.plain > rules.most * plain
+        else:
+            fine = m.kind == "wrapper" and m.plain > rules.wrapped * plain
+        around = m.up.says if m.up else frozenset()
+        m.says = around if m.kind == "article" or (m.kind != "hidden" and fine) else around | {m.kind}
+        m.article = m if m.kind == "article" else m.up.article if m.up else None
+    bad = []
+    for b, kind in zip(found, own):
+        says = b.mark.says if b.mark else ({"named"} if b.bad else ())
+        bad.append(bool(says) and not (kind == "good" and says == {"wrapper"}))
+    prose = 0
+    strong: set[int] = set()
+    for b, kind, out in zip(found, own, bad):
+        if not out and kind in ("good", "near"):
+            prose += len(b.text)
+            if b.mark:
+                b.mark.prose += len(b.text)
+                if kind == "good":
+                    strong.add(b.mark.at)
+    for m in reversed(down):
+        if m.up:
+            m.up.prose += m.prose
+            if m.at in strong:
+                strong.add(m.up.at)
+    counts = {m.at for m in down if m.kind == "article" and (m.at in strong or m.prose >= rules.article_prose * prose)}
+    held = [b.mark.article is not None and b.mark.article.at in counts if b.mark else b.article for b in found]
+    inside = sum(len(b.text) for b, kind, out, h in zip(found, own, bad, held) if h and not out and kind in ("good", "near"))
+    leads = any(h and not out for h, out in zip(held, bad)) and inside >= rules.most * prose
+    return bad, held, leads
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
     """Label every block good or bad."""
-    marked = any(b.article and not b.bad for b in found)
-    for b in found:
-        n = len(b.text)
-        share = b.linked / n
-        if b.bad or (marked and not b.article):
+    own = [_by_itself(b, rules) for b in found]
+    bad, marked, leads = _weigh(found, own, rules)
+    known = any(k in ("good", "near") and not out for k, out in zip(own, bad))
+    for b, kind, out, inside in zip(found, own, bad, marked):
+        if out or kind in ("links", "notice"):
             b.label = "bad"
-        elif b.article:
-            b.label = "bad" if share > rules.links_in_article else "good"
-        elif share > rules.links or "\xa9" in b.text:
+        elif kind == "good":
+            b.label = "good"
+        elif inside:
+            b.label = "poor" if kind == "poor" and known else "good"
+        elif leads or kind in ("linked", "poor") or (kind == "short" and "\xa9" in b.text):
             b.label = "bad"
-        elif n < rules.short:
-            b.label = "bad" if b.linked else "short"
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            if stops >= rules.stop_high:
-                b.label = "good" if n > rules.long else "near"
-            else:
-                b.label = "near" if stops >= rules.stop_low else "bad"
+            b.label = "near" if kind == "low" else kind
+    # Blocks of few stop words in an article ask the nearest decided ones of the article that no name makes bad.
+    own_kind = [i for i, inside in enumerate(marked) if inside and not bad[i]]
+    sure = [(j, i) for j, i in enumerate(own_kind) if found[i].label in ("good", "bad")]
+    at = 0
+    for j, i in enumerate(own_kind):
+        while at < len(sure) and sure[at][0] < j:
+            at += 1
+        if found[i].label == "poor":
+            sides = [(abs(j - k), own[x]) for k, x in sure[max(at - 1, 0) : at + 1]]
+            nearest = min((d for d, _ in sides), default=0)
+            found[i].label = "bad" if sides and all(x in ("links", "notice") for d, x in sides if d == nearest) else "good"
     decided = [b.label in ("good", "bad") for b in found]
     labels = [b.label for b in found]
     left, right = [-1] * len(found), [-1] * len(found)
@@ -226,7 +375,7 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
         before, after = left[i], right[i]
         sides = [(abs(i - k), labels[k]) for k in (before, after) if k >= 0]
         # Equally near neighbours that disagree: a bad one set apart by its own container (a menu, comments) says less.
-        if len({d for d, _ in sides}) == 1 and any(found[k].bad for k in (before, after) if k >= 0 and labels[k] == "bad"):
+        if len({d for d, _ in sides}) == 1 and any(bad[k] for k in (before, after) if k >= 0 and labels[k] == "bad"):
             sides = [x for x in sides if x[1] == "good"] or sides
         if b.tag in _HEADINGS and after >= 0 and labels[after] == "good" and after - i <= rules.heading_reach:
             b.label = "good"

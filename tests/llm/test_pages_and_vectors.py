@@ -66,6 +66,22 @@ def test_undecided_blocks_follow_their_neighbours():
     assert [b.label for b in found] == ["bad", "bad", "good", "bad", "bad"]
 
 
+def test_article_marks_are_only_evidence():
+    teaser = "<article><h3><a href=x>Another story</a></h3><p>What they read.</p></article>"
+    story = STORY.strip()
+    for page, text in {
+        f"<h1>Head</h1><div><p>{STORY}</p><p>{STORY}</p></div><ul><li><a href=x>More</a></ul>{teaser * 4}": f"Head\n{story}\n{story}",
+        f"<main><div><p>{STORY}</p><p>{STORY}</p></div><ul><li><a href=x>More</a></ul>{teaser * 4}</main>": f"{story}\n{story}",
+        f"<div><p>{STORY}</p></div><article><h1>T</h1><p>{STORY}</p></article>": f"{story}\nT\n{story}",
+        f"<p>Not of it.</p><article><h1>T</h1><p>{STORY}</p><p>Copyright 2024 A Ltd. All rights reserved.</p></article>": f"T\n{story}",
+        f"<article><p>{STORY}</p><p>{'zug ' * 60}</p><p>{STORY}</p></article>": f"{story}\n{('zug ' * 60).strip()}\n{story}",
+        f"<article><p>{STORY}</p><p><a href=x>One link</a></p><p>{'zug ' * 60}</p><p><a href=x>Two links</a></p></article>": story,
+        f"<article><p>{'zug ' * 60}</p></article><p>Else</p>": ("zug " * 60).strip(),
+        f"<p>{STORY} \xa9 B.</p><p>\xa9 2024 C</p>": f"{story} \xa9 B.",
+    }.items():
+        assert html_extract.main_text(page) == text
+
+
 def test_extract_rows(spark):
     rows = [(i, f"http://x/{i}", h, "t") for i, h in enumerate(PAGES)] + [(0, None, None, "t"), (None, "u", "<article>" + "<p>x y</p>" * 50_000, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
