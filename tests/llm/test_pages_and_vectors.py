@@ -82,6 +82,22 @@ def test_article_marks_are_only_evidence():
         assert html_extract.main_text(page) == text
 
 
+def test_names_are_whole_and_give_way_to_most_of_the_text():
+    story = STORY.strip()
+    for page in (
+        "<body class='has-sidebar'><p>{}</p></body>", "<html class='modal-open no-menu'><body id=widget><p>{}</p>", "<div class='no-menu'><p>{}</p></div>",
+        "<article class='post has-comments'><p>{}</p></article>", "<article class=comments><p>{}</p></article>", "<body><form><div><p>{}</p></div></form></body>",
+        "<div class=sidebar><p>{}</p></div><div class=menu><a href=x>Home</a></div>", "<div id=comments><p>{}</p></div><p>Short.</p>", "<form><p>{}</p><nav>Menu here</nav></form>",
+    ):
+        assert story in html_extract.main_text(page.format(STORY)), page
+        assert "Menu" not in html_extract.main_text(page.format(STORY)) and "Home" not in html_extract.main_text(page.format(STORY))
+    assert html_extract.main_text("<form><p>All is short.</p><p>Short too.</p></form>") == "All is short.\nShort too."
+    assert html_extract.main_text(f"<p>{STORY}</p><div class=widget><p>{STORY}</p><p>Buy it.</p></div>") == f"{story}\n{story}"
+    for name in ("sidebar", "site-footer", "comment-list", "cookie-notice", "main-nav l-menu"):
+        assert html_extract.main_text(f"<p>{STORY}</p><p>Ends.</p><div class='{name}'><p>{STORY}</p></div>") == f"{story}\nEnds.", name
+    assert html_extract.main_text(f"<p hidden>{STORY}</p>") == ""
+
+
 def test_extract_rows(spark):
     rows = [(i, f"http://x/{i}", h, "t") for i, h in enumerate(PAGES)] + [(0, None, None, "t"), (None, "u", "<article>" + "<p>x y</p>" * 50_000, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
