@@ -11,10 +11,11 @@
 4. Search: each query keeps its ``beam`` best nodes, opens the best unopened ones,
    joins them to the graph and merges what it finds, until none is unopened. It
    begins at its own node, if it is in the graph, and at a few fixed entry nodes.
-5. The best of the beam are scored anew, in double precision on the original
-   vectors; equal scores go to the smaller id.
+5. The best of the beam, and all that rounding could put among the nearest, are
+   scored anew, in double precision on the original vectors; equal scores go to
+   the smaller id. The beam is wider than ``beam`` where more nodes tie so.
 
-Graph and search compare vectors in one byte a component. Every row is indexed.
+Graph and search compare unit vectors in four bytes a component. Every row is indexed.
 
 Rows: vectors that are null, zero, of a length other than the most frequent one,
 or hold null or non-finite components take no part, nor do null ids. Repeated
@@ -52,8 +53,8 @@ class Shape:
     seed: int = 11
 
 
-#: Frontiers (query, node, 72 bytes) of at most so many rows may be broadcast to the graph; larger ones are joined by shuffle.
-BROADCAST_FRONTIER = 500_000
+#: Frontiers (query, node, 256 bytes at 64 dimensions) of at most so many rows may be broadcast to the graph; larger ones are joined by shuffle.
+BROADCAST_FRONTIER = 125_000
 _PAIR = pa.list_(pa.struct([("score", pa.float32()), ("node", pa.int64())]))
 
 
@@ -69,17 +70,19 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _packed(v: np.ndarray) -> list[bytes]:
-    """Unit vectors in bytes, each after its scale."""
+    """Unit vectors as floats."""
     v = v / np.abs(v).max(1, keepdims=True)  # first, so that squares neither overflow nor vanish
     v = v / np.sqrt((v * v).sum(1, keepdims=True))
-    scale = np.abs(v).max(1) / 127
-    q = np.rint(v / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + x.tobytes() for s, x in zip(scale.astype(np.float32), q)]
+    return [x.tobytes() for x in v.astype(np.float32)]
 
 
 def _floats(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1)
+
+
+def _margin(dims: int) -> float:
+    """By how much the rounding of two scores (components, products, sums, result) may misplace them at most."""
+    return (dims + 4) * 2.0**-23
 
 
 def nodes(rows: DataFrame, kept: int) -> DataFrame:
@@ -177,25 +180,39 @@ def build(indexed: DataFrame, shape: Shape = Shape()) -> DataFrame:
     return graph
 
 
-def _opened(shape: Shape):
-    """Merge what was found into each query's beam and name the nodes to open next."""
+def _near(scores: list[float], kept: int, k: int, margin: float) -> int:
+    """How many of the scores, best first, are kept: ``kept``, and all that may belong to the ``k`` best and the query's own node."""
+    if len(scores) <= kept:
+        return len(scores)
+    floor = scores[min(k, len(scores) - 1)] - margin
+    while kept < len(scores) and scores[kept] >= floor:
+        kept += 1
+    return kept
+
+
+def _opened(shape: Shape, k: int):
+    """Merge what was found into each query's beam, name the nodes to open next and how many to score anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("score", pa.float32()), ("node", pa.int64()), ("open", pa.bool_())]))
         for b in batches:
-            beams, fronts = [], []
-            for entries in b.column(2).to_pylist():
+            beams, fronts, again = [], [], []
+            for q, entries in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got: dict[int, tuple[float, bool]] = {}
                 for e in entries:
                     if e["node"] not in got or e["open"]:
                         got[e["node"]] = (e["score"], e["open"])
-                top = sorted(got.items(), key=lambda x: (-x[1][0], x[0]))[: shape.beam]
+                top = sorted(got.items(), key=lambda x: (-x[1][0], x[0]))
+                scores, margin = [s for _, (s, _) in top], _margin(len(q) // 4)
+                top = top[: _near(scores, shape.beam, k, margin)]
+                again.append(min(len(top), _near(scores, shape.rescored, k, margin)))
                 front = [i for i, (_, opened) in top if not opened][: shape.opened]
                 chosen = set(front)
                 beams.append([{"score": s, "node": i, "open": o or i in chosen} for i, (s, o) in top])
                 fronts.append(front)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(beams, kind), pa.array(fronts, pa.list_(pa.int64()))], names=["query", "q", "beam", "front"]
+                [b.column(0), b.column(1), pa.array(beams, kind), pa.array(fronts, pa.list_(pa.int64())), pa.array(again, pa.int32())],
+                names=["query", "q", "beam", "front", "again"],
             )
 
     return run
@@ -211,8 +228,8 @@ def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _PAIR)], names=["query", "found"])
 
 
-def search(queries: DataFrame, indexed: DataFrame, graph: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """query, node: the most promising nodes of each query (query: its node or any id; q: packed vector)."""
+def search(queries: DataFrame, indexed: DataFrame, graph: DataFrame, shape: Shape = Shape(), k: int = 5) -> DataFrame:
+    """query, node: all nodes of each query's beam that may be among its ``k`` nearest (query: its node or any id; q: packed vector)."""
     wide = _members(graph, shape).join(indexed.select("node", "q"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "q")).alias("members"))
     wide = settle(wide)
     first = indexed.orderBy(F.xxhash64("node"), "node").limit(shape.entries).select("node", "q").collect()
@@ -230,13 +247,14 @@ def search(queries: DataFrame, indexed: DataFrame, graph: DataFrame, shape: Shap
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], names=["query", "q", "entries"])
 
     entries = "entries array<struct<score:float,node:long,open:boolean>>"
+    beam = "beam array<struct<score:float,node:long,open:boolean>>, front array<long>, again int"
     state = queries.select("query", "q").mapInArrow(start, f"query long, q binary, {entries}")
     while True:
-        state = settle(state.mapInArrow(_opened(shape), "query long, q binary, beam array<struct<score:float,node:long,open:boolean>>, front array<long>"))
+        state = settle(state.mapInArrow(_opened(shape, k), f"query long, q binary, {beam}"))
         front = state.select("query", "q", F.explode("front").alias("at"))
         size = state.agg(F.sum(F.size("front"))).first()[0]
         if not size:
-            return state.select("query", F.explode(F.slice("beam.node", 1, shape.rescored)).alias("node"))
+            return state.select("query", F.explode(F.slice("beam.node", F.lit(1), F.col("again"))).alias("node"))
         asked = F.broadcast(front) if size <= BROADCAST_FRONTIER else front
         looked = wide.join(asked, F.col("g") == F.col("at")).select("query", "q", "members").mapInArrow(
             _looked, "query long, found array<struct<score:float,node:long>>"
@@ -265,14 +283,14 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, shape: Shape = S
     keyed = indexed.select("node", "q", "v", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"))
     asking = settle(asking.join(keyed, ["k1", "k2"]).select("query_id", "node", "q", "v"))
     queries = asking.select(F.col("node").alias("query"), "q").dropDuplicates(["query"])
-    near = search(queries, indexed, graph, shape)
+    near = search(queries, indexed, graph, shape, k)
     own = queries.select("query", F.col("query").alias("node"))
     pairs = near.union(own).distinct()
     left = pairs.join(indexed.select(F.col("node").alias("query"), F.col("v").alias("a")), "query")
     both = left.join(indexed.select("node", "ids", F.col("v").alias("b")), "node")
     scored = both.select("query", F.explode("ids").alias("vec_id"), cosine(F.col("a"), F.col("b")).alias("score"))
     order = F.struct((-F.col("score")).alias("far"), "vec_id", "score")
-    lists = scored.groupBy("query").agg(F.sort_array(F.collect_list(order)).alias("all"))  # rescored * (k + 1) entries at most
+    lists = scored.groupBy("query").agg(F.sort_array(F.collect_list(order)).alias("all"))  # (k + 1) for each node scored anew
     top = asking.select("query_id", F.col("node").alias("query")).join(lists, "query").select(
         "query_id", F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top")
     )

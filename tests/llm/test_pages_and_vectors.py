@@ -242,6 +242,23 @@ def test_neighbours_query_recall(spark, sf):
     assert recall(vectors, QUERIES["op4_nn_descent"](spark, sf).collect()) >= 0.95
 
 
+def test_neighbours_within_groups_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=64)
+    noise = rng.normal(size=(800, 64)) * 0.019  # neighbours' cosine about 0.9993
+    x = np.where((np.arange(800) < 700)[:, None], middle + noise, rng.normal(size=(800, 64)))
+    vectors = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert recall(vectors, ann.neighbours(df, shape=ann.Shape(rounds=3, starts=2)).collect()) >= 0.95
+
+
+def test_scores_that_tie_within_rounding_widen_beam_and_rescoring():
+    margin = ann._margin(64)
+    scores = [1.0, *[0.9 - margin / 1000 * i for i in range(700)], *[0.5] * 300]
+    assert ann._near(scores, 32, 5, margin) == ann._near(scores, 512, 5, margin) == 701
+    assert ann._near(scores[:20], 32, 5, margin) == 20 and ann._near([1.0 - i / 100 for i in range(90)], 32, 5, margin) == 32
+
+
 def test_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(2)
     good = [(i, [float(np.float32(y)) for y in rng.normal(size=6)]) for i in range(150)]
