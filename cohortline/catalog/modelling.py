@@ -278,10 +278,10 @@ def oof_once(spark, sf):
 def nested_elastic_net(spark, sf):
     """Grid search with subject-safe inner folds; scores of every fold's best set."""
     df = _regression_rows(spark, sf)
-    grid = L.parameter_grid({"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.2, 0.8]})
+    grid = L.parameter_grid({"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.6, 0.7, 0.8, 0.9, 0.95, 0.99]})
     run = L.nested_cross_validate(
         df, "fold", range(1, 6), "id", "y", L.preparation(["price", "l_discount", "l_tax"]), "ElasticNet", grid, "spearman",
-        inner_k=3, group="snapshot_id", parallelism=8,
+        inner_k=5, group="snapshot_id", parallelism=8,
     )
     scores = evaluate(run.predictions, "True_value", "Predicted_value", ["mse", "smape", "spearman"], ["fold"])
     best = L.tuning_table(df, run).filter("best").select("fold", F.col("params")["alpha"].alias("alpha"), F.col("params")["l1_ratio"].alias("l1_ratio"))
@@ -302,7 +302,7 @@ def _class_rows(spark, sf):
     emb = load(spark, sf, "embeddings")
     return emb.select(
         F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("y"), F.col("label").alias("label"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)], (F.col("vec_id") % 3 + 1).cast("int").alias("fold"),
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)], (F.col("vec_id") % 3 + 1).cast("int").alias("fold"),
     )
 
 
@@ -315,7 +315,7 @@ _CLASSIFIERS = {
 @query("classifier_scores")
 def classifier_scores(spark, sf):
     """Out-of-fold scores of every classifier on two halves of the embedding labels."""
-    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(16)]
+    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(64)]
     out = None
     for model, params in _CLASSIFIERS.items():
         run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.preparation(names), model, params, classes=["no", "yes"])
@@ -328,7 +328,7 @@ def classifier_scores(spark, sf):
 @query("multiclass_tree")
 def multiclass_tree(spark, sf):
     """Ten-class tree with one probability column per class."""
-    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(16)]
+    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(64)]
     run = L.cross_validate(df, "fold", [1, 2, 3], "id", "label", L.preparation(names), "DecisionTreeClassifier", {"max_depth": 8}, classes=[str(c) for c in range(10)])
     return rounded(run.predictions, "Predicted_value", *[f"{c}_probability" for c in range(10)])
 
@@ -336,7 +336,7 @@ def multiclass_tree(spark, sf):
 @query("external_scoring", "select vec_id as id, 3 as folds, true as proper from embeddings")
 def external_scoring(spark, sf):
     """Every fold's model scores all rows; averaged probabilities stay proper."""
-    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(16)]
+    df, names = _class_rows(spark, sf), [f"e{i}" for i in range(64)]
     run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.preparation(names), "LogisticRegression", {"max_iter": 20})
     scored = L.score_external(df, run.models, "id", ["no", "yes"])
     mean = E.fold_average(scored, ["id"], ["no_probability", "yes_probability"])
@@ -363,9 +363,9 @@ select y, (select max(n) from (select count(*) as n from d group by y)) as n fro
 "d as (select case when label >= 7 then 1 else 0 end as y from embeddings)"))
 def smote_sizes(spark, sf):
     df = load(spark, sf, "embeddings").select(
-        "vec_id", (F.col("label") >= 7).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]
+        "vec_id", (F.col("label") >= 7).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]
     )
-    filled = resample(df, "y", "vec_id", "smote", features=[f"e{i}" for i in range(8)])
+    filled = resample(df, "y", "vec_id", "smote", features=[f"e{i}" for i in range(64)])
     return filled.groupBy("y").agg(F.count_distinct("vec_id").alias("n"))
 
 
