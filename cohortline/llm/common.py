@@ -38,8 +38,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def number_within(settled: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps (long column ``name``).
+def number_within(settled: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, size: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps (long column ``name``), with the group's row count as ``size``.
 
     ``settled`` must be a checkpointed table: its partitions then hold the same
     rows whenever they are read. Each partition numbers its own rows of a group
@@ -49,7 +49,8 @@ def number_within(settled: DataFrame, keys: Sequence[str], order: Sequence[str],
     tagged = settled.withColumn("__part", F.spark_partition_id())
     per_part = tagged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_part.select("__part", *keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    whole = [F.sum("__n").over(Window.partitionBy(*keys)).alias(size)] if size else []
+    starts = per_part.select("__part", *keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"), *whole)
     inside = Window.partitionBy("__part", *keys).orderBy(*order)
     local = tagged.withColumn("__at", F.row_number().over(inside).cast("long") - 1)
     joined = local.join(starts, ["__part", *keys])

@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,46 +55,42 @@ class ChunkEncoder(dict):
         self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all([text])[0]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the new plain words of a batch in one go (they share the cost of a call)."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a batch's new chunks are encoded first, in common."""
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*chunks))
+        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode the new plain words in a few calls (they share the cost of a call) and put their chunks together."""
         if len(self) > REMEMBERED:
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        new = set()
-        for text in texts:
-            new.update(text.replace("\n", " ").split(" "))
-        words = set()
-        for chunk in new.difference(self):
-            m = _PLAIN.match(chunk)
-            if m and (w := m[1].lower()) not in self.parts:
-                words.add(w)
-        ordered = sorted(words)
-        for i in range(0, len(ordered), 256):
-            some = ordered[i : i + 256]
+        plain = [(c, m[1].lower(), m[2]) for c in chunks.difference(self) if (m := _PLAIN.match(c))]
+        parts = self.parts
+        words = list({w for _, w, _ in plain}.difference(parts))
+        for i in range(0, len(words), 256):
+            some = words[i : i + 256]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in some]
-            for word, token in zip(found.word_ids, found.ids):
-                ids[word].append(token)
-            for w, x in zip(some, ids):
-                self.parts[w] = b"".join(t.to_bytes(4, "little") for t in x)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some)), side="right")).tolist()
+            at = 0
+            for word, end in zip(some, ends):
+                parts[word] = ids[at:end]
+                at = end
+        for chunk, word, marks in plain:
+            if marks not in parts:
+                parts[marks] = self._whole(marks)
+            self[chunk] = parts[word] + parts[marks]
 
     def _whole(self, piece: str) -> bytes:
         return b"".join(t.to_bytes(4, "little") for t in self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        m = _PLAIN.match(chunk)
-        if m:
-            out = b""
-            for part in (m[1].lower(), m[2]):
-                if part not in self.parts:
-                    self.parts[part] = self._whole(part)
-                out += self.parts[part]
-        else:
-            out = self._whole(chunk)
-        self[chunk] = out
+        out = self[chunk] = self._whole(chunk)
         return out
 
 
@@ -113,10 +110,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         enc = encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            enc.learn(texts)
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts)):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for col, v in zip(rows, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):

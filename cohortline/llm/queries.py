@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import ann, decontamination, html_extract, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
+from cohortline.llm import (
+    ann, decontamination, html_extract, manifest, ngram_join, packing, periodic_runs, secret_scan, sharding, toxicity, url_filter,
+    vector_packing, warc,
+)
 from cohortline.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +180,111 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(docs)))
+
+
+#: crc32 of a string of ASCII digits, bit by bit: each byte is followed by its eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+  string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end), 4294967295::bigint)"""
+
+SQL["op11_periodic_runs"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, CRC as h,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+e as (select *, h // 10 as g, len(w) as n from d),
+f as (
+  select r, doc_id, w, n, case when h % 10 = 0 and n > 0 then g % n end as a,
+    case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) end as p from e),
+t as (
+  select r, doc_id, n,
+    case when a is null then w else list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) end as w
+  from f),
+-- 16 equal words in a row hold 8 equal ones that begin at a multiple of 8, so these pairs show every lag of a run
+k as (select r, n, i, array_to_string(w[i + 1:i + 8], ' ') as gram from (select r, n, w, unnest(range(0, n - 7)) as i from t where n >= 24)),
+lags as (select distinct x.r, y.i - x.i as q from k x join k y on x.r = y.r and x.gram = y.gram and x.i % 8 = 0 and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+m as (
+  select r, q, i from (select t.r, t.n, q, t.w, unnest(range(0, t.n - q)) as i from lags join t using (r))
+  where w[i + 1] = w[i + q + 1]),
+s as (
+  select r, q, min(i) as start, count(*) + q as length
+  from (select r, q, i, i - row_number() over (partition by r, q order by i) as island from m) group by r, q, island),
+u as (select r, start, length, min(q) as period from s group by r, start, length having length >= greatest(24, 3 * min(q))),
+best as (
+  select r, start, length, period from u
+  qualify row_number() over (partition by r order by cast(length as double) / period desc, start, period) = 1),
+lines as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as x from u group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+kept as (
+  select v.r, string_agg(v.x, ' ' order by v.i) as x
+  from (select r, unnest(range(0, n)) as i, unnest(w) as x from t) v anti join gone using (r, i) group by v.r)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines.x, '')) as runs_sha256, sha256(coalesce(kept.x, '')) as collapsed_sha256
+from t left join lines using (r) left join best using (r) left join kept using (r)
+""".replace("CRC", _CRC32)
+
+
+@query
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered(load(spark, sf_dir, "documents"))
+
+
+SQL["op13_merkle_manifest"] = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, source, CRC as h, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+      || coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-') as head, text from documents),
+l as (
+  select r, doc_id, source, h, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) as low
+  from d),
+o as (
+  select r, doc_id, leaf, case when h % 5 = 0 then low else leaf end as seen, dense_rank() over (order by source nulls first) - 1 as s,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n
+  from l),
+up(s, level, i, n, x) as (
+  select s, 0, i, n, leaf from o
+  union all
+  select distinct s, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(x, '') over (partition by s, i // 16 order by i rows between unbounded preceding and unbounded following))
+  from up where n > 1),
+sub as (select s, x as subroot, level as height, count(*) over () as n from up where n = 1),
+top(level, i, n, x) as (
+  select 0, s, n, subroot from sub
+  union all
+  select distinct level + 1, i // 16, (n + 15) // 16, sha256(string_agg(x, '') over (partition by i // 16 order by i rows between unbounded preceding and unbounded following))
+  from top where n > 1),
+nodes as (
+  select s, level, i, n, x from up
+  union all
+  select sub.s, sub.height + t.level, t.i, t.n, t.x from top t, sub where t.n > 1 or t.level > 0),
+-- the leaf's node on each level: its own tree's, from the subroot on the top tree's
+mine as (
+  select o.r, o.s, k.level, o.i // cast(power(16, k.level) as bigint) as i from o join sub using (s), lateral (select unnest(range(0, sub.height)) as level) k
+  union all
+  select o.r, o.s, sub.height + k.level, o.s // cast(power(16, k.level) as bigint)
+  from o join sub using (s), lateral (select unnest(range(0, (select max(level) from top))) as level) k),
+path as (
+  select m.r, m.level, coalesce(string_agg(b.x, '' order by b.i) filter (b.i < m.i), '') as before,
+    coalesce(string_agg(b.x, '' order by b.i) filter (b.i > m.i), '') as behind
+  from mine m join nodes b on b.s = m.s and b.level = m.level and b.n > 1 and b.i // 16 = m.i // 16 group by m.r, m.level, m.i),
+fold(r, level, x) as (
+  select r, 0, seen from o
+  union all
+  select f.r, f.level + 1, sha256(p.before || f.x || p.behind) from fold f join path p on p.r = f.r and p.level = f.level),
+proof as (select r, string_agg(before || behind, '' order by level) as x from path group by r)
+select o.doc_id, o.leaf, sub.subroot, (select x from top where n = 1) as root, sha256(coalesce(proof.x, '')) as proof_sha256,
+  f.x as folded_root, f.x = (select x from top where n = 1) as verified
+from o join sub using (s) left join proof using (r)
+  join (select r, x from fold qualify row_number() over (partition by r order by level desc) = 1) f using (r)
+""".replace("CRC", _CRC32)
