@@ -47,13 +47,13 @@ def _is_root() -> Column:
 
 
 def build(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """The levels of all trees from ``leaves`` (tree, rank, n, hash) up.
+    """The levels of all trees from ``leaves`` (tree, rank, n, hash; other columns stay with them) up.
 
     Each level is a written table of tree, lo, hi, n, hash and, above the leaves,
     children (lo, hi, hash of each, in order). A tree ends at the level where one
     node covers it, so there are as many levels as the largest tree has.
     """
-    levels = [leaves.select("tree", F.col("rank").alias("lo"), F.col("rank").alias("hi"), "n", "hash")]
+    levels = [leaves.withColumnRenamed("rank", "lo").withColumn("hi", F.col("lo"))]
     largest = leaves.agg(F.max("n")).first()[0] or 0
     width = 1
     while width < largest:
@@ -77,17 +77,19 @@ def roots(levels: list[DataFrame]) -> DataFrame:
 
 
 def prove(levels: list[DataFrame], above: DataFrame, fan: int = FAN) -> DataFrame:
-    """tree, rank and proof of every leaf, with the columns of ``above``.
+    """The leaves with their rank and proof, and with the columns of ``above``.
 
     A proof lists, from the leaf's level up, the hashes of the siblings before
     and behind, each side put together. ``above`` has a row per tree: tree, what
-    follows the tree's root in proofs (``proof``), and columns to hand down.
+    follows the tree's root in proofs (``proof``), and columns to hand down. Proofs
+    go down with the nodes above the leaves; leaves, which are far more, meet only
+    those of their run and are moved without them.
     """
     more = [c for c in above.columns if c not in ("tree", "proof")]
     proven = None  # the nodes of the level above with their proofs
     for k in range(len(levels) - 1, -1, -1):
-        level = levels[k] if k else levels[0].withColumn("children", F.lit(None))
-        kept = ["tree", "lo", "hi", "children", "proof", *more]
+        level = levels[k]
+        kept = [*[c for c in level.columns if c != "n"], "proof", *more]
         out = level.filter(_is_root()).join(above, "tree").select(*kept)
         if proven is not None:
             width = fan ** (k + 1)
@@ -102,7 +104,7 @@ def prove(levels: list[DataFrame], above: DataFrame, fan: int = FAN) -> DataFram
             step = F.array(F.struct(before.alias("before"), behind.alias("behind")))
             out = out.unionByName(inner.withColumn("proof", F.concat(step, "rest")).select(*kept))
         proven = out
-    return proven.withColumnRenamed("lo", "rank").drop("hi", "children")
+    return proven.withColumnRenamed("lo", "rank").drop("hi")
 
 
 def fold(leaf: Column, proof: Column) -> Column:
@@ -116,18 +118,14 @@ def manifest(rows: DataFrame, order: str, fan: int = FAN) -> DataFrame:
     Returns the rows with rank, proof, subroot and root.
     """
     placed = settle(settle(rows).orderBy("__tree", F.col(order).asc_nulls_first(), "__leaf"))
-    ranked = settle(number_within(placed, ["__tree"], [F.col(order).asc_nulls_first(), "__leaf"], "rank", size="__n"))
-    levels = build(ranked.select(F.col("__tree").alias("tree"), "rank", F.col("__n").alias("n"), F.col("__leaf").alias("hash")), fan)
-    subroots = settle(roots(levels).orderBy("tree"))
-    top = settle(number_within(subroots, [], ["tree"], "rank", size="n"))
-    top_leaves = top.select(F.lit("").alias("tree"), "rank", "n", "hash")
-    top_levels = build(top_leaves, fan)
+    ranked = settle(number_within(placed, ["__tree"], [F.col(order).asc_nulls_first(), "__leaf"], "rank", size="n"))
+    levels = build(ranked.withColumnsRenamed({"__tree": "tree", "__leaf": "hash"}), fan)
+    subroots = settle(roots(levels).select(F.col("tree").alias("name"), "hash", F.lit("").alias("tree")).orderBy("name"))
+    top_levels = build(settle(number_within(subroots, ["tree"], ["name"], "rank", size="n")), fan)
     none = F.array().cast("array<struct<before:string,behind:string>>")
     root = roots(top_levels).select("tree", none.alias("proof"), F.col("hash").alias("root"))
-    names = top.select("rank", F.col("tree").alias("name"), F.col("hash").alias("subroot"))
-    above = prove(top_levels, root, fan).join(names, "rank").select(F.col("name").alias("tree"), "proof", "subroot", "root")
-    proofs = prove(levels, settle(above), fan)
-    return ranked.drop("__n").join(proofs.withColumnRenamed("tree", "__tree"), ["__tree", "rank"])
+    above = prove(top_levels, root, fan).select(F.col("name").alias("tree"), "proof", F.col("hash").alias("subroot"), "root")
+    return prove(levels, settle(above), fan).withColumnsRenamed({"tree": "__tree", "hash": "__leaf"})
 
 
 def tree_name(column: Column) -> Column:
