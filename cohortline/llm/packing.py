@@ -28,70 +28,204 @@ from cohortline.llm.common import number_within, settle, text_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Chunks and words whose ids a worker remembers, and ids it keeps for them; beyond that it starts anew.
+REMEMBERED, KEPT_IDS = 1 << 21, 1 << 25
+#: Bytes that are hashed at once.
+WINDOW = 1 << 20
 
 # A run of Latin letters, then ASCII marks: exactly one word and at most one run of marks for the tokenizer.
 _PLAIN = re.compile(r"([a-zA-Zà-öø-ÿÀ-ÖØ-Þß]+)([.,;:!?$%*#&()]*)\Z")
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+_TRUE = np.ones(1, bool)
 
 
-class ChunkEncoder(dict):
-    """Ids, as little-endian bytes, of what stands between two spaces.
+class _Numbers:
+    """A hash table from 64-bit keys (not 0) to numbers, asked and filled by whole arrays."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        out = np.full(len(keys), -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            there, want = self.keys[slot], keys[todo]
+            hit = there == want
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, first: int) -> None:
+        """Number new, distinct keys from ``first`` on."""
+        todo, slot = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, lead = np.unique(slot[free], return_index=True)
+            won = free[lead]
+            self.keys[slot[won]] = keys[todo[won]]
+            self.values[slot[won]] = first + todo[won]
+            rest = np.ones(len(todo), bool)
+            rest[won] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & self.mask
+
+
+class ChunkEncoder:
+    """Ids of texts by way of what stands between two spaces.
 
     The tokenizer never joins characters over white space, so a text's ids are
     those of its chunks one after the other, and a chunk is encoded only once.
-    Plain chunks go on to their word and their marks, which repeat more often.
+    Chunks are told apart by 64-bit hashes of their bytes, which NumPy makes for a
+    batch at once; so are their ids looked up and put together. Plain chunks go on
+    to their word and their marks, which repeat more often.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # Lower-case words of Latin letters between spaces need neither the normaliser nor the splitting expression.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.no_padding()
+        self.of_words.no_truncation()
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        rng = np.random.default_rng(20240229)
+        self.byte = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1 << 60, 1 << 61)) * 8 + 3
+        self.power = self.back = np.ones(1, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers(REMEMBERED.bit_length())
+        self.ids = np.zeros(1 << 16, np.uint32)  # of all chunks, one after the other
+        self.ends = np.zeros(1 << 12, np.int64)  # chunk n has ids[ends[n] : ends[n + 1]]
+        self.chunks = 0
         self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; a batch's new chunks are encoded first, in common."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*chunks))
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode the new plain words in a few calls (they share the cost of a call) and put their chunks together."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        plain = [(c, m[1].lower(), m[2]) for c in chunks.difference(self) if (m := _PLAIN.match(c))]
-        parts = self.parts
-        words = list({w for _, w, _ in plain}.difference(parts))
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: none) as little-endian unsigned 32-bit numbers."""
+        if not len(texts):
+            return []
+        texts = texts.fill_null("").cast(pa.large_string())
+        if self.chunks > REMEMBERED // 2 or self.ends[self.chunks] > KEPT_IDS:
+            self._forget()
+        edge = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None else np.zeros(0, np.uint8)
+        edge = edge - edge[0]
+        gap = (raw == 32) | (raw == 10)
+        fresh = np.zeros(len(raw) + 1, bool)  # a text begins here
+        fresh[edge] = True
+        starts = np.flatnonzero(~gap & (np.concatenate((_TRUE, gap[:-1])) | fresh[:-1]))
+        stops = np.flatnonzero(~gap & (np.concatenate((gap[1:], _TRUE)) | fresh[1:])) + 1
+        number = self._numbered(raw, starts, stops)
+        begin, size = self.ends[number], np.diff(self.ends[: self.chunks + 1])[number]
+        after = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(begin - after[:-1], size) + np.arange(after[-1])
+        ids = self.ids[at].astype("<u4", copy=False)
+        cut = after[np.searchsorted(starts, edge)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def _keys(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """A hash of each chunk's bytes: differences of running sums of byte codes times powers of an odd number."""
+        out, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            low = starts[i]
+            j = max(i + 1, int(np.searchsorted(stops, low + WINDOW, side="right")))
+            high = int(stops[j - 1])
+            self._powers(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.byte[raw[low:high]] * self.power[: high - low], out=sums[1:])
+            a, b = starts[i:j] - low, stops[i:j] - low
+            out[i:j] = (sums[b] - sums[a]) * self.back[a] + (b - a).astype(np.uint64)
+            i = j
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        out[out == 0] = 1
+        return out
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, WINDOW + 1)
+            inverse = pow(self.base, -1, 1 << 64)
+            self.power, self.back = (
+                np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64)))) for b in (self.base, inverse)
+            )
+
+    def _numbered(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks; new ones are encoded first."""
+        keys = self._keys(raw, starts, stops)
+        number = self.numbers.find(keys)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, first, of = np.unique(keys[missing], return_index=True, return_inverse=True)
+            text, where = raw.tobytes(), missing[first]
+            self._learn([text[a:b].decode() for a, b in zip(starts[where].tolist(), stops[where].tolist())])
+            made = self.chunks - len(new)
+            if 2 * self.chunks > len(self.numbers.keys):  # a batch of more new chunks than are remembered
+                self._grow()
+            self.numbers.add(new, made)
+            number[missing] = made + of
+        return number
+
+    def _grow(self) -> None:
+        old = self.numbers
+        self.numbers = _Numbers((2 * self.chunks).bit_length())
+        held = np.flatnonzero(old.keys)
+        order = np.argsort(old.values[held])
+        self.numbers.add(old.keys[held][order], 0)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Number and encode new chunks; their plain words in a few calls, which share the cost of a call."""
+        parts, plain = self.parts, []
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                plain.append((c.lower(), ""))
+            elif m := _PLAIN.match(c):
+                plain.append((m[1].lower(), m[2]))
+            else:
+                plain.append((None, c))
+        words = list({w for w, _ in plain if w is not None}.difference(parts))
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            found = self.of_words.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some)), side="right")).tolist()
             at = 0
             for word, end in zip(some, ends):
                 parts[word] = ids[at:end]
                 at = end
-        for chunk, word, marks in plain:
-            if marks not in parts:
-                parts[marks] = self._whole(marks)
-            self[chunk] = parts[word] + parts[marks]
+        for marks in {m for w, m in plain if w is not None}.difference(parts):
+            parts[marks] = self._whole(marks)
+        made = [parts[w] + parts[m] if w is not None else self._whole(m) for w, m in plain]
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        new = np.frombuffer(b"".join(made), "<u4")
+        top = int(self.ends[self.chunks])
+        while len(self.ends) < self.chunks + len(made) + 1:
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while len(self.ids) < top + len(new):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[top : top + len(new)] = new
+        self.ends[self.chunks + 1 : self.chunks + len(made) + 1] = top + np.cumsum(size)
+        self.chunks += len(made)
 
     def _whole(self, piece: str) -> bytes:
-        return b"".join(t.to_bytes(4, "little") for t in self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self[chunk] = self._whole(chunk)
-        return out
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -109,10 +243,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts)):
-                ids += end
+            for doc, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                ids = found.tobytes() + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for col, v in zip(rows, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -165,12 +165,12 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.list_(pa.int64())) for c in columns[8:]], names=names)
 
         for b in batches:
-            after = enc.encode_all([t or "" for t in b.column(1).to_pylist()])
-            before = enc.encode_all([t or "" for t in b.column(2).to_pylist()]) if prompt else [b""] * len(after)
+            after = enc.encode_all(b.column(1))
+            before = enc.encode_all(b.column(2)) if prompt else [after[0][:0]] * len(after) if after else []
             for doc, x, y in zip(b.column(0).to_pylist(), before, after):
-                ids = x + y + end
+                ids = x.tobytes() + y.tobytes() + end
                 length = len(ids) // 4
-                packer.add((doc, ids), length, len(x) // 4 if prompt else int(length * prompt_share))
+                packer.add((doc, ids), length, len(x) if prompt else int(length * prompt_share))
             yield rows(WAITING, WAITING_IDS)
         yield rows(0, 0)
 
