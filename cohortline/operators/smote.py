@@ -1,6 +1,18 @@
-"""Synthetic minority rows between exact nearest neighbours.
+"""Synthetic minority rows between nearest neighbours.
 
-Neighbours are found block against block in NumPy, so no pair table exists.
+Two searches, both in NumPy inside tasks, so that no pair table exists.
+
+``bucket_neighbours`` does work in proportion to the rows. Several times over, rows
+are put in an order by the signs of their projections on a few random axes (each
+cut at its median) and the projection on one more, and the order is cut into
+buckets of ``bucket_rows`` rows, each of which overlaps half of the one before: a
+row is compared with all rows of two buckets, so neighbours across a cut meet in
+the other one (multi-probe). Equal rows can't overfill a bucket, as buckets are
+cut by rows. Neighbours are exact while a class fits into half a bucket; beyond
+that some are missed, fewer with more ``tables``.
+
+``minority_neighbours`` is exact at any size, but visits more blocks the more rows
+and features there are.
 Minority rows are ordered along the feature of largest spread and cut into
 blocks of fixed size. The distance along one feature never exceeds the full
 distance, which gives an exact search in two rounds:
@@ -20,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators.rank import attach
-from cohortline.operators.running import row_positions
+from cohortline.operators.running import row_positions, settle
 
 BLOCK_ROWS = 4096
+BUCKET_ROWS, TABLES = 1024, 8
+#: Rows that medians of projections are read off.
+SAMPLE_ROWS = 10_000
 
 
 def _nearest(query: np.ndarray, query_ids: np.ndarray, ref: np.ndarray, ref_ids: np.ndarray, k: int):
@@ -86,16 +101,81 @@ def minority_neighbours(df: DataFrame, row_id: str, features: Sequence[str], k:
     return best.select(F.col("id").alias(row_id), "near")
 
 
+def _axes(dims: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    """Random unit axes: for each table ``bits`` for signs and one to order by."""
+    axes = np.random.default_rng(seed).normal(size=(tables * (bits + 1), dims))
+    return axes / np.linalg.norm(axes, axis=1, keepdims=True)
+
+
+def in_buckets(data: DataFrame, dims: int, bucket_rows: int = BUCKET_ROWS, tables: int = TABLES, seed: int = 17) -> DataFrame:
+    """(id, x, t, bucket): each row (id, x) in two buckets of each of the tables, at most ``bucket_rows`` in a bucket."""
+    rows = data.count()
+    bits = max(0, int(math.log2(max(1.0, rows / bucket_rows))))
+    axes = _axes(dims, tables, bits, seed)
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    some = data.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").toPandas()["x"]
+    middle = np.median(np.vstack(some) @ axes.T, axis=0) if len(some) else np.zeros(len(axes))
+
+    def project(batches):
+        for pdf in batches:
+            if len(pdf):
+                at = np.vstack(pdf["x"]) @ axes.T
+                signs = (at > middle).reshape(len(pdf), tables, bits + 1)[:, :, :bits]
+                code = signs.astype(np.int64) @ (1 << np.arange(bits))
+                yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "code": list(code), "at": list(at[:, bits :: bits + 1])})
+
+    projected = data.mapInPandas(project, "id long, x array<double>, code array<long>, at array<double>")
+    listed = projected.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"), "code", "at")
+    listed = listed.select("id", "x", "t", F.get("code", F.col("t")).alias("code"), F.get("at", F.col("t")).alias("at"))
+    half = max(1, bucket_rows // 2)
+    placed = row_positions(listed, ["t"], ["code", "at", "id"], "pos")
+    chunk = F.floor(F.col("pos") / half).cast("long")
+    return placed.select("id", "x", "t", F.explode(F.array(chunk, chunk - 1)).alias("bucket"))
+
+
+def bucket_neighbours(
+    df: DataFrame, row_id: str, features: Sequence[str], k: int = 5, bucket_rows: int = BUCKET_ROWS, tables: int = TABLES, seed: int = 17
+) -> DataFrame:
+    """``(row_id, near)``: up to k nearest rows found, as (distance, neighbour, y: its features), nearest first, ties by id.
+
+    Every row is sent to two buckets of each table, whatever the number of rows.
+    """
+    data = settle(df.select(F.col(row_id).cast("long").alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")))
+    sent = in_buckets(data, len(features), bucket_rows, tables, seed)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        best, dist = _nearest(np.vstack(pdf["x"]), ids, np.vstack(pdf["x"]), ids, k)
+        keep = np.isfinite(dist.ravel())
+        return pd.DataFrame({"id": np.repeat(ids, best.shape[1])[keep], "neighbour": ids[best.ravel()][keep]})
+
+    met = sent.groupBy("t", "bucket").applyInPandas(compare, "id long, neighbour long").distinct()
+    # At most 2 k candidates a table and row are measured once more, feature by feature.
+    here = data.select("id", F.col("x").alias("__x"))
+    there = data.select(F.col("id").alias("neighbour"), F.col("x").alias("y"))
+    pairs = met.join(here, "id").join(there, "neighbour")
+    square = F.aggregate(F.zip_with("__x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    best = pairs.withColumn("distance", F.sqrt(square)).groupBy("id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "y"))), 1, k).alias("near")
+    )
+    return best.select(F.col("id").alias(row_id), "near")
+
+
 def smote(
-    df: DataFrame, label: str, row_id: str, features: Sequence[str], k: int = 5, seed: int = 17, block_rows: int = BLOCK_ROWS
+    df: DataFrame, label: str, row_id: str, features: Sequence[str], k: int = 5, seed: int = 17, block_rows: int = BLOCK_ROWS,
+    search: str = "buckets",
 ) -> DataFrame:
     """Fill every smaller class up to the largest with interpolated rows.
 
+    ``search`` is "buckets" (work in proportion to the rows) or "exact".
+
     Result: ``row_id`` (negative for synthetic rows), label and features. A
     synthetic row lies at a seeded random point between a row and one of its k
     nearest neighbours of the same class.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if search not in ("buckets", "exact"):
+        raise ValueError('search is "buckets" or "exact"')
     target = max(sizes.values())
     base = df.select(row_id, label, *[F.col(f).cast("double").alias(f) for f in features])
     out, made = base, 0
@@ -104,7 +184,7 @@ def smote(
         if need == 0 or n < 2:
             continue
         rows = base.filter(F.col(label) == F.lit(value))
-        near = minority_neighbours(rows, row_id, features, k, block_rows)
+        near = minority_neighbours(rows, row_id, features, k, block_rows) if search == "exact" else bucket_neighbours(rows, row_id, features, k)
         placed = attach(row_positions(rows, [], [row_id], "__pos"), near, [row_id])
         share = F.lit(need // n) + F.when(F.col("__pos") < need % n, 1).otherwise(0)
         draws = placed.withColumn("__j", F.explode(F.when(share > 0, F.sequence(F.lit(1), share))))
