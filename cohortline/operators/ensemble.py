@@ -82,11 +82,14 @@ def stacked_feature(df: DataFrame, predictions: DataFrame, key: str, column: str
     return attach(df, checked.select(key, name), [key], "left")
 
 
-def up_the_tree(child: Column, parents: Sequence[Column], hard: bool = False) -> Column:
-    """Combine a child's probability with its ancestors': ``c*n + 0.5*(1-c)*n`` per level."""
+def up_the_tree(child: Column, parents: Sequence[Column], hard: bool = False, half_even: bool = False) -> Column:
+    """Combine a child's probability with its ancestors': ``c*n + 0.5*(1-c)*n`` per level.
+
+    ``hard`` rounds the ancestors' probabilities first; one half goes up, or to 0 with ``half_even``.
+    """
     out = child
     for p in parents:
-        n = F.round(p) if hard else p
+        n = (F.bround(p) if half_even else F.round(p)) if hard else p
         out = out * n + (F.lit(1.0) - out) * n * 0.5
     return out
 
