@@ -1,13 +1,15 @@
-"""Student-t tail probabilities, evaluated in tasks on Arrow batches."""
+"""Student-t tail probabilities and quantiles as column expressions.
+
+``t_tail`` and ``incomplete_beta`` are the same in NumPy.
+"""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,27 +65,68 @@ def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return incomplete_beta(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
 
 
-@F.pandas_udf(DoubleType())
-def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p value; NULL for missing or impossible input."""
-    tv, dv = t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
-    ok = np.isfinite(tv) & np.isfinite(dv) & (dv > 0)
-    out = np.full(len(tv), np.nan)
-    out[ok] = t_tail(tv[ok], dv[ok])
-    out[np.isinf(tv) & (dv > 0)] = 0.0
-    return pd.Series(out).where(lambda s: s.notna(), None)
-
-
-@F.pandas_udf(DoubleType())
-def student_t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper quantile q with P(|T| > q) = 1 - p, by bisection."""
-    pv, dv = p.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
-    ok = np.isfinite(pv) & np.isfinite(dv) & (dv > 0)
-    low, high = np.zeros(ok.sum()), np.full(ok.sum(), 1e7)
-    for _ in range(200):
-        mid = (low + high) / 2.0
-        above = t_tail(mid, dv[ok]) > 1.0 - pv[ok]
-        low, high = np.where(above, mid, low), np.where(above, high, mid)
-    out = np.full(len(pv), np.nan)
-    out[ok] = (low + high) / 2.0
-    return pd.Series(out).where(lambda s: s.notna(), None)
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): its asymptotic series at a + 40, brought down step by step."""
+    up = a + 40.0
+    series = F.lit(0.0)
+    for c in (39325 / 33554432, 869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8):
+        series = (series + F.lit(c)) / up
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.lit(1.0), lambda p, i: p * (a + i) / (a + i + 0.5))
+    return F.sqrt(up) * (series + 1.0) * steps
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function; its steps grow with the root of the larger parameter."""
+    def guard(v: Column) -> Column:
+        return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    first = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
+    rounds = F.least(F.lit(20_000), (F.sqrt(F.greatest(a, b)) * 3 + 40).cast("int"))
+
+    def step(s: Column, m: Column) -> Column:
+        def half(top: Column, d: Column, c: Column, h: Column) -> tuple[Column, Column, Column]:
+            d1, c1 = 1.0 / guard(1.0 + top * d), guard(1.0 + top / c)
+            return d1, c1, h * d1 * c1
+
+        even = m * (b - m) * x / ((a + m * 2 - 1) * (a + m * 2))
+        odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + 1))
+        d, c, h = half(odd, *half(even, s["d"], s["c"], s["h"]))
+        return F.struct(d.alias("d"), c.alias("c"), h.alias("h"))
+
+    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step)["h"]
+
+
+def _tail(t: Column, df: Column) -> Column:
+    """Two-sided tail of finite t and positive df."""
+    a, half, square = df / 2.0, F.lit(0.5), t * t / df
+    x, y = 1.0 / (square + 1.0), square / (square + 1.0)
+    front = F.exp(-a * F.log1p(square)) * F.sqrt(y) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
+    direct = front * _fraction(a, half, x) / a
+    other = F.lit(1.0) - front * _fraction(half, a, y) / 0.5
+    return F.when(t == 0, 1.0).when(x < (a + 1.0) / (a + 2.5), direct).otherwise(other)
+
+
+def _column(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def student_t_p(t: Column | str, df: Column | str) -> Column:
+    """Two-sided p value of Student's t as a column; NULL for missing or impossible input."""
+    t, df = _column(t), _column(df)
+    fine = t.isNotNull() & ~F.isnan(t) & (df > 0) & ~F.isnan(df)
+    return F.when(fine & (F.abs(t) == float("inf")), 0.0).when(fine, _tail(t, df))
+
+
+def student_t_quantile(p: Column | str, df: Column | str) -> Column:
+    """Upper quantile q with P(|T| > q) = 1 - p, by Newton steps from below (the tail is convex, so they don't overshoot)."""
+    p, df = _column(p), _column(df)
+    a = df / 2.0
+    height = _gamma_ratio(a) / F.sqrt(df * math.pi)
+
+    def step(q: Column, _: Column) -> Column:
+        density = height * F.exp(-(a + 0.5) * F.log1p(q * q / df))
+        return q + (_tail(q, df) - (1.0 - p)) / (density * 2.0)
+
+    fine = p.isNotNull() & (p >= 0) & (p < 1) & (df > 0)
+    return F.when(fine, F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), step))
