@@ -38,10 +38,12 @@ def shuffle_label(
     return attach(df, moved.select(row_id, name), [row_id], "left")
 
 
-def shuffle_train_labels(df: DataFrame, row_id: str, label: str, fold: str, test_fold: int, seed: int = 17) -> DataFrame:
+def shuffle_train_labels(
+    df: DataFrame, row_id: str, label: str, fold: str, test_fold: int, seed: int = 17, order: Sequence[str] | None = None
+) -> DataFrame:
     """Shuffle the labels of the training rows of one fold; test labels stay."""
     train = df.filter(F.col(fold) != test_fold)
-    mixed = shuffle_label(train, row_id, label, "__mixed", seed=seed).withColumn(label, F.col("__mixed")).drop("__mixed")
+    mixed = shuffle_label(train, row_id, label, "__mixed", seed=seed, order=order).withColumn(label, F.col("__mixed")).drop("__mixed")
     return mixed.unionByName(df.filter(F.col(fold) == test_fold))
 
 

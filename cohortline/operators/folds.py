@@ -140,7 +140,7 @@ def manual_split(df: DataFrame, is_test: Column, name: str = "split") -> DataFra
     return df.withColumn(name, F.when(is_test, "test").otherwise("train"))
 
 
-def folds_for_labels(df: DataFrame, row_id: str, labels: Sequence[str], k: int, bins: int, seed: int) -> DataFrame:
+def folds_for_labels(df: DataFrame, row_id: str, labels: Sequence[str], k: int, bins: int, seed: int | None) -> DataFrame:
     """Stratified folds for several label columns: ``(label, row_id, bin, fold)``."""
     out = None
     for label in labels:

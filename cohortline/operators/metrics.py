@@ -447,6 +447,24 @@ def _point(which: str) -> Callable[..., DataFrame]:
     return lambda df, t, p, keys, name: operating_points(df, t, p, 0.5, keys).select(*keys, F.col(which).alias(name))
 
 
+def _class_auc(which: str) -> Callable[..., DataFrame]:
+    """One-vs-rest AUC of an array of class probabilities; the true class is an index into it."""
+
+    def table(df: DataFrame, t: str, p: str, keys: Sequence[str], name: str) -> DataFrame:
+        cells = F.transform(F.col(p), lambda x, i: F.struct(i.alias("cls"), (F.col(t).cast("int") == i).cast("int").alias("is_cls"), x.cast("double").alias("score")))
+        long = df.filter(F.col(t).isNotNull() & F.col(p).isNotNull()).select(*keys, F.inline(cells))
+        if which == "micro":
+            return roc_auc(long, "is_cls", "score", keys, name)
+        per_class = roc_auc(long, "is_cls", "score", [*keys, "cls"])
+        if which == "macro":
+            return per_class.groupBy(*keys).agg(F.avg("auc").alias(name))
+        support = long.groupBy(*keys, "cls").agg(F.sum("is_cls").alias("support"))
+        weighed = attach(per_class, support, [*keys, "cls"]).filter(F.col("auc").isNotNull())
+        return weighed.groupBy(*keys).agg(F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support").cast("double")).alias(name))
+
+    return table
+
+
 METRICS: dict[str, Metric] = {
     "mse": Metric("min", mse),
     "rmse": Metric("min", rmse),
@@ -478,6 +496,9 @@ METRICS: dict[str, Metric] = {
     "pearson": Metric("max", pearson),
     "spearman": Metric("max", table=lambda df, t, p, keys, name: spearman(df, keys, t, p, name).select(*keys, name)),
     "roc_auc": Metric("max", table=lambda df, t, p, keys, name: roc_auc(df, t, p, keys, name)),
+    "roc_auc_ovr": Metric("max", table=_class_auc("macro")),
+    "roc_auc_ovr_micro": Metric("max", table=_class_auc("micro")),
+    "roc_auc_ovr_weighted": Metric("max", table=_class_auc("weighted")),
     "average_precision": Metric("max", table=lambda df, t, p, keys, name: average_precision(df, t, p, keys, name)),
     "f1_micro": Metric("max", table=_f1("micro")),
     "f1_macro": Metric("max", table=_f1("macro")),

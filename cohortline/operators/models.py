@@ -26,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.operators.ensemble import fold_average
 from cohortline.operators.folds import k_folds, stratified_group_folds
 from cohortline.operators.metrics import evaluate, get_metric
 from cohortline.operators.prep import TrainImputer, TrainScaler, undersample
@@ -87,8 +88,8 @@ _FACTORIES: dict[str, Callable[[], Estimator]] = {
 def make_estimator(model: str | Callable[..., Estimator], label: str, params: Mapping[str, object] | None = None) -> Estimator:
     """An estimator by name, or from a user factory ``f(**params)``.
 
-    Parameter names of the usual Python libraries are accepted. A missing or
-    larger depth becomes 30, the deepest tree Spark ML grows.
+    Parameter names of the usual Python libraries are accepted. A missing depth
+    becomes 30, the deepest tree Spark ML grows; a larger one is refused.
     """
     params = dict(params or {})
     if callable(model):
@@ -396,20 +397,80 @@ def importance_table(df: DataFrame, models: Mapping[int, PipelineModel], feature
     return df.sparkSession.createDataFrame(rows, "fold int, feature string, weight double")
 
 
+#: Models that score the rows in one pass; a plan grows with them.
+MODELS_PER_PASS = 16
+
+
 def score_external(df: DataFrame, models: Mapping[int, PipelineModel], row_id: str, classes: Sequence[str] = ()) -> DataFrame:
-    """Predict new rows with every fold's model: one row per (row, fold), ready for averaging."""
-    out = None
-    for k, model in models.items():
-        scored = _predict_rows(model, df)
-        cells = [F.col(row_id).alias("id"), F.lit(k).alias("fold"), F.col("prediction").alias("Predicted_value")]
-        if classes and "probability" in scored.columns:
-            p = vector_to_array("probability")
-            cells += [F.get(p, F.lit(i)).alias(f"{c}_probability") for i, c in enumerate(classes)]
-        rows = scored.select(*cells)
-        out = rows if out is None else out.unionByName(rows)
+    """Predict new rows with every fold's model: one row per (row, fold), ready for averaging.
+
+    The rows are read once for up to MODELS_PER_PASS models: each model starts
+    from the rows' own columns and leaves only its prediction behind.
+    """
+    out, numbers = None, list(models)
+    for start in range(0, len(numbers), MODELS_PER_PASS):
+        some = numbers[start : start + MODELS_PER_PASS]
+        rows, made = df.select(F.struct("*").alias("__in")), []
+        for k in some:
+            scored = _predict_rows(models[k], rows.select("__in", *made, "__in.*"))
+            cells = [F.lit(k).alias("fold"), F.col("prediction").alias("Predicted_value")]
+            if classes and "probability" in scored.columns:
+                p = vector_to_array("probability")
+                cells += [F.get(p, F.lit(i)).alias(f"{c}_probability") for i, c in enumerate(classes)]
+            rows = scored.select("__in", *made, F.struct(*cells).alias(f"__out{k}"))
+            made.append(f"__out{k}")
+        part = rows.select(F.col("__in").getField(row_id).alias("id"), F.inline(F.array(*made)))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def external_report(
+    df: DataFrame, models: Mapping[int, PipelineModel], row_id: str, truth: str, metrics: Sequence[str], classes: Sequence[str] = (),
+    to_class: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold averages of external rows, their metrics and their confusion counts.
+
+    With ``classes`` the averaged probabilities decide the class; otherwise predicted
+    values are averaged, and ``to_class`` makes classes of truth and prediction for
+    the counts.
+    """
+    scored = score_external(df, models, row_id, classes)
+    probabilities = [f"{c}_probability" for c in classes]
+    if classes:
+        mean = fold_average(scored, ["id"], probabilities).withColumn("Predicted_value", F.col("predicted").cast("double"))
+    else:
+        mean = scored.groupBy("id").agg(F.avg("Predicted_value").alias("Predicted_value"), F.count(F.lit(1)).alias("folds"))
+    known = df.select(F.col(row_id).alias("__id"), F.col(truth).cast("double").alias("True_value"))
+    rows = mean.join(known, F.col("id") == F.col("__id")).select("id", "True_value", "Predicted_value", "folds", *probabilities)
+    turn = to_class or (lambda c: c)
+    counted = rows.filter(F.col("True_value").isNotNull()).groupBy(turn(F.col("True_value")).alias("truth"), turn(F.col("Predicted_value")).alias("pred"))
+    return rows, evaluate(rows.filter("True_value is not null"), "True_value", "Predicted_value", metrics), counted.agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class TransformedModel:
+    """A fitted model between a transformer of rows and one of predictions, both DataFrame to DataFrame."""
+
+    model: PipelineModel
+    before: Callable[[DataFrame], DataFrame] | None = None
+    after: Callable[[DataFrame], DataFrame] | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = self.before(df) if self.before else df
+        scored = self.model.transform(rows)
+        return self.after(scored) if self.after else scored
+
+
+def fit_transformed(
+    train: DataFrame, stages: Sequence[Estimator], estimator: Estimator, fit_transformer: Callable[[DataFrame], DataFrame] | None = None,
+    before: Callable[[DataFrame], DataFrame] | None = None, prediction_transformer: Callable[[DataFrame], DataFrame] | None = None,
+) -> TransformedModel:
+    """Fit on rows that ``fit_transformer`` has changed (training only); predictions pass ``prediction_transformer``."""
+    rows = fit_transformer(train) if fit_transformer else train
+    rows = before(rows) if before else rows
+    return TransformedModel(Pipeline(stages=[*stages, estimator]).fit(rows), before, prediction_transformer)
+
+
 def learning_curve(
     df: DataFrame,
     fold: str,

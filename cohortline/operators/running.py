@@ -73,10 +73,10 @@ def _order_struct(order: Sequence[str]) -> Column:
 
 def _cuts(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     rows = float(source.sparkSession.conf.get(ROWS_KEY, str(ROWS_PER_SLICE)))
-    count = F.greatest(F.count(F.lit(1)), F.lit(1))
-    share = source.agg(F.least(F.lit(1.0 / rows), F.lit(float(MAX_CUTS)) / count).alias("share"))
     unit = F.xxhash64(*[F.col(c) for c in (*keys, *order)]) / F.lit(float(2**64)) + F.lit(0.5)
-    picked = source.filter(unit < share.scalar()).select(*keys, _order_struct(order).alias("__at")).distinct()
+    picked = source.filter(unit < 1.0 / rows).select(*keys, _order_struct(order).alias("__at"), unit.alias("__unit")).distinct()
+    # The smallest hashes stay, which is a smaller share of every group alike; one pass over the rows serves count and sample.
+    picked = picked.orderBy("__unit", "__at").limit(MAX_CUTS)
     return picked.groupBy(*keys).agg(F.sort_array(F.collect_list("__at")).alias("__cuts"))
 
 
