@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog.registry import query, r6, rounded
 from cohortline.catalog.tables import (
-    GROUPS_SQL, SMAPE_SQL, binary_scores, load, multiclass, oof, predictions, sql_corr, sql_ranks, surveys, with_views,
+    GROUPS_SQL, SMAPE_SQL, binary_scores, load, multiclass, oof, predictions, sql_corr, sql_ranks, sql_t_p, surveys, with_views,
 )
 from cohortline.operators import metrics as M
 from cohortline.operators.rank import average_rank
@@ -62,9 +62,13 @@ def reg_metrics(spark, sf):
     return rounded(out.withColumn("r2", F.col("r2") + 1e-9), *names)
 
 
-@query("correlation_p")
+@query("correlation_p", with_views("oof", f"""
+select Model, Label, n_pairs, round(r, 6) + 0.0 as r, round({sql_t_p('(r * sqrt((n_pairs - 2) / (1 - r * r)))', '(n_pairs - 2)')}, 6) + 0.0 as p_value, kind from c""",
+f"""r as ({sql_ranks('oof', 'Model, Label', {'ra': 'True_value', 'rb': 'Predicted_value'})}),
+c as (select Model, Label, count(*) as n_pairs, {sql_corr('True_value', 'Predicted_value')} as r, 'pearson' as kind from oof group by Model, Label
+  union all select Model, Label, count(*), {sql_corr('ra', 'rb')}, 'spearman' from r group by Model, Label)"""))
 def correlation_p(spark, sf):
-    """Correlations with p values (no Student-t function in SQL)."""
+    """Correlations with p values; SQL has a finite series for whole degrees of freedom."""
     df = oof(spark, sf)
     one = M.correlation_with_p(df, "True_value", "Predicted_value", ["Model", "Label"]).withColumn("kind", F.lit("pearson"))
     two = M.correlation_with_p(df, "True_value", "Predicted_value", ["Model", "Label"], "spearman").withColumn("kind", F.lit("spearman"))

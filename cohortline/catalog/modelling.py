@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog.registry import query, r6, rounded
 from cohortline.catalog.tables import (
-    GROUPS_SQL, binary_scores, daily_summary, demographics, load, oof, predictions, sql_corr, sql_ranks, surveys, with_views,
+    GROUPS_SQL, binary_scores, daily_summary, demographics, load, oof, predictions, sql_corr, sql_ranks, sql_t_p, surveys, with_views,
 )
 from cohortline.functions import scalar as S
 from cohortline.operators import ensemble as E
 from cohortline.operators import models as L
 from cohortline.operators import testing as T
 from cohortline.operators.metrics import evaluate
+from cohortline.operators.moments import inner_group_folds
+from cohortline.operators.moments import nested_elastic_net as nested_fits
 from cohortline.operators.prep import resample
 from cohortline.operators.rank import attach
 from cohortline.operators.summary import agreement, fold_mean_with_zeros, five_numbers, second_level, weight_share
@@ -162,9 +164,23 @@ def welch_t(spark, sf):
     return out.select("Model", r6("t").alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("model_pairs")
+@query("model_pairs", with_views("predictions", """
+select first, second, n, round(md, 6) + 0.0 as mean_diff, round(sd, 6) as sd_diff, round(t, 6) + 0.0 as t, cast(dof as double) as df, round(p, 6) + 0.0 as p_value,
+  round(md - q * sd / sqrt(n), 6) + 0.0 as ci_low, round(md + q * sd / sqrt(n), 6) + 0.0 as ci_high,
+  round(least(max((m - k + 1) * p) over (order by k), 1), 6) + 0.0 as p_adj
+from (select p.*, (lo + hi) / 2 as q, row_number() over (order by p, p.first, p.second) as k, count(*) over () as m
+  from p join (select * from b where i = 60) using (first, second))""", GROUPS_SQL + f""",
+w as (select snapshot_id, max(case when Model = 'ElasticNet' then rho end) as a, max(case when Model = 'MLP' then rho end) as b,
+  max(case when Model = 'RandomForestRegressor' then rho end) as c from g where Label = 'stress_d' group by snapshot_id),
+d as (select 'ElasticNet' as first, 'MLP' as second, a - b as diff from w union all select 'ElasticNet', 'RandomForestRegressor', a - c from w
+  union all select 'MLP', 'RandomForestRegressor', b - c from w),
+s as (select first, second, count(diff) as n, avg(diff) as md, stddev_samp(diff) as sd from d group by first, second),
+p as (select *, {sql_t_p('t', 'dof')} as p from (select *, md / (sd / sqrt(n)) as t, n - 1 as dof from s)),
+b as (select first, second, dof, 0.0::double as lo, 1000.0::double as hi, 0 as i from p
+  union all select first, second, dof, case when {sql_t_p('((lo + hi) / 2)', 'dof')} > 0.05 then (lo + hi) / 2 else lo end,
+    case when {sql_t_p('((lo + hi) / 2)', 'dof')} > 0.05 then hi else (lo + hi) / 2 end, i + 1 from b where i < 60)""").replace("with predictions", "with recursive predictions", 1))
 def model_pairs(spark, sf):
-    """All model pairs with Holm-adjusted p values (no Student-t function in SQL)."""
+    """All model pairs with Holm-adjusted p values; SQL finds the interval's quantile by halving."""
     subjects = agreement(predictions(spark, sf).filter("Label = 'stress_d'"), KEYS)
     tests = T.paired_t(subjects, "snapshot_id", "Model", "rho", T.all_pairs(["ElasticNet", "MLP", "RandomForestRegressor"]))
     return rounded(T.holm(tests), "mean_diff", "sd_diff", "t", "p_value", "p_adj", "ci_low", "ci_high")
@@ -181,7 +197,21 @@ def within_ols(spark, sf):
     return out.select("n", "df", r6("slope").alias("slope"), r6("std_error").alias("std_error"), (F.round("t", 4) + 0.0).alias("t"))
 
 
-@query("within_ols_terms")
+@query("within_ols_terms", with_views("surveys daily_summary", f"""
+select term, round(estimate, 6) + 0.0 as estimate, round(std_error, 6) as std_error, cast(dof as double) as df, round(r2, 6) + 0.0 as r2,
+  round(estimate / std_error, 6) + 0.0 as t, round({sql_t_p('(estimate / std_error)', 'dof')}, 6) + 0.0 as p_value
+from (select term, estimate, sqrt(rss / dof * own) as std_error, dof, 1 - rss / yy as r2 from f,
+  lateral (select * from (values ('f1', b1, i11), ('f2', b2, i22), ('avg_stress', b3, i33)) as v(term, estimate, own)))""", """
+j as (select s.snapshot_id, s.stress_d, s.f1, s.f2, d.avg_stress from surveys s join daily_summary d on s.snapshot_id = d.snapshot_id and s.survey_date = d.survey_date
+  where s.stress_d is not null and s.f1 is not null and s.f2 is not null and d.avg_stress is not null),
+c as (select snapshot_id, stress_d - avg(stress_d) over w as y, f1 - avg(f1) over w as x1, f2 - avg(f2) over w as x2, avg_stress - avg(avg_stress) over w as x3
+  from j window w as (partition by snapshot_id)),
+m as (select count(*) - count(distinct snapshot_id) - 3 as dof, sum(x1 * x1) as a, sum(x1 * x2) as b, sum(x1 * x3) as c, sum(x2 * x2) as d, sum(x2 * x3) as e, sum(x3 * x3) as f,
+  sum(x1 * y) as y1, sum(x2 * y) as y2, sum(x3 * y) as y3, sum(y * y) as yy from c),
+i as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from m),
+k as (select *, (d * f - e * e) / det as i11, (a * f - c * c) / det as i22, (a * d - b * b) / det as i33, (c * e - b * f) / det as i12, (b * e - c * d) / det as i13, (b * c - a * e) / det as i23 from i),
+h as (select *, i11 * y1 + i12 * y2 + i13 * y3 as b1, i12 * y1 + i22 * y2 + i23 * y3 as b2, i13 * y1 + i23 * y2 + i33 * y3 as b3 from k),
+f as (select *, yy - b1 * y1 - b2 * y2 - b3 * y3 as rss from h)"""))
 def within_ols_terms(spark, sf):
     """Within-subject regression on a prediction and two covariates (re-aimed mixed model)."""
     s = surveys(spark, sf).join(daily_summary(spark, sf), ["snapshot_id", "survey_date"])
@@ -277,14 +307,12 @@ def oof_once(spark, sf):
 @query("nested_elastic_net")
 def nested_elastic_net(spark, sf):
     """Grid search with subject-safe inner folds; scores of every fold's best set."""
-    df = _regression_rows(spark, sf)
-    grid = L.parameter_grid({"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.6, 0.7, 0.8, 0.9, 0.95, 0.99]})
-    run = L.nested_cross_validate(
-        df, "fold", range(1, 6), "id", "y", L.preparation(["price", "l_discount", "l_tax"]), "ElasticNet", grid, "spearman",
-        inner_k=5, group="snapshot_id", parallelism=8,
-    )
+    grid = [(a, r) for a in (0.01, 0.1, 1.0) for r in (0.6, 0.7, 0.8, 0.9, 0.95, 0.99)]
+    folds = list(range(1, 6))
+    df, inner = inner_group_folds(_regression_rows(spark, sf), "fold", folds, "snapshot_id", "y", 5)
+    run = nested_fits(df, "fold", folds, "id", "y", ["price", "l_discount", "l_tax"], inner, 5, grid, "spearman")
     scores = evaluate(run.predictions, "True_value", "Predicted_value", ["mse", "smape", "spearman"], ["fold"])
-    best = L.tuning_table(df, run).filter("best").select("fold", F.col("params")["alpha"].alias("alpha"), F.col("params")["l1_ratio"].alias("l1_ratio"))
+    best = run.tuning.filter("best").select("fold", F.col("alpha").cast("string").alias("alpha"), F.col("l1_ratio").cast("string").alias("l1_ratio"))
     return rounded(scores.join(best, "fold"), "mse", "smape", "spearman")
 
 
@@ -378,13 +406,28 @@ def repeated_forests(spark, sf):
     return rounded(weights.withColumn("rho_median", fit.select("median").scalar()), "importance", "rho_median")
 
 
-@query("text_naive_bayes")
+@query("text_naive_bayes", r"""
+with d as (select doc_id as id, cast(doc_id % 3 + 1 as int) as fold, quality as y, text from documents join labels using (doc_id) where quality in (0, 1)),
+tk as (select id, fold, y, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{L}+'))) as word from d),
+f as (select id, word, count(*) as tf from tk group by id, word),
+c as (select word, fold, y, count(*) as n from tk group by word, fold, y),
+k as (select unnest(range(1, 4)) as k),
+w as (select k, word, coalesce(sum(n) filter (y = 0), 0) as n0, coalesce(sum(n) filter (y = 1), 0) as n1 from k join c on c.fold <> k group by k, word),
+t as (select k, count(*) as v, sum(n0) as s0, sum(n1) as s1 from w group by k),
+p as (select k, count(*) as n, count(*) filter (y = 0) as r0, count(*) filter (y = 1) as r1 from k join d on d.fold <> k group by k),
+s as (select d.id, d.fold, d.y, ln(any_value(r0) + 1) + coalesce(sum(tf * (ln(n0 + 1) - ln(s0 + v))), 0) as a0, ln(any_value(r1) + 1) + coalesce(sum(tf * (ln(n1 + 1) - ln(s1 + v))), 0) as a1
+  from d join p on p.k = d.fold left join f on f.id = d.id left join w on w.k = d.fold and w.word = f.word left join t on t.k = w.k group by d.id, d.fold, d.y),
+g as (select *, case when a1 > a0 then 1 else 0 end as p from s),
+m as (select fold, count(*) as n, avg(cast(p = y as int)) as accuracy, count(*) filter (y = 1) as n1, count(*) filter (p = 1 and y = 1) as t1, count(*) filter (p <> y) as wrong,
+  count(*) filter (p = 0 and y = 0) as t0 from g group by fold)
+select fold, n, round(accuracy, 6) as accuracy,
+  round((n1 * coalesce(2.0 * t1 / nullif(2 * t1 + wrong, 0), 0) + (n - n1) * coalesce(2.0 * t0 / nullif(2 * t0 + wrong, 0), 0)) / n, 6) as f1_weighted from m""")
 def text_naive_bayes(spark, sf):
-    """Multinomial naive Bayes on word counts of labelled documents."""
-    from cohortline.operators.running import spread
+    """Multinomial naive Bayes on word counts of labelled documents, from one table of counts by word, fold and class."""
+    from cohortline.operators.naive_bayes import out_of_fold
     from cohortline.operators.text import words
 
     docs = load(spark, sf, "documents").select("doc_id", "text").join(load(spark, sf, "labels"), "doc_id")
-    df = spread(docs).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), words(F.lower("text")).alias("words"), (F.col("doc_id") % 3 + 1).cast("int").alias("fold"))
-    run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.text_block("words", "features", 1 << 20, use_idf=False), "MultinomialNB", classes=["bad", "good"])
-    return rounded(evaluate(run.predictions, "True_value", "Predicted_value", ["accuracy", "f1_weighted"], ["fold"]), "accuracy", "f1_weighted")
+    df = docs.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), words(F.lower("text")).alias("words"), (F.col("doc_id") % 3 + 1).cast("int").alias("fold"))
+    rows = out_of_fold(df, "id", "y", "words", "fold", [0, 1])
+    return rounded(evaluate(rows, "y", "Predicted_value", ["accuracy", "f1_weighted"], ["fold"]), "accuracy", "f1_weighted")

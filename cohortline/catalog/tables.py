@@ -204,3 +204,11 @@ g as (select snapshot_id, Model, Label, count(*) as n, avg(True_value) as true_m
   {sql_corr('rt', 'rp')} as rho
   from r group by snapshot_id, Model, Label)
 """
+
+
+def sql_t_p(t: str, dof: str) -> str:
+    """Two-sided p of Student's t for a whole number of degrees of freedom, by its finite series in the angle atan(t / sqrt(dof))."""
+    angle = f"atan(abs({t}) / sqrt({dof}))"
+    odd = f"list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * k + 1)))"
+    even = f"list_sum(list_transform(range(0, {dof} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos({angle}), 2 * k)))"
+    return f"(1 - case when {dof} % 2 = 1 then 2 / pi() * ({angle} + sin({angle}) * coalesce({odd}, 0)) else sin({angle}) * {even} end)"
