@@ -267,6 +267,38 @@ def label_folds_dealt(spark, sf):
     return folds_for_labels(surveys(spark, sf), "id", ["stress_d", "f1"], 5, 10, seed=None).select("label", "id", "bin", "fold")
 
 
+# --- zones by sunrise, then by sunset --------------------------------------------------
+
+def _event_sql(e: str) -> str:
+    """Seconds since local midnight of each event time (d_*), and the zip code that most rows with such seconds have (f_*)."""
+    mode = "case when max(n) > 0 then arg_min(zipcode, -n * 1000000000 + coalesce(zipcode, 0)) end"
+    return f"""
+m_{e} as (select {e}, {mode} as zip from (select {e}, zipcode, count(zipcode) as n from s2 where {e} is not null group by 1, 2) group by 1),
+o_{e} as (select m.{e}, round((epoch_us(to_timestamp(m.{e}) at time zone k.tz) % 86400000000) / 1e6, 6) as own from m_{e} m left join k on m.zip = k.zipcode),
+p_{e} as (select a.{e}, a.own, (select max(b.{e}) from o_{e} b where b.own is not null and b.{e} < a.{e}) as prev_at,
+  (select min(b.{e}) from o_{e} b where b.own is not null and b.{e} > a.{e}) as next_at from o_{e} a),
+d_{e} as (select p.{e}, coalesce(p.own, q.own) as sec from p_{e} p left join o_{e} q on q.{e} =
+  case when next_at is null or p.{e} - prev_at < next_at - p.{e} then prev_at else next_at end),
+f_{e} as (select sec, {mode} as zip from (select d.sec, s.zipcode, count(s.zipcode) as n from s2 s join d_{e} d on s.{e} = d.{e} where d.sec is not null group by 1, 2) group by sec)"""
+
+
+@query("fallback_sunset", with_views("surveys zip_tz", """
+select s.id, case when s.zipcode is not null then k.tz else coalesce(k1.tz, k2.tz) end as tz
+from s2 s left join k on s.zipcode = k.zipcode
+left join d_sunrise d1 on s.sunrise = d1.sunrise left join f_sunrise f1 on f1.sec = d1.sec left join k k1 on k1.zipcode = f1.zip
+left join d_sunset d2 on s.sunset = d2.sunset left join f_sunset f2 on f2.sec = d2.sec left join k k2 on k2.zipcode = f2.zip""", """
+s2 as (select *, case when id % 13 <> 0 then day_sunrise end as sunrise, day_sunrise + 40000 + (snapshot_id % 3) * 600 as sunset from surveys),
+k as (select s.zipcode, z.tz from (select distinct zipcode from surveys where zipcode is not null) s
+  join lateral (select tz from zip_tz where zip_tz.zipcode >= s.zipcode order by zip_tz.zipcode limit 1) z on true),""" + ",".join(map(_event_sql, ["sunrise", "sunset"]))))
+def fallback_sunset(spark, sf):
+    """Zones of rows without a zip code from rows of equal sunrise seconds, else of equal sunset seconds."""
+    rows = surveys(spark, sf).select(
+        "id", "zipcode", "survey_start_datetime", F.when(F.col("id") % 13 != 0, F.col("day_sunrise")).alias("sunrise"),
+        (F.col("day_sunrise") + 40000 + (F.col("snapshot_id") % 3) * 600).alias("sunset"),
+    )
+    return correct_local_times(rows, zip_zones(spark), sunrise="sunrise", sunset="sunset").select("id", "tz")
+
+
 # --- metrics by more keys, and whole tables -------------------------------------------
 
 @query("metrics_by_source", with_views("oof", """

@@ -1,4 +1,4 @@
-"""Ordered and two-level lookups on group tables."""
+"""Ordered lookups on group tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.rank import attach, group_mode
+from cohortline.operators.rank import attach
 from cohortline.operators.running import running
 
 
@@ -50,16 +50,3 @@ def nearest_populated(df: DataFrame, axis: str, value: str, name: str, keys: Seq
 def neighbours(df: DataFrame, axis: str, keys: Sequence[str] = ()) -> DataFrame:
     """Previous and next group on an ordered axis (one row per group)."""
     return running(df, keys, [axis], {"prev": ("max", F.col(axis)), "next": ("min", F.col(axis), "after")})
-
-
-def mode_with_fallback(
-    df: DataFrame, first: str, second: str, value: str, name: str
-) -> DataFrame:
-    """Own value, else the mode among rows sharing ``first``, else among rows sharing ``second``."""
-    a = group_mode(df, [first], value, "__a").select(first, "__a")
-    b = group_mode(df, [second], value, "__b").select(second, "__b")
-    joined = attach(attach(df, a, [first], "left"), b, [second], "left")
-    inferred = F.coalesce(
-        F.col(value), F.when(F.col(first).isNotNull(), F.col("__a")), F.when(F.col(second).isNotNull(), F.col("__b"))
-    )
-    return joined.withColumn(name, inferred).drop("__a", "__b")

@@ -31,6 +31,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.functions.scalar import nan_to_null
 from cohortline.operators.folds import stratified_group_folds
 from cohortline.operators.metrics import evaluate, get_metric
 from cohortline.operators.rank import attach
@@ -56,8 +57,7 @@ class Layout:
 
     def cells(self, label: str) -> list[Column]:
         def value(c: str) -> Column:
-            x = F.col(c).cast("double")
-            return F.when(F.isnan(x), None).otherwise(x)
+            return nan_to_null(F.col(c).cast("double"))
 
         scaled = [F.coalesce((value(c) - a) / b, F.lit(0.0)) for c, a, b in zip(self.features, self.shift, self.scale)]
         seen = [value(self.features[i]).isNotNull().cast("double") for i in self.nullable]
@@ -68,8 +68,7 @@ def layout(df: DataFrame, features: Sequence[str], label: str) -> Layout:
     """Centres and scales all products near 1, so that sums of blocks can be subtracted without loss."""
     cells = []
     for i, c in enumerate([*features, label]):
-        x = F.col(c).cast("double")
-        x = F.when(F.isnan(x), None).otherwise(x)
+        x = nan_to_null(F.col(c).cast("double"))
         cells += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), (F.count(F.lit(1)) - F.count(x)).alias(f"z{i}")]
     row = df.agg(*cells).first()
     p = len(features)
@@ -236,9 +235,7 @@ def predicted(features: Sequence[str], slopes: str = "slopes", fills: str = "fil
     """The prediction of a fit whose row has been joined."""
     out = F.col(intercept)
     for i, c in enumerate(features):
-        x = F.col(c).cast("double")
-        x = F.coalesce(F.when(F.isnan(x), None).otherwise(x), F.get(fills, F.lit(i)))
-        out = out + x * F.get(slopes, F.lit(i))
+        out = out + F.coalesce(nan_to_null(F.col(c).cast("double")), F.get(fills, F.lit(i))) * F.get(slopes, F.lit(i))
     return out
 
 

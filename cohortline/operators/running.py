@@ -22,6 +22,7 @@ The result does not depend on where the cuts fall; they only spread the work.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,17 +51,22 @@ def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a derived table before it is read several times.
 
     Plain scans with projections and filters are cheaper to read again, and so
-    stay as they are. The folder is the cluster's ``spark.checkpoint.dir``;
-    where none is set the table is recomputed instead.
+    stay as they are. The folder is the cluster's ``spark.checkpoint.dir``. Where
+    none is set, a local master, whose driver and executors are one process, uses
+    a temporary folder, and on a cluster the table is recomputed.
     """
     spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not _SHUFFLING.search(plan):
+        return df
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.startswith("local["):
+            shared = tempfile.mkdtemp(prefix="checkpoints-", dir="/tmp")
         if not shared:
             return df
         spark.sparkContext.setCheckpointDir(shared)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return df.checkpoint() if _SHUFFLING.search(plan) else df
+    return df.checkpoint()
 
 
 #: Steps of a binary search in a group's cuts; there are MAX_CUTS of them but for chance.

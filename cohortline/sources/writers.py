@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortline.functions.scalar import record_json
 from cohortline.operators.folds import folds_to_wide
 
 
@@ -78,7 +79,7 @@ def save_run(tables: Mapping[str, object], folder: str, spark: SparkSession) ->
         else:
             manifest.append((name, "value", json.dumps(item, default=str)))
     rows = spark.createDataFrame(manifest, "name string, kind string, content string")
-    rows.select(F.to_json(F.struct("name", "kind", "content")).alias("value")).write.mode("overwrite").text(f"{folder}/_manifest")
+    rows.select(record_json({c: F.col(c) for c in rows.columns}).alias("value")).write.mode("overwrite").text(f"{folder}/_manifest")
 
 
 def load_run(folder: str, spark: SparkSession) -> dict[str, object]:
