@@ -65,6 +65,11 @@ def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return incomplete_beta(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
 
 
+def _let(what: Column, then) -> Column:
+    """``then`` of a value that is named once, so that expressions don't repeat it wherever they use it."""
+    return F.get(F.transform(F.array(what), then), F.lit(0))
+
+
 def _gamma_ratio(a: Column) -> Column:
     """Gamma(a + 1/2) / Gamma(a): its asymptotic series at a + 40, brought down step by step."""
     up = a + 40.0
@@ -80,31 +85,33 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
     def guard(v: Column) -> Column:
         return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
 
-    first = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
-    rounds = F.least(F.lit(20_000), (F.sqrt(F.greatest(a, b)) * 3 + 40).cast("int"))
+    def half(top: Column, s: Column) -> Column:
+        new = F.struct(guard(1.0 + top * s["d"]).alias("v"), guard(1.0 + top / s["c"]).alias("w"), s["h"].alias("h"))
+        return _let(new, lambda n: F.struct((1.0 / n["v"]).alias("d"), n["w"].alias("c"), (n["h"] / n["v"] * n["w"]).alias("h")))
 
     def step(s: Column, m: Column) -> Column:
-        def half(top: Column, d: Column, c: Column, h: Column) -> tuple[Column, Column, Column]:
-            d1, c1 = 1.0 / guard(1.0 + top * d), guard(1.0 + top / c)
-            return d1, c1, h * d1 * c1
-
         even = m * (b - m) * x / ((a + m * 2 - 1) * (a + m * 2))
         odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + 1))
-        d, c, h = half(odd, *half(even, s["d"], s["c"], s["h"]))
-        return F.struct(d.alias("d"), c.alias("c"), h.alias("h"))
+        return _let(half(even, s), lambda t: half(odd, t))
 
-    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    rounds = F.least(F.lit(20_000), (F.sqrt(F.greatest(a, b)) * 3 + 40).cast("int"))
+    start = _let(1.0 / guard(1.0 - (a + b) * x / (a + 1.0)), lambda d: F.struct(d.alias("d"), F.lit(1.0).alias("c"), d.alias("h")))
     return F.aggregate(F.sequence(F.lit(1), rounds), start, step)["h"]
 
 
 def _tail(t: Column, df: Column) -> Column:
     """Two-sided tail of finite t and positive df."""
-    a, half, square = df / 2.0, F.lit(0.5), t * t / df
-    x, y = 1.0 / (square + 1.0), square / (square + 1.0)
-    front = F.exp(-a * F.log1p(square)) * F.sqrt(y) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
-    direct = front * _fraction(a, half, x) / a
-    other = F.lit(1.0) - front * _fraction(half, a, y) / 0.5
-    return F.when(t == 0, 1.0).when(x < (a + 1.0) / (a + 2.5), direct).otherwise(other)
+    half = F.lit(0.5)
+
+    def named(z: Column) -> Column:
+        a, square = z["a"], z["square"]
+        x, y = 1.0 / (square + 1.0), square / (square + 1.0)
+        front = F.exp(-a * F.log1p(square)) * F.sqrt(y) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
+        direct = front * _fraction(a, half, x) / a
+        other = F.lit(1.0) - front * _fraction(half, a, y) / 0.5
+        return F.when(square == 0, 1.0).when(square == float("inf"), 0.0).when(x < (a + 1.0) / (a + 2.5), direct).otherwise(other)
+
+    return _let(F.struct((df / 2.0).alias("a"), (t * t / df).alias("square")), named)
 
 
 def _column(c: Column | str) -> Column:
@@ -113,20 +120,25 @@ def _column(c: Column | str) -> Column:
 
 def student_t_p(t: Column | str, df: Column | str) -> Column:
     """Two-sided p value of Student's t as a column; NULL for missing or impossible input."""
-    t, df = _column(t), _column(df)
-    fine = t.isNotNull() & ~F.isnan(t) & (df > 0) & ~F.isnan(df)
-    return F.when(fine & (F.abs(t) == float("inf")), 0.0).when(fine, _tail(t, df))
+    def named(z: Column) -> Column:
+        fine = z["t"].isNotNull() & ~F.isnan(z["t"]) & (z["df"] > 0) & ~F.isnan(z["df"])
+        return F.when(fine & (F.abs(z["t"]) == float("inf")), 0.0).when(fine, _tail(z["t"], z["df"]))
+
+    return _let(F.struct(_column(t).alias("t"), _column(df).alias("df")), named)
 
 
 def student_t_quantile(p: Column | str, df: Column | str) -> Column:
     """Upper quantile q with P(|T| > q) = 1 - p, by Newton steps from below (the tail is convex, so they don't overshoot)."""
-    p, df = _column(p), _column(df)
-    a = df / 2.0
-    height = _gamma_ratio(a) / F.sqrt(df * math.pi)
+    def named(z: Column) -> Column:
+        a = z["df"] / 2.0
+
+        def step(q: Column, _: Column) -> Column:
+            density = z["height"] * F.exp(-(a + 0.5) * F.log1p(q * q / z["df"]))
+            return q + (_tail(q, z["df"]) - (1.0 - z["p"])) / (density * 2.0)
 
-    def step(q: Column, _: Column) -> Column:
-        density = height * F.exp(-(a + 0.5) * F.log1p(q * q / df))
-        return q + (_tail(q, df) - (1.0 - p)) / (density * 2.0)
+        fine = z["p"].isNotNull() & (z["p"] >= 0) & (z["p"] < 1) & (z["df"] > 0)
+        return F.when(fine, F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), step))
 
-    fine = p.isNotNull() & (p >= 0) & (p < 1) & (df > 0)
-    return F.when(fine, F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), step))
+    df = _column(df)
+    height = F.when(df > 0, _gamma_ratio(df / 2.0) / F.sqrt(df * math.pi))
+    return _let(F.struct(_column(p).alias("p"), df.alias("df"), height.alias("height")), named)
