@@ -7,6 +7,8 @@ verified word by word, and hit spans or whole documents are removed.
 
 The window table is broadcast while it has at most ``BROADCAST_WINDOWS`` rows,
 which is counted first; a larger one is joined by shuffle, with the same result.
+Either way a row of the scan holds the words of one window, so the work grows with
+the length of a text, not with its square.
 Documents' window keys are made and joined in one pass without a shuffle; only
 hits and one row per document go on, pre-aggregated where they were found.
 
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.llm.common import settle
+
 WINDOW = 10
 BROADCAST_WINDOWS = 2_000_000
 
@@ -64,27 +68,32 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the carried columns, n_words, items, and ``found`` (pos, span) sorted, empty if not hit."""
-    grams = windows(benchmark, window)
+    grams = settle(windows(benchmark, window))
     known = {int(r["span"]): int(r["n"]) for r in grams.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}
     spans = sorted(known)  # at most ``window`` lengths
     listed = docs.select(*carry, words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("__row"))
     listed = listed.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     empty = F.array().cast("array<struct<pos:int,span:int,key:bigint>>")
     keys = F.concat(empty, *[_keys(F.col("h"), F.lit(s)) for s in spans])
-    # One more entry, at -1, stands for the document itself, so that no document is lost in the join.
-    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("span"), F.lit(None).cast("long").alias("key")))
+    # One more entry, at -1, stands for the document itself, so that no document is lost in the join. It has a span
+    # that no window has, and a key of its own, so that a join by shuffle deals these entries out.
+    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("span"), F.xxhash64("__row").alias("key")))
     placed = listed.select(*carry, "__row", "w", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(itself, keys)))
+    # A row goes on with the words of its own window, not with those of the whole text.
+    here = F.when(F.col("pos") >= 0, F.slice("w", F.col("pos") + 1, F.col("span")))
+    own = [F.when(F.col("pos") < 0, F.col(c)).alias(c) for c in carry]
+    placed = placed.select(*own, "__row", "n_words", "pos", "span", "key", here.alias("here"))
     right = grams.select(F.col("key").alias("g_key"), F.col("span").alias("g_span"), "window", "items")
     if sum(known.values()) <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
     joined = placed.join(right, (F.col("key") == F.col("g_key")) & (F.col("span") == F.col("g_span")), "left")
-    verified = F.slice("w", F.col("pos") + 1, F.col("span")) == F.col("window")
+    verified = F.col("here") == F.col("window")
     kept = joined.filter((F.col("pos") == -1) | verified)
     found = kept.select(
         *carry, "__row", "n_words", "items", F.when(F.col("pos") >= 0, F.struct("pos", "span")).alias("at")
     )
     return found.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in carry],
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.sort_array(F.collect_set("at")).alias("found"),
@@ -120,9 +129,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: s
         raise ValueError('remove is "documents" or "spans"')
     if remove == "documents":
         # Texts stay where they are unless the hit ones are too many to broadcast; rows of one id and text share their fate.
-        keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__text": F.xxhash64("text")})
+        keyed = docs.select(
+            F.struct("*").alias("__doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.xxhash64("text").alias("__text"), "text"
+        )
         hit = hits(keyed.select("__id", "__text", "text"), benchmark, window, ("__id", "__text")).filter(F.size("found") > 0)
-        return keyed.join(hit.select("__id", "__text").distinct(), ["__id", "__text"], "left_anti").select(*docs.columns)
+        return keyed.join(hit.select("__id", "__text").distinct(), ["__id", "__text"], "left_anti").select("__doc.*")
     # The row travels as one struct, so that its columns' names can't meet those used here.
     found = hits(docs.select(F.struct("*").alias("__doc"), "text"), benchmark, window, ("__doc", "text"))
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).*?{_WORD}"), F.lit(0))

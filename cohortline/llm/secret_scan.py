@@ -139,7 +139,10 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
 
     Spans come back to their texts by id and text, so rows without spans aren't changed.
     """
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__text": F.xxhash64("text")})
+    # The row travels as one struct, so that its columns' names can't meet those used here.
+    keyed = docs.select(
+        F.struct("*").alias("__doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.xxhash64("text").alias("__text"), "text"
+    )
     found = settle(parts(keyed.select("__id", "__text", "text"), ("__id", "__text")))
     spans = linked(found, reach).filter(F.col("kind").isNotNull())
     by_text = spans.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
@@ -159,7 +162,9 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
         F.lit(mask),
     ))
     rest = F.expr("substring(text, int(element_at(__m, -1).end) + 1)")
-    out = joined.withColumn("text", F.when(F.col("__m").isNotNull(), F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
+    hit = F.col("__m").isNotNull()
+    text = F.when(hit, F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text"))
+    doc = F.col("__doc").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__m").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        doc = doc.withField("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__doc.n_chars")))
+    return joined.select(doc.alias("__doc")).select("__doc.*")
