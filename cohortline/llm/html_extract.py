@@ -18,7 +18,10 @@ without prose, always): undecided blocks inside are good, and if such elements
 hold half of the prose, those outside are bad. Elsewhere undecided blocks go to
 the second pass: they take the label of the nearest decided neighbour, headings
 that of the block they lead to. So do blocks of few stop words in an article,
-unless the page shows none at all (a language without a list here).
+unless the page shows none at all (a language without a list here). On such pages
+length and links alone decide blocks in the first pass; a character of a script
+that writes words with one or two counts three times. If no block is good in the
+end, those that nothing speaks against are the text (a lone short paragraph).
 
 Good blocks, with references decoded and white space in a block made single
 spaces, are joined by line ends. Nothing else is dropped or cut.
@@ -69,13 +72,14 @@ class Rules:
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|iframe|xmp)\b[^>]*(?:>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+)(?:>|\Z)"
     r"|</?[a-z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
+_DENSE = re.compile("[\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _NOTICE = re.compile(r"(?:\xa9|\(c\)|\bcopyright\b)[\s,]*(?:\xa9\s*)?(?:19|20)\d\d", re.IGNORECASE)
 
 _BLOCKS = frozenset("""
@@ -255,10 +259,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _by_itself(b: Block, rules: Rules) -> str:
-    """good, near, low (fewer stop words), poor (few), short, notice, linked or links."""
+def _length(text: str) -> int:
+    """Code points; characters of scripts that write a word with one or two of them count three times."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _by_itself(b: Block, rules: Rules, listed: bool = True) -> str:
+    """good, near, low (fewer stop words), poor (few), short, notice, linked or links.
+
+    On pages whose language has no list of stop words (``listed`` is False) length alone tells prose.
+    """
     n = len(b.text)
     share = b.linked / n
+    if not listed:
+        n = _length(b.text)
+        kind = "links" if share > rules.links_in_article else "linked" if share > rules.links else ""
+        if kind:
+            return kind
+        if _NOTICE.search(b.text):
+            return "notice"
+        return "good" if n > rules.long else "near" if n >= rules.short else "linked" if b.linked else "short"
     if share > rules.links_in_article:
         return "links"
     if share > rules.links:
@@ -336,6 +356,8 @@ def _weigh(found: list[Block], own: list[str], rules: Rules) -> tuple[list[bool]
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
     """Label every block good or bad."""
     own = [_by_itself(b, rules) for b in found]
+    if not any(k in ("good", "near", "low") for k in own) and any(_length(b.text) >= rules.short for b in found):
+        own = [_by_itself(b, rules, listed=False) for b in found]
     bad, marked, leads = _weigh(found, own, rules)
     known = any(k in ("good", "near") and not out for k, out in zip(own, bad))
     for b, kind, out, inside in zip(found, own, bad, marked):
@@ -388,6 +410,11 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
                 b.label = "good" if any(x == "good" for _, x in sides) else "bad"
             else:
                 b.label = "good" if near == {"good"} else "bad"
+    if not any(b.label == "good" for b in found):
+        # Nothing speaks for any block: what nothing speaks against is the text.
+        for b, kind, out in zip(found, own, bad):
+            if not out and kind in ("short", "near", "low", "poor") and "\xa9" not in b.text:
+                b.label = "good"
     return found
 
 
