@@ -7,9 +7,12 @@ vector. Embeddings and softmax are trained jointly, in numpy, on a sample
 of labelled rows. Misspelt and unseen words share the n-grams of known ones.
 
 Fixed by parameters, whatever the size of the tables: the number of sampled rows
-(``sample_rows``, half of it for each class as far as there are so many), their
-text bytes (``sample_bytes``) and the number of n-gram buckets. Everything else
-covers all rows: class totals (which undo the sample's balance) and scores.
+(``sample_rows``, half of it for each class as far as there are so many) and the
+number of n-gram buckets. A sampled text is kept as the shares of its buckets, so
+its length doesn't matter beyond their number. One task trains on the sample and
+returns a weight per bucket; nothing else of the model or the texts reaches the
+driver. Everything else covers all rows: class totals (which undo the sample's
+balance) and scores.
 
 As the softmax is linear in the mean, a word adds one number to a text's log
 odds, so workers keep numbers of words, and broadcast weights are one per bucket.
@@ -35,11 +38,8 @@ from pyspark.sql import types as T
 
 from cohortline.llm.common import text_batches
 
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_ROWS = 8000
 THRESHOLD = 0.3
-#: Shares travel to the driver and are trained on as half-precision numbers; this keeps them clear of its smallest ones.
-SCALE = 1024.0
 REMEMBERED = 1_000_000
 _EDGES = b"\"'()[]{}<>.,;:!?*#$%&+-=_/\\|~^`@"
 
@@ -87,10 +87,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _bag(text: str | None, known: dict, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares of its mean (times SCALE, in half precision); never more entries than buckets."""
+    """Buckets of a text and their shares of its mean; never more entries than buckets."""
     words = words_of(text)
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float16)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     parts = []
     for w in words:
         ids = known.get(w)
@@ -102,7 +102,7 @@ def _bag(text: str | None, known: dict, shape: Shape) -> tuple[np.ndarray, np.nd
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     share = np.bincount(np.concatenate(parts), np.repeat(1 / (sizes * (len(parts) + shape.padding)), sizes), shape.buckets)
     ids = np.flatnonzero(share)
-    return ids.astype(np.int32), (share[ids] * SCALE).astype(np.float16)
+    return ids.astype(np.int32), share[ids].astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_toxic: float) -> Model:
@@ -127,7 +127,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_to
             some = order[at : at + shape.batch]
             sizes = np.array([len(bags[i][0]) for i in some])
             ids = np.concatenate([bags[i][0] for i in some])
-            share = np.concatenate([bags[i][1] for i in some]).astype(np.float32) / SCALE
+            share = np.concatenate([bags[i][1] for i in some])
             text = np.repeat(np.arange(len(some)), sizes)
             mean = np.stack([
                 share[a : a + n] @ table[ids[a : a + n]] if n else np.zeros(shape.dim, np.float32)
@@ -154,9 +154,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], shape: Shape, share_to
     return Model(shape, table @ (soft[1] - soft[0]), float(bias[1] - bias[0] + shift))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES
-) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled rows that aren't held out; the sample is the same on every run."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -176,13 +174,8 @@ def fit(
         for r in known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(room[c]).select("doc_id").collect()
     ]
     sampled = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))  # sample_rows rows at most
-    sizes = texts.join(sampled, "doc_id").select("doc_id", "toxic", F.octet_length("text").alias("n")).collect()
-    kept, left = [], sample_bytes
-    for r in sorted(sizes, key=lambda r: zlib.crc32(str(r[0]).encode())):
-        if r[2] is not None and r[2] <= left:
-            left -= r[2]
-            kept.append((r[0], r[1]))
-    rows = F.broadcast(spark.createDataFrame(sorted(set(kept)), "doc_id long, toxic int"))
+    # An id that many rows have teaches once: of its texts the one of the smallest digest.
+    once = texts.join(sampled, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, np.ndarray] = {}
@@ -193,14 +186,24 @@ def fit(
                 names=["doc_id", "toxic", "ids", "shares"],
             )
 
-    got = texts.join(rows, "doc_id").select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id long, toxic int, ids binary, shares binary")
-    table = got.toArrow()  # stays in Arrow's buffers, which training reads in place
-    made = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "toxic")), range(table.num_rows)))
-    ids, shares = (_in_place(table.column(c)) for c in ("ids", "shares"))
-    return train([(ids[k].view(np.int32), shares[k].view(np.float16), c) for _, c, k in made], shape, share_toxic)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [
+            (doc, (ids.view(np.int32), shares.view(np.float32), toxic))
+            for b in batches
+            for doc, toxic, ids, shares in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _in_place(b.column(2)), _in_place(b.column(3)))
+        ]
+        made.sort(key=lambda x: x[0])
+        m = train([x for _, x in made], shape, share_toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()], pa.binary()), pa.array([m.intercept])], names=["weights", "intercept"])
 
+    made = once.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id long, toxic int, ids binary, shares binary")
+    learned = made.repartition(1).mapInArrow(learn, "weights binary, intercept double").first()  # the sample in one task
+    if learned is None:
+        return train([], shape, share_toxic)
+    return Model(shape, np.frombuffer(learned["weights"], "<f4"), learned["intercept"])
 
-def _in_place(column: pa.ChunkedArray) -> list[np.ndarray]:
+
+def _in_place(column: pa.Array) -> list[np.ndarray]:
     """The values of a binary column as bytes in the column's own memory."""
     return [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
 
@@ -208,13 +211,12 @@ def _in_place(column: pa.ChunkedArray) -> list[np.ndarray]:
 class _Worth(dict):
     """Log-odds share of each word, worked out once per worker."""
 
-    def __init__(self, model: Model):
+    def __init__(self, weights: np.ndarray, shape: Shape):
         super().__init__()
-        self.model = model
+        self.weights, self.shape = weights, shape
 
     def __missing__(self, word: bytes) -> float:
-        ids = subwords(word, self.model.shape)
-        out = self[word] = float(self.model.weights[ids].mean())
+        out = self[word] = float(self.weights[subwords(word, self.shape)].mean())
         return out
 
 
@@ -222,19 +224,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """Add the probability of label 1 (double) to each row, from its whole text and nothing else."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # one float per bucket
+    shared = spark.sparkContext.broadcast(model.weights)  # one float per bucket; an array, as executors may lack this package
+    shape, intercept = model.shape, model.intercept
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != name], T.StructField(name, T.DoubleType())])
     plain = docs.drop(name)
     at, names = plain.columns.index(text), [*plain.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        worth = _Worth(m)
+        worth = _Worth(shared.value, shape)
         for b in batches:
             raw = np.empty(b.num_rows)
             for i, t in enumerate(b.column(at).to_pylist()):
                 words = words_of(t)
-                raw[i] = m.intercept + sum(map(worth.__getitem__, words)) / max(1, len(words) + m.shape.padding)
+                raw[i] = intercept + sum(map(worth.__getitem__, words)) / max(1, len(words) + shape.padding)
             if len(worth) > REMEMBERED:
                 worth.clear()
             p = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))

@@ -1,10 +1,14 @@
 """Operators on documents next to plain Python versions, on odd rows and on the smallest tables."""
 
 import hashlib
+import math
+import pickle
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -68,6 +72,18 @@ def test_chunks_give_the_tokenizer_s_ids(text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist() + [1] == direct(text)
 
 
+def test_chunks_of_batches_outgrow_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 64)
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    enc, rng = packing.ChunkEncoder(PATH), np.random.default_rng(1)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choice(list("abcdeé.,1 \n"), rng.integers(0, 9))) for _ in range(rng.integers(0, 60))) for _ in range(12)]
+        texts += [None, "", "x" * 300, " \n ", texts[0]]
+        for text, ids in zip(texts[3:], enc.encode_all(pa.array(texts)[3:])):
+            assert [*ids.tolist(), 1] == direct(text)
+    assert enc.encode_all(pa.array([], pa.string())) == []
+
+
 def check_packed(got, docs, capacity):
     per_doc, bins = defaultdict(list), defaultdict(list)
     for r in got:
@@ -141,6 +157,33 @@ def test_leaks_like_plain_python(spark, odd_docs, odd_pairs, monkeypatch, bound)
     assert Counter(got) == Counter(helpers.leaks(odd_pairs, items))
 
 
+def test_hits_of_long_texts_take_time_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", -1)
+    words = [f"w{i % 977}x{i % 31}" for i in range(40_000)]
+    items = spark.createDataFrame([(1, " ".join(words[200:230])), (2, "a b c d e f g h i j k")], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        took = {}
+        for n in (40_000, 10_000, 40_000):  # the first one warms up
+            docs = spark.createDataFrame([(1, " ".join(words[:n]))], "doc_id long, text string")
+            start = time.perf_counter()
+            got = decontamination.report(docs, items).collect()
+            took[n] = time.perf_counter() - start
+            assert [(r["n_words"], r["n_items"]) for r in got] == [(n, 1)] and got[0]["n_hit"] == helpers.leaks([(1, " ".join(words[:n]))], [(1, " ".join(words[200:230]))])[0][2]
+        assert took[40_000] < 5 * took[10_000] + 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_named_like_those_used_inside_stay(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef123 x", "mine", "too", 19), (2, "plain", None, "t", 5)], "doc_id long, text string, __id string, __text string, n_chars long")
+    benchmark = spark.createDataFrame([(1, "something else")], "item_id long, text string")
+    assert decontamination.clean(docs, benchmark).orderBy("doc_id").collect() == docs.orderBy("doc_id").collect()
+    got = secret_scan.redact(docs).orderBy("doc_id").collect()
+    assert [(r["__id"], r["__text"]) for r in got] == [("mine", "too"), (None, "t")] and got[0]["text"] == f"{secret_scan.MASK} x"
+    assert got[0]["n_chars"] == len(got[0]["text"]) and got[1]["text"] == "plain"
+
+
 def test_leaks_without_items(spark, odd_docs, odd_pairs):
     bench = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.report(odd_docs, bench).collect()
@@ -231,13 +274,78 @@ def test_misspelt_words_share_what_is_learned():
 
     def odds(text):
         ids, share = toxicity._bag(text, {}, shape)
-        return model.intercept + share.astype(float) / toxicity.SCALE @ model.weights[ids]
+        return model.intercept + share.astype(float) @ model.weights[ids]
 
     plain = " ".join(clean[:40])
     assert odds(plain + " scoundrel wretched vermin") > 0 > odds(plain)
     assert odds(plain + " scoundrell wretchedd verminn") > odds(plain) + 1
 
 
+def plain_training(bags, shape, share_toxic):
+    """The weights and intercept of ``toxicity.train`` by loops over rows, buckets and dimensions."""
+    rng = np.random.default_rng(shape.seed)
+    y = [b[2] for b in bags]
+    table = rng.uniform(-1, 1, (shape.buckets, shape.dim)).astype(np.float32) / shape.dim
+    soft = rng.normal(0, 0.3, (2, shape.dim)).astype(np.float32).astype(float)
+    table, bias = table.astype(float), [0.0, 0.0]
+    rare = sum(y) / len(y)
+    seen, seen_soft, seen_bias = [1e-6] * shape.buckets, np.full((2, shape.dim), 1e-6), [1e-6, 1e-6]
+    for _ in range(shape.epochs):
+        order = rng.permutation(len(bags))
+        for at in range(0, len(order), shape.batch):
+            some = [bags[i] for i in order[at : at + shape.batch]]
+            pull, grad_soft, grad_bias = defaultdict(float), np.zeros((2, shape.dim)), [0.0, 0.0]
+            for ids, share, label in some:
+                mean = sum((s * table[i] for i, s in zip(ids, share)), np.zeros(shape.dim))
+                e = [math.exp(soft[c] @ mean + bias[c]) for c in (0, 1)]
+                for c in (0, 1):
+                    wrong = (e[c] / sum(e) - (label == c)) * 0.5 / (rare if label else 1 - rare) / len(some)
+                    grad_soft[c] += wrong * mean
+                    grad_bias[c] += wrong
+                    if c:
+                        for i, s in zip(ids, share):
+                            pull[i] += s * wrong
+            across = soft[1] - soft[0]
+            for i, g in pull.items():
+                seen[i] += g * g * (across @ across) / shape.dim
+                table[i] = table[i] - shape.rate * g / math.sqrt(seen[i]) * across
+            for c in (0, 1):
+                for d in range(shape.dim):
+                    seen_soft[c][d] += grad_soft[c][d] ** 2
+                    soft[c][d] -= shape.rate * grad_soft[c][d] / math.sqrt(seen_soft[c][d])
+                seen_bias[c] += grad_bias[c] ** 2
+                bias[c] -= shape.rate * grad_bias[c] / math.sqrt(seen_bias[c])
+    return table @ (soft[1] - soft[0]), bias[1] - bias[0] + math.log(share_toxic / (1 - share_toxic))
+
+
+def test_training_equals_plain_loops():
+    shape = toxicity.Shape(buckets=97, dim=3, epochs=3, batch=4)
+    texts = [("you vile wretched thing", 1), ("a calm day by the sea", 0), ("", 0), ("vile vile wretch", 1), ("calm seas and days", 0), ("thing", 0), ("the vilest", 1)]
+    bags = [(*toxicity._bag(t, {}, shape), y) for t, y in texts]
+    got = toxicity.train(bags, shape, 0.2)
+    weights, intercept = plain_training(bags, shape, 0.2)
+    assert np.allclose(got.weights, weights, atol=1e-3) and abs(got.intercept - intercept) < 1e-3
+
+
+def test_scores_equal_a_plain_forward_pass(odd_docs):
+    shape = toxicity.Shape(buckets=1000)
+    model = toxicity.Model(shape, np.random.default_rng(3).normal(0, 4, shape.buckets).astype(np.float32), -0.25)
+    for r in toxicity.score(odd_docs.select("text"), model).collect():
+        words = (r["text"] or "").encode().lower().split()
+        total = sum(sum(float(model.weights[i]) for i in toxicity.subwords(w, shape)) / len(toxicity.subwords(w, shape)) for w in words)
+        want = 1 / (1 + math.exp(0.25 - total / max(1, len(words) + shape.padding)))
+        assert abs(r["score"] - want) < 1e-6
+
+
+def test_what_executors_get_needs_no_package_of_theirs(spark, odd_docs, monkeypatch):
+    sent, context = [], spark.sparkContext
+    real = context.broadcast
+    monkeypatch.setattr(type(context), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or real(value))
+    shape = toxicity.Shape(buckets=100)
+    toxicity.score(odd_docs, toxicity.Model(shape, np.zeros(100, np.float32), 0.0)).count()
+    assert sent and not any(b"cohortline" in x for x in sent)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op9_toxicity"](spark, folder).join(load(spark, folder, "labels"), "doc_id").filter("held_out").collect()
@@ -248,6 +356,13 @@ def test_held_out_accuracy(spark):
 # N-gram join
 
 
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    long, short = " ".join(f"l{i}" for i in range(120)), [f"s{i}" for i in range(15)]
+    docs = spark.createDataFrame([(5, long), (5, " ".join(short)), (9, " ".join([*short, "t"])), (7, long + " x"), (8, "alone")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {(5, 116): 5, (5, 11): 5, (9, 12): 5, (7, 117): 5, (8, 1): 8}
+
+
 def test_components_like_all_pairs(odd_docs, odd_pairs):
     got = ngram_join.join(odd_docs).collect()
     want = helpers.components([(i, t) for i, t in odd_pairs if i is not None])

@@ -98,6 +98,54 @@ def test_names_are_whole_and_give_way_to_most_of_the_text():
     assert html_extract.main_text(f"<p hidden>{STORY}</p>") == ""
 
 
+PROSE = {
+    "en": "The house by the river was built in the year of the great flood and it has stood there for more than a hundred years, as the people of the town like to say to all who come to see it.",
+    "fr": "La maison au bord de la rivière a été construite dans les années de la grande crue et elle est restée là pendant plus de cent ans, comme le disent les gens de la ville à tous ceux qui viennent.",
+    "de": "Das Haus an dem Fluss ist in dem Jahr der großen Flut gebaut worden und es steht dort seit mehr als hundert Jahren, wie die Leute in der Stadt es allen erzählen, die sich das Haus ansehen.",
+    "pl": "Dom nad rzeką został zbudowany w roku wielkiej powodzi i stoi tam już ponad sto lat, jak lubią mówić mieszkańcy miasteczka każdemu, kto przyjeżdża go zobaczyć i posłuchać dawnych opowieści.",
+    "ru": "Дом у реки был построен в год большого наводнения и стоит там уже больше ста лет, как любят рассказывать жители городка каждому, кто приезжает посмотреть на него и послушать старые истории.",
+    "zh": "河边的那座房子是在大洪水那一年建造的,至今已经矗立了一百多年,镇上的人总喜欢把这个故事讲给每一个前来参观的客人听,大家都觉得非常有意思,也愿意再来看看。",
+}
+MENU = "<div class=menu><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Contact</a></li></ul></div>"
+FOOT = "<footer><p>&copy; 2021 Example</p><a href=/d>Terms</a></footer>"
+
+
+@pytest.mark.parametrize("lang", list(PROSE))
+def test_pages_without_marks_in_any_language(lang):
+    text = PROSE[lang]
+    first, second = text, " ".join(reversed(text.split(" "))) if lang != "zh" else text[::-1]
+    page = f"<html><body>{MENU}<div><h2>T {lang}</h2><p>{first}</p><p>{second}</p></div><div class=sidebar><p>{text}</p></div>{FOOT}</body></html>"
+    assert html_extract.main_text(page) == f"T {lang}\n{first}\n{second}"
+    quoted = f"<html><body>{MENU}<div><p title=don't>{first}</p><p data-x='a > b' lang=\"{lang}\">{second}</p><p title=it's>{first}</p></div>{FOOT}</body></html>"
+    assert html_extract.main_text(quoted) == f"{first}\n{second}\n{first}"
+
+
+def test_teasers_in_articles_do_not_take_the_place_of_prose():
+    teasers = "".join(f"<article><a href=/{i}>Read story {i}</a></article>" for i in range(4))
+    page = f"<body>{MENU}<div><p>{PROSE['pl']}</p><p>{PROSE['pl']}</p></div>{teasers}{FOOT}</body>"
+    assert html_extract.main_text(page) == f"{PROSE['pl']}\n{PROSE['pl']}"
+
+
+def test_a_lone_short_paragraph_is_the_text():
+    for words in ("Closed on Monday.", "Zamknięte w poniedziałek.", "星期一休息。"):
+        assert html_extract.main_text(f"<body>{MENU}<p>{words}</p>{FOOT}</body>") == words
+    assert html_extract.main_text(f"<body>{MENU}{FOOT}</body>") == ""
+
+
+def test_tags_end_outside_quotes_of_values(spark):
+    cases = {
+        '<p><a title="x > y">link</a> more</p>': "link more", "<p title=don't>one</p><p>it's two</p>": "one\nit's two",
+        "<div data-a = '>'>in</div><br title='a>b'/>out": "in\nout", '<p class="open>never closed': "never closed",
+        "<script src='a>b'>x()</script>y": "y", "a < b and c > d": "a < b and c > d",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r["page_id"]: r["block"] for r in warc.derive(warc.responses(df)).filter("record_type = 'conversion'").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    long = "<p " + " ".join(f'a{i}="x > {i}"' for i in range(3000)) + f" style='{'y' * 100_000}'>text</p>"
+    one = warc.derive(warc.responses(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")))
+    assert one.filter("record_type = 'conversion'").first()["block"] == "text"
+
+
 def test_extract_rows(spark):
     rows = [(i, f"http://x/{i}", h, "t") for i, h in enumerate(PAGES)] + [(0, None, None, "t"), (None, "u", "<article>" + "<p>x y</p>" * 50_000, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -281,7 +329,7 @@ def test_neighbours_of_odd_rows(spark):
 def test_pipeline_like_its_stages_done_plainly(spark, sf):
     docs = load(spark, sf, "documents")
     model = toxicity.fit(docs, load(spark, sf, "labels"))
-    worth = toxicity._Worth(model)
+    worth = toxicity._Worth(model.weights, model.shape)
     left = []
     for r in docs.collect():
         w = toxicity.words_of(r["text"])
