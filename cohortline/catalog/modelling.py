@@ -13,8 +13,6 @@ from cohortline.operators import ensemble as E
 from cohortline.operators import models as L
 from cohortline.operators import testing as T
 from cohortline.operators.metrics import evaluate
-from cohortline.operators.moments import inner_group_folds
-from cohortline.operators.moments import nested_elastic_net as nested_fits
 from cohortline.operators.prep import resample
 from cohortline.operators.rank import attach
 from cohortline.operators.summary import agreement, fold_mean_with_zeros, five_numbers, second_level, weight_share
@@ -307,12 +305,14 @@ def oof_once(spark, sf):
 @query("nested_elastic_net")
 def nested_elastic_net(spark, sf):
     """Grid search with subject-safe inner folds; scores of every fold's best set."""
-    grid = [(a, r) for a in (0.01, 0.1, 1.0) for r in (0.6, 0.7, 0.8, 0.9, 0.95, 0.99)]
-    folds = list(range(1, 6))
-    df, inner = inner_group_folds(_regression_rows(spark, sf), "fold", folds, "snapshot_id", "y", 5)
-    run = nested_fits(df, "fold", folds, "id", "y", ["price", "l_discount", "l_tax"], inner, 5, grid, "spearman")
+    df, features = _regression_rows(spark, sf), ["price", "l_discount", "l_tax"]
+    grid = L.parameter_grid({"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.6, 0.7, 0.8, 0.9, 0.95, 0.99]})
+    run = L.nested_cross_validate(
+        df, "fold", range(1, 6), "id", "y", L.preparation(features), "ElasticNet", grid, "spearman",
+        inner_k=5, group="snapshot_id", from_sums=features,
+    )
     scores = evaluate(run.predictions, "True_value", "Predicted_value", ["mse", "smape", "spearman"], ["fold"])
-    best = run.tuning.filter("best").select("fold", F.col("alpha").cast("string").alias("alpha"), F.col("l1_ratio").cast("string").alias("l1_ratio"))
+    best = L.tuning_table(df, run).filter("best").select("fold", F.col("params")["alpha"].alias("alpha"), F.col("params")["l1_ratio"].alias("l1_ratio"))
     return rounded(scores.join(best, "fold"), "mse", "smape", "spearman")
 
 
