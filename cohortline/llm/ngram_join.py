@@ -16,7 +16,8 @@ Every link between different sets is found, by parity sketches:
    document with fewer than d + 1 words that hold something also gets a marker
    key of its band, under which it meets its like.
    Which n-grams count as frequent is read off a bounded sample of documents; it
-   decides the order alone, that is the cost, never the result.
+   decides the order alone, that is the cost, never the result. Size, digest,
+   sketch and keys come from one pass over the texts.
 4. Under each key, documents pair with the key's smallest document. A pair goes on
    if sizes allow and a second, 512-bit parity sketch has a distance of at most
    d; then the sets themselves are compared. Linked documents become components.
@@ -53,10 +54,13 @@ PERCENT = 80
 SAMPLE, SHARED_BY = 20_000, 3
 #: Bits of the table of frequent n-grams that is broadcast (2 MB packed); longs of the second sketch.
 TABLE_BITS, SKETCH_LONGS = 24, 8
+#: A join key counts as hot if so many sampled documents have it; so many hot keys are listed and broadcast.
+HOT, HOT_KEYS = 200, 10_000
 #: So many candidate ids may be broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 REMEMBERED = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.ones(1, bool)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,10 +85,16 @@ def shingles(text: str | None, known: WordHash, size: int = SHINGLE) -> np.ndarr
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     span = min(size, len(h))
-    out = np.full(len(h) - span + 1, np.uint64(span))
+    n = len(h) - span + 1
+    out, factor = np.full(n, np.uint64(span)), 1
     for i in range(span):
-        out = _mix(out + h[i : len(h) - span + 1 + i]) * _MUL
-    return np.unique(out)
+        factor = factor * int(_MUL) % (1 << 64)
+        out += h[i : n + i] * np.uint64(factor)
+    out = _mix(out)
+    out.sort()
+    fresh = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out[fresh]
 
 
 def _edges(top: int) -> np.ndarray:
@@ -104,21 +114,24 @@ def words_of_band(band: int) -> int:
     return max(2 * high // 9 + 1, 28 * high // 100 + 2)
 
 
-def _band_keys(tokens: np.ndarray, frequent: np.ndarray, band: int) -> np.ndarray:
+def _band_keys(tokens: np.ndarray, bits: np.ndarray, rare: np.ndarray, band: int) -> np.ndarray:
     n, k = len(tokens), words_of_band(band)
     most = (n + min(5 * n // 4, int(EDGES[band + 1]) - 1)) // 9  # words that may differ from a partner's
-    word = ((tokens >> np.uint64(16)) % np.uint64(k)).astype(np.int64)
+    word = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+    if k <= 1 << 16:
+        word = word.astype(np.uint16)  # sorted by counting
     order = np.argsort(word, kind="stable")
     at = word[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    held = at[starts]
-    sketch = np.bitwise_xor.reduceat(_mix(tokens * _MUL)[order], starts)
-    rare = np.bincount(word, ~frequent, minlength=k)[held].astype(np.int64)
-    count = np.bincount(word, minlength=k)[held]
-    key = _mix(_mix(sketch + np.uint64(band)) + held.astype(np.uint64) * _MUL)
+    starts = np.flatnonzero(np.concatenate((_FIRST, at[1:] != at[:-1])))
+    held = at[starts].astype(np.uint64)
+    sketch = np.bitwise_xor.reduceat(bits[order], starts)
+    key = _mix(_mix(sketch + np.uint64(band)) + held * _MUL)
     if len(held) > most:
         # Ordered by the number of rare n-grams, then of all, then by key: properties of the word alone.
-        return key[np.lexsort((key, -count, -rare))[: most + 1]].view(np.int64)
+        uncommon = np.add.reduceat(rare[order], starts)
+        count = np.diff(starts, append=n)
+        rank = (np.minimum(uncommon, 65535) << 47) + (np.minimum(count, 65535) << 31) + (key >> np.uint64(33)).astype(np.int64)
+        return key[np.argsort(-rank, kind="stable")[: most + 1]].view(np.int64)
     return np.append(key, _mix(np.array([band], np.uint64) * _MUL)).view(np.int64)
 
 
@@ -127,8 +140,9 @@ def join_keys(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(tokens):
         return np.zeros(0, np.int64)
     band = int(np.searchsorted(EDGES, len(tokens), side="right")) - 1
-    frequent = table[(tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    return np.concatenate([_band_keys(tokens, frequent, band), _band_keys(tokens, frequent, band + 1)])
+    rare = (~table[(tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]).astype(np.int64)
+    bits = _mix(tokens * _MUL)
+    return np.concatenate([_band_keys(tokens, bits, rare, band), _band_keys(tokens, bits, rare, band + 1)])
 
 
 def small_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -147,25 +161,48 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), set_id (a 128-bit digest of the set; null if empty) and the small sketch of every row."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def described(docs: DataFrame, table: np.ndarray, size: int = SHINGLE) -> DataFrame:
+    """What the join needs of every row, in one pass over the texts.
+
+    doc_id, n (set size), set_id (a 128-bit digest of the set; null if empty), the
+    small sketch, and the join keys. Of a set that a partition has seen before,
+    the keys aren't made again: a class needs one document of each partition.
+    ``table``: see ``frequent_table``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, frequent, seen = WordHash(), np.unpackbits(shared.value).view(bool), set()
         for b in batches:
             sets = [shingles(t, known, size) for t in b.column(1).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            keys = []
+            for doc, s, digest in zip(b.column(0).to_pylist(), sets, digests):
+                new = doc is not None and digest not in seen
+                keys.append(join_keys(s, frequent) if new else np.zeros(0, np.int64))
+                if new:
+                    seen.add(digest)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(map(len, sets), pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([small_sketch(s) for s in sets], pa.list_(pa.int64())),
-            ], names=["doc_id", "n", "set_id", "sketch"])
+                b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
+                _lists([small_sketch(s) for s in sets]), _lists(keys),
+            ], names=["doc_id", "n", "set_id", "sketch", "keys"])
+
+    return _narrow(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>, keys array<long>")
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
+
+def _sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About SAMPLE of the rows, chosen by doc_id."""
+    share = min(1.0, SAMPLE / max(rows, 1))
+    return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
 def frequent_table(docs: DataFrame, rows: int, size: int = SHINGLE) -> np.ndarray:
     """Leading bits of n-grams that SHARED_BY documents of a sample of about SAMPLE share."""
-    share = min(1.0, SAMPLE / max(rows, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -174,8 +211,7 @@ def frequent_table(docs: DataFrame, rows: int, size: int = SHINGLE) -> np.ndarra
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["token"])
 
-    some = _narrow(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    tokens = some.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= SHARED_BY)
+    tokens = _sampled(_narrow(docs), rows).mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= SHARED_BY)
     slots = tokens.select(F.shiftrightunsigned("token", 64 - TABLE_BITS).alias("slot")).distinct()
     table = np.zeros(1 << TABLE_BITS, bool)
     for r in slots.toLocalIterator():  # 2^TABLE_BITS at most
@@ -183,30 +219,33 @@ def frequent_table(docs: DataFrame, rows: int, size: int = SHINGLE) -> np.ndarra
     return np.packbits(table)
 
 
-def met(docs: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
-    """key, doc_id, head for keys that several documents have; head is the smallest of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, rows, size))
+def met(wide: DataFrame, rows: int) -> DataFrame:
+    """key, doc_id, head for groups of documents that have a join key in common; head is the smallest of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, seen = WordHash(), np.unpackbits(shared.value).view(bool), set()
-        for b in batches:
-            ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if doc is None:
-                    continue
-                s = shingles(t, known, size)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                if digest in seen:  # a class needs one document of each partition here
-                    continue
-                seen.add(digest)
-                keys.append(join_keys(s, table))
-                ids.append(np.full(len(keys[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
-
-    keyed = _narrow(docs).mapInArrow(run, "key long, doc_id long")
+    ``wide`` is a written table. Keys that many documents of a sample of it share
+    are aggregated before they are shuffled, the others meet in a window; which
+    keys go which way decides the cost alone.
+    """
+    keyed = wide.select(F.explode("keys").alias("key"), "doc_id")
+    some = _sampled(wide, rows).select(F.explode("keys").alias("key")).groupBy("key").count()
+    most = some.filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(HOT_KEYS)
+    hot = [(r[0],) for r in most.select("key").collect()]
     own = Window.partitionBy("key")
-    both = keyed.withColumns({"head": F.min("doc_id").over(own), "last": F.max("doc_id").over(own)})
-    return both.filter(F.col("head") < F.col("last")).select("key", "doc_id", "head")
+    # Copies share nearly all of their keys, so keys of the same documents are one: the hash of the group takes their
+    # place. Should two groups ever have one hash, their documents only meet once more than they have to.
+    group = [F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.bit_xor(F.xxhash64("doc_id"))]
+    names = ["head", "last", "n", "mix"]
+    if hot:
+        listed = F.broadcast(wide.sparkSession.createDataFrame(hot, "key long"))  # HOT_KEYS rows at most
+        crowded = keyed.join(listed, "key", "left_semi")
+        ends = crowded.groupBy("key").agg(*[g.alias(n) for g, n in zip(group, names)])
+        crowded = crowded.join(F.broadcast(ends), "key")
+        keyed = keyed.join(listed, "key", "left_anti")
+    both = keyed.withColumns({n: g.over(own) for g, n in zip(group, names)})
+    if hot:
+        both = both.unionByName(crowded)
+    met_again = both.filter(F.col("head") < F.col("last"))
+    return met_again.select(F.xxhash64(*names).alias("key"), "doc_id", "head").distinct()
 
 
 def _possible(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column) -> Column:
@@ -259,14 +298,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = state.select("node", "component")
 
 
-def links(docs: DataFrame, described_docs: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between different documents, as many as it takes to connect every component."""
-    about = described_docs.groupBy("doc_id").agg(F.max_by("n", "n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
-    under = settle(met(docs, rows, size))
+def links(docs: DataFrame, every: DataFrame, keyed: DataFrame, rows: int, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between different documents, as many as it takes to connect every component.
+
+    ``every`` and ``keyed``: the written table of ``described`` without and with keys. Ids with several sets have no
+    size and sketch of their own, so their pairs are all verified, set by set.
+    """
+    one = F.min("set_id") == F.max("set_id")
+    about = every.filter(F.col("set_id").isNotNull()).groupBy("doc_id").agg(
+        F.when(one, F.max("n")).alias("n"), F.when(one, F.max_by("sketch", "n")).alias("sketch")
+    )
+    under = settle(met(keyed, rows))
     known = settle(under.select("doc_id").distinct().join(about, "doc_id"))
     a = known.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     b = known.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    fits = _possible(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"))
+    fits = F.coalesce(_possible(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch")), F.lit(True))
     stars = under.filter(F.col("head") < F.col("doc_id")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     found = _verified(stars.join(b, "b").join(a, "a").filter(fits).select("a", "b"), docs, size)
 
@@ -293,13 +339,14 @@ def links(docs: DataFrame, described_docs: DataFrame, rows: int, size: int = SHI
 
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    every = settle(described(docs, size))
-    rows = every.count()
+    rows = docs.count()
+    keyed = settle(described(docs, frequent_table(docs, rows, size), size))
+    every = settle(keyed.drop("keys"))
     classes = settle(every.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least")))
     # Both sides are written tables, so adaptive execution can split the class of a third of all rows.
     placed = every.select("doc_id", "n", "set_id").join(classes, "set_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least"))
     same = placed.filter(F.col("least") < F.col("doc_id")).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    whole = components(links(docs, every, rows, size).unionByName(same))
+    whole = components(links(docs, every, keyed, rows, size).unionByName(same))
     return placed.join(whole, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
