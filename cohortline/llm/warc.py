@@ -29,10 +29,12 @@ from cohortline.llm.common import text_batches
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 VERSION = "WARC/1.0"
 
-# What doesn't show: comments, scripts, styles, the head; then all other tags. Unended ones go on to the end.
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|noscript|template|head)(?:\s[^>]*)?>.*?(?:</(?:script|style|noscript|template|head)\s*>|\z)"
-_BREAK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|form)(?:[\s/][^>]*)?>"
-_TAG = r"(?s)</?[a-zA-Z][^>]*(?:>|\z)|<![^>]*(?:>|\z)"
+# What doesn't show: comments, scripts, styles, the head; then all other tags. Unended ones go on to the end. A quote
+# counts at the start of an attribute's value only, and keeps a > inside it from ending the tag.
+_REST = r"""[^>=]*+(?:=[\s]*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|noscript|template|head)(?:\s" + _REST + r")?>.*?(?:</(?:script|style|noscript|template|head)\s*>|\z)"
+_BREAK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|form)(?:[\s/]" + _REST + ")?>"
+_TAG = r"</?[a-zA-Z]" + _REST + r"(?:>|\z)|<![^>]*+(?:>|\z)"
 
 #: White space that a reference may stand for, no-break space included.
 _SPACES = str.maketrans(dict.fromkeys("\t\n\f\r\xa0", " "))
@@ -53,12 +55,13 @@ def plain_text(html: Column) -> Column:
     def decoded(texts: pd.Series) -> pd.Series:
         return texts.map(_decoded)
 
+    # White space is matched only where something changes, as most of it is single spaces.
     out = F.regexp_replace(html, _HIDDEN, " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"[\r\n\t ]+", " "), _BREAK, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\r\n\t][\r\n\t ]*+| [\r\n\t ]++", " "), _BREAK, "\n")
     out = F.regexp_replace(out, _TAG, "")
     out = decoded(out)
-    out = F.regexp_replace(F.regexp_replace(out, "[ ]+", " "), "[ ]*\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
+    out = F.regexp_replace(F.regexp_replace(out, "[ ]{2,}", " "), " \n[ \n]*+|\n[ \n]++", "\n")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def _digest(text: Column) -> Column:
@@ -105,6 +108,7 @@ def derive(source: DataFrame) -> DataFrame:
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )).alias("r"))
     block = F.col("r.block")
+    made = made.withColumn("digest", _digest(block))
     return made.select(
         "page_id",
         F.col("r.record_type").alias("record_type"),
@@ -115,8 +119,8 @@ def derive(source: DataFrame) -> DataFrame:
         F.col("http_head").alias("source_headers"),
         F.col("payload_digest").alias("source_digest"),
         block.alias("block"),
-        _digest(block).alias("block_digest"),
-        F.when(F.col("r.record_type") == "conversion", _digest(block)).alias("payload_digest"),
+        F.col("digest").alias("block_digest"),
+        F.when(F.col("r.record_type") == "conversion", F.col("digest")).alias("payload_digest"),
         F.octet_length(block).cast("long").alias("content_length"),
     )
 
