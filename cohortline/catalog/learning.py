@@ -19,7 +19,7 @@ from cohortline.operators.baseline import shuffle_train_labels
 from cohortline.operators.ensemble import tagged
 from cohortline.operators.folds import folds_for_labels
 from cohortline.operators.metrics import evaluate
-from cohortline.operators.smote import bucket_neighbours
+from cohortline.operators.smote import minority_neighbours
 from cohortline.operators.summary import agreement
 from cohortline.operators.timezones import correct_local_times
 from cohortline.operators.windows import sliding_windows
@@ -163,10 +163,10 @@ select id, cast(k as int) as k, neighbour, round(distance, 6) as distance from
   row_number() over (partition by a.vec_id order by list_distance(a.x, b.x), b.vec_id) as k
  from d a join d b on a.vec_id <> b.vec_id) where k <= 5""")
 def smote_neighbours(spark, sf):
-    """The five nearest rows of the minority class, by buckets of random projections (exact while the class fits into half a bucket)."""
+    """The five nearest rows of the minority class, exactly, block by block."""
     names = [f"e{i}" for i in range(64)]
     df = load(spark, sf, "embeddings").filter("label >= 7").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    near = bucket_neighbours(df, "vec_id", names, 5)
+    near = minority_neighbours(df, "vec_id", names, 5)
     cells = near.select(F.col("vec_id").alias("id"), F.posexplode("near").alias("at", "n"))
     return cells.select("id", (F.col("at") + 1).alias("k"), F.col("n.neighbour").alias("neighbour"), F.round("n.distance", 6).alias("distance"))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortline.catalog import learning
 from cohortline.functions.distributions import student_t_p, student_t_quantile, t_tail
 from cohortline.operators import blocks, forests, hierarchy, moments, naive_bayes, smote
 from cohortline.operators import models as L
@@ -227,6 +228,17 @@ def test_bucket_neighbours_are_exact_in_one_bucket(spark):
     assert got == {i: row.tolist() for i, row in enumerate(nearest(x, 4))}
 
 
+def test_smote_neighbours_misses_none(spark, monkeypatch):
+    """A class of more rows than a bucket, without clusters: every neighbour is a near tie."""
+    x = np.random.default_rng(3).normal(size=(2500, 64)).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, 7, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    monkeypatch.setattr(learning, "load", lambda *_: rows)
+    got = {(r["id"], r["k"]): r["neighbour"] for r in learning.smote_neighbours(spark, "").collect()}
+    d = ((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): j for i, row in enumerate(np.argsort(d, axis=1)[:, :5]) for k, j in enumerate(row)}
+
+
 def test_bucket_neighbours_recall_and_linear_work(spark):
     sent = {}
     for n in (1500, 3000):

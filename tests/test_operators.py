@@ -175,6 +175,20 @@ def test_neighbours_are_exact(spark, both_forms):
         assert [n["neighbour"] for n in r["near"]] == list(np.argsort(d[r["id"]], kind="stable")[:5])
 
 
+def test_neighbours_of_copies_are_exact(spark, both_forms):
+    """More copies than neighbours, and distances that are equal: ties go to the smaller id."""
+    x = np.array([[i % 7, 0.1 * (i % 3)] for i in range(200)]) + [1e6, 0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double")
+    got = {r["id"]: r["near"] for r in smote.minority_neighbours(df, "id", ["a", "b"], k=4, block_rows=16).collect()}
+    assert len(got) == 200
+    for i, near in got.items():
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        d[i] = np.inf
+        want = np.argsort(d, kind="stable")[:4]
+        assert [n["neighbour"] for n in near] == list(want) and [n["distance"] for n in near] == list(d[want])
+        assert [n["y"] for n in near] == [list(x[j]) for j in want]
+
+
 def test_smote_rows_lie_between_neighbours(spark):
     df = spark.createDataFrame([(i, int(i >= 12), float(i), float(i * i)) for i in range(16)], "id long, y int, a double, b double")
     out = smote.smote(df, "y", "id", ["a", "b"], k=2).toPandas()
