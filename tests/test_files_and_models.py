@@ -2,6 +2,7 @@
 
 import gzip
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,29 @@ def test_tokens_and_pmi(spark):
         text.pmi_vocabulary(df, "id", "t", 1, 5)
 
 
+def test_pmi_of_rare_words_shuffles_ngrams_once(spark, monkeypatch):
+    """Words found in tasks and words that reach their documents by joins give the same counts; null ids and texts, ids used twice."""
+    rows = [(1, "a b c d. a b"), (1, "a b c e"), (None, "b c a b"), (None, None), (4, ""), (5, "f")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    counts, found = Counter(), []
+    for sentence in ("a b c d", "a b", "a b c e", "b c a b", "f"):
+        w = sentence.split()
+        counts.update(" ".join(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1))
+    total = sum(c for g, c in counts.items() if " " not in g)
+    want = {g: (c, np.log2(c) + (len(g.split()) - 1) * np.log2(total) - sum(np.log2(counts[w]) for w in g.split())) for g, c in counts.items() if " " in g}
+    for heavy in (10_000, 1):
+        monkeypatch.setattr(text, "HEAVY_WORDS", heavy)
+        out = text.pmi_vocabulary(df, "id", "t", 1, 4, min_pmi=-100.0).collect()
+        found.append({r["ngram"]: (r["n"], r["c"], r["pmi"]) for r in out})
+        assert len(out) == len(counts) == len(found[-1])
+    assert found[0] == found[1]
+    for g, (c, pmi) in want.items():
+        n, got, value = found[0][g]
+        assert (n, got) == (len(g.split()), c) and value == pytest.approx(pmi)
+    plan = text.pmi_vocabulary(df, "id", "t", 2, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ngram" in plan and "hashpartitioning(n#" not in plan
+
+
 def test_tfidf_rows_have_unit_length(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, "a")], "id int, t string")
     out = text.tfidf(df, "id", "t", min_df=1)
