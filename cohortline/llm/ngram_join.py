@@ -15,9 +15,9 @@ Every link between different sets is found, by parity sketches:
    linked ones share one of their first d + 1 words. These are the join keys. A
    document with fewer than d + 1 words that hold something also gets a marker
    key of its band, under which it meets its like.
-   Which n-grams count as frequent is read off a bounded sample of documents; it
-   decides the order alone, that is the cost, never the result. Size, digest,
-   sketch and keys come from one pass over the texts.
+   Which n-grams are frequent is counted over all documents in a pass of its own;
+   it decides the order alone, that is the cost, never the result. Size, digest,
+   sketch and keys come from one more pass over the texts.
 4. Under each key, documents pair with the key's smallest document. A pair goes on
    if sizes allow and a second, 512-bit parity sketch has a distance of at most
    d; then the sets themselves are compared. Linked documents become components.
@@ -26,8 +26,8 @@ Every link between different sets is found, by parity sketches:
    through the same filters. So copies are never paired among themselves.
 6. Components of classes, by propagating the smallest id with pointer jumping.
 
-Nothing is capped or dropped, and nothing but the sample's frequent n-grams (a
-bounded bit table) goes through the driver.
+Nothing is capped or dropped, and nothing but the table of frequent n-grams (of
+fixed size) and a bounded list of hot keys goes through the driver.
 
 Rows: null, empty and blank texts have an empty set, link with nothing and are
 their own component. Texts of fewer words than n have one n-gram, the whole
@@ -50,8 +50,12 @@ from cohortline.llm.common import settle, text_batches
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union. Sizes, bounds and bands below are those of 80.
 PERCENT = 80
-#: Documents (at most about so many) that the frequent n-grams are read off, and how many must share one.
-SAMPLE, SHARED_BY = 20_000, 3
+#: How many documents share a frequent n-gram, and so many slots of the table are marked at most.
+SHARED_BY, MOST_SLOTS = 8, 1 << 22
+#: Leading bits of an n-gram that name its group and the next ones that are counted there; n-grams that a task sends at once.
+GROUP_BITS, REST_BITS, BLOCK = 12, 28, 2_000_000
+#: Documents (at most about so many) whose keys are looked at to aggregate hot ones first; all keys are joined either way.
+SAMPLE = 20_000
 #: Bits of the table of frequent n-grams that is broadcast (2 MB packed); longs of the second sketch.
 TABLE_BITS, SKETCH_LONGS = 24, 8
 #: A join key counts as hot if so many sampled documents have it; so many hot keys are listed and broadcast.
@@ -201,22 +205,59 @@ def _sampled(docs: DataFrame, rows: int) -> DataFrame:
     return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def frequent_table(docs: DataFrame, rows: int, size: int = SHINGLE) -> np.ndarray:
-    """Leading bits of n-grams that SHARED_BY documents of a sample of about SAMPLE share."""
+def _in_groups(tokens: np.ndarray) -> pa.RecordBatch:
+    """N-grams as (group, gaps): the leading bits name a group, inside it the next bits are sorted and kept as gaps, byte plane by byte plane."""
+    at = np.sort(tokens >> np.uint64(64 - GROUP_BITS - REST_BITS))
+    cuts = np.searchsorted(at, np.arange((1 << GROUP_BITS) + 1, dtype=np.uint64) << np.uint64(REST_BITS))
+    held = np.flatnonzero(np.diff(cuts))
+    rest = (at & np.uint64((1 << REST_BITS) - 1)).astype(np.uint32)
+    gaps = np.diff(rest, prepend=np.uint32(0))
+    gaps[cuts[held]] = rest[cuts[held]]
+    blobs = [gaps[cuts[g] : cuts[g + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for g in held]
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["group", "gaps"])
+
+
+def _levels(blobs: list[bytes]) -> np.ndarray:
+    """Of the slots of a group, the highest level that an n-gram of it has: 0 below SHARED_BY documents, one more from each doubling."""
+    rest = [np.ascontiguousarray(np.frombuffer(g, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().cumsum(dtype=np.uint32) for g in blobs]
+    value, count = np.unique(np.concatenate(rest), return_counts=True)
+    often = count >= SHARED_BY
+    out = np.zeros(1 << (TABLE_BITS - GROUP_BITS), np.uint8)
+    level = 1 + np.log2(count[often] // SHARED_BY).astype(np.uint8)
+    np.maximum.at(out, value[often] >> np.uint32(REST_BITS - TABLE_BITS + GROUP_BITS), level)
+    return out
+
+
+def frequent_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
+    """Leading bits of n-grams that SHARED_BY of all documents share, or so many more that at most MOST_SLOTS are marked.
+
+    Every n-gram of every document is counted, told apart by its GROUP_BITS + REST_BITS leading bits. Tasks send them
+    in sorted blocks of a few bytes an n-gram; the driver gets a byte for each slot of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, held, total = WordHash(), [], 0
         for b in batches:
-            sets = [shingles(t, known, size).view(np.int64) for t in b.column(1).to_pylist()]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["token"])
-
-    tokens = _sampled(_narrow(docs), rows).mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= SHARED_BY)
-    slots = tokens.select(F.shiftrightunsigned("token", 64 - TABLE_BITS).alias("slot")).distinct()
-    table = np.zeros(1 << TABLE_BITS, bool)
-    for r in slots.toLocalIterator():  # 2^TABLE_BITS at most
-        table[r[0]] = True
-    return np.packbits(table)
+            for text in b.column(1).to_pylist():
+                held.append(shingles(text, known, size))
+                total += len(held[-1])
+                if total >= BLOCK:
+                    yield _in_groups(np.concatenate(held))
+                    held, total = [], 0
+        if total:
+            yield _in_groups(np.concatenate(held))
+
+    def count(key: tuple, blocks: pa.Table) -> pa.Table:
+        levels = _levels(blocks.column("gaps").to_pylist())
+        return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    sent = _narrow(docs).mapInArrow(run, "group int, gaps binary")
+    table = np.zeros((1 << GROUP_BITS, 1 << (TABLE_BITS - GROUP_BITS)), np.uint8)
+    for r in sent.groupBy("group").applyInArrow(count, "group int, levels binary").collect():  # 2^TABLE_BITS bytes at most
+        table[r[0]] = np.frombuffer(r[1], np.uint8)
+    marked = np.bincount(table.ravel(), minlength=256)[::-1].cumsum()[::-1]  # slots of a level or a higher one
+    least = next(level for level in range(1, 256) if marked[level] <= MOST_SLOTS)
+    return np.packbits(table.ravel() >= least)
 
 
 def met(wide: DataFrame, rows: int) -> DataFrame:
@@ -340,7 +381,7 @@ def links(docs: DataFrame, every: DataFrame, keyed: DataFrame, rows: int, size:
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = docs.count()
-    keyed = settle(described(docs, frequent_table(docs, rows, size), size))
+    keyed = settle(described(docs, frequent_table(docs, size), size))
     every = settle(keyed.drop("keys"))
     classes = settle(every.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least")))
     # Both sides are written tables, so adaptive execution can split the class of a third of all rows.

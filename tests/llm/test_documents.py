@@ -414,3 +414,20 @@ def test_no_rows(spark, no_docs):
         secret_scan.report(no_docs), secret_scan.redact(no_docs), toxicity.judge(no_docs, labels), ngram_join.join(no_docs), ngram_join.keep_one(no_docs),
     ):
         assert df.count() == 0
+
+
+def test_frequent_ngrams_are_counted_over_all_documents(spark, monkeypatch):
+    """The table marks what SHARED_BY documents share, however few would be sampled, and however small the blocks are."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    line, rare = "one line that every text ends with", "a line of seven texts and no more"
+    texts = [f"t{i} u{i} v{i} w{i} x{i} y{i} {rare if i < 7 else ''} {line}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(int(t) for text in texts for t in ngram_join.shingles(text, ngram_join.WordHash()))
+    want = {t >> (64 - ngram_join.TABLE_BITS) for t, c in counts.items() if c >= ngram_join.SHARED_BY}
+    assert len(want) == 3
+    for block in (2_000_000, 50):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        found = np.flatnonzero(np.unpackbits(ngram_join.frequent_table(docs)))
+        assert set(found.tolist()) == want
+    monkeypatch.setattr(ngram_join, "MOST_SLOTS", 2)  # too many: a higher count is asked for
+    assert not ngram_join.frequent_table(docs).any()
