@@ -345,8 +345,7 @@ def classifier_scores(spark, sf):
     """Out-of-fold scores of every classifier on two halves of the embedding labels."""
     df, names = _class_rows(spark, sf), [f"e{i}" for i in range(64)]
     out = None
-    for model, params in _CLASSIFIERS.items():
-        run = L.cross_validate(df, "fold", [1, 2, 3], "id", "y", L.preparation(names), model, params, classes=["no", "yes"])
+    for run in L.cross_validate_each(df, "fold", [1, 2, 3], "id", "y", L.preparation(names), _CLASSIFIERS, classes=["no", "yes"]).values():
         rows = run.predictions.select("id", "Model", "True_value", "Predicted_value")
         out = rows if out is None else out.unionByName(rows)
     scores = evaluate(out, "True_value", "Predicted_value", ["accuracy", "f1_macro"], ["Model"])

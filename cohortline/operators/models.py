@@ -233,6 +233,44 @@ def cross_validate(
     return FoldRun(out, models)
 
 
+def cross_validate_each(
+    df: DataFrame,
+    fold: str,
+    folds: Sequence[int],
+    row_id: str,
+    label: str,
+    stages: Sequence[Estimator],
+    models: Mapping[str, Mapping[str, object] | None],
+    classes: Sequence[str] = (),
+    parallelism: int = 4,
+) -> dict[str, FoldRun]:
+    """``cross_validate`` for several models by name: a fold's preparation is fitted once and its prepared rows serve all of them."""
+    data = spread(df.filter(F.col(label).isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(k: int) -> dict[str, PipelineModel]:
+        train = data.filter(F.col(fold) != k)
+        prepared = Pipeline(stages=list(stages)).fit(train)
+        ready = prepared.transform(train).select(label, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return {m: PipelineModel([*prepared.stages, make_estimator(m, label, params).fit(ready)]) for m, params in models.items()}
+        finally:
+            ready.unpersist()
+
+    try:
+        fitted = dict(zip(folds, _in_parallel(df, fit, folds, parallelism)))
+    finally:
+        data.unpersist()
+    source, out = df.filter(F.col(label).isNotNull()), {}
+    for m in models:
+        rows = None
+        for k in folds:
+            scored = _predict_rows(fitted[k][m], source.filter(F.col(fold) == k))
+            part = prediction_rows(scored, row_id, label, m, classes=classes, extra=[fold])
+            rows = part if rows is None else rows.unionByName(part)
+        out[m] = FoldRun(rows, {k: fitted[k][m] for k in folds})
+    return out
+
+
 def _in_parallel(df: DataFrame, fn: Callable, items: Sequence, parallelism: int) -> list:
     if parallelism <= 1 or len(items) <= 1:
         return [fn(i) for i in items]

@@ -266,3 +266,16 @@ def test_whole_study(spark):
 def test_multilabel_targets(spark):
     df = spark.createDataFrame([("1", "x"), ("-2", "3")], "a string, b string")
     assert [r["targets"] for r in prep.multilabel_targets(df, ["a", "b"]).collect()] == [[1, 0], [0, 1]]
+
+
+def test_models_share_a_folds_preparation(spark, monkeypatch):
+    rows = [(i, i % 3 + 1, int((i * 7) % 10 > 4), float(i % 10), float((i * i) % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, fold int, y int, a double, b double")
+    models, stages = {"DecisionTreeClassifier": {"max_depth": 3}, "LogisticRegression": {"max_iter": 20}}, L.preparation(["a", "b"])
+    alone = {m: L.cross_validate(df, "fold", [1, 2, 3], "id", "y", stages, m, p, classes=["no", "yes"]) for m, p in models.items()}
+    fits, fit = [], type(stages[0])._fit
+    monkeypatch.setattr(type(stages[0]), "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    runs = L.cross_validate_each(df, "fold", [1, 2, 3], "id", "y", stages, models, classes=["no", "yes"])
+    assert len(fits) == 3
+    for m in models:
+        assert sorted(map(tuple, runs[m].predictions.collect())) == sorted(map(tuple, alone[m].predictions.collect()))
