@@ -28,13 +28,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.scalar import nan_to_null
 from cohortline.operators.folds import stratified_group_folds
 from cohortline.operators.metrics import evaluate, get_metric
-from cohortline.operators.rank import attach
+from cohortline.operators.rank import attach, tie_ranks
 from cohortline.operators.rows import hash_order
 from cohortline.operators.running import settle
 
@@ -248,6 +248,135 @@ class LinearRun:
     tuning: DataFrame
 
 
+#: How a fit orders the rows of its inner fold: outer, inner, features (numbers), their slopes, and fills for nulls.
+Direction = tuple[int, int, tuple[int, ...], tuple[float, ...], tuple[float, ...]]
+
+
+def direction(outer: int, inner: int, slopes: Sequence[float], fills: Sequence[float]) -> Direction | None:
+    """Fits with the same slopes order rows alike, as do fits with one feature and slopes of one sign; without slopes nothing is ordered."""
+    active = tuple(i for i, b in enumerate(slopes) if b != 0)
+    if not active:
+        return None
+    used = tuple(float(np.sign(slopes[i])) if len(active) == 1 else float(slopes[i]) for i in active)
+    return outer, inner, active, used, tuple(float(fills[i]) for i in active)
+
+
+def along(order: Direction, columns: Sequence[np.ndarray]) -> np.ndarray:
+    """The scores that order rows: predictions without their intercept, which moves no rank."""
+    parts = [b * np.where(np.isnan(columns[i]), v, columns[i]) for i, b, v in zip(*order[2:])]
+    return sum(parts[1:], parts[0])
+
+
+#: Rows of a slice of one order on average, sampled rows for each, sampled rows at most (slices grow beyond), label ranks that are broadcast, and values a task holds.
+SLICE_ROWS, SLICE_SAMPLES, MAX_SAMPLES, MAX_RANKS, HELD = 1_000_000, 20, 200_000, 200_000, 1_000_000
+
+_CELL = "d int, slice int, p array<double>, n array<double>, r array<double>, rr double, low double, high double"
+_SUMS = "d int, slice int, n double, a double, aa double, b double, ab double, bb double, low double, high double, b_low double, b_high double"
+
+
+def rank_scores(rows: DataFrame, fits: DataFrame, features: int) -> DataFrame:
+    """Spearman rho of every searched fit on its inner test rows: outer, inner, set, score.
+
+    ``rows`` has outer, inner, __row, __y and the features __f0, __f1, ... Each
+    order of rows (``Direction``) is ranked once. A label's rank is looked up
+    before rows meet the fits; tasks collect scores and label ranks by slice of
+    each order, ties added up, and a slice is sorted as arrays. What leaves a slice
+    is sums, to which the number of rows in lower slices adds its part.
+    """
+    spark, names = rows.sparkSession, [f"__f{i}" for i in range(features)]
+    rows = rows.dropna(subset=["__y"])
+    searched = fits.filter("inner > 0 and held > 0").collect()  # folds x inner folds x sets rows
+    places = [(r["outer"], r["inner"], r["set"], direction(r["outer"], r["inner"], r["slopes"], r["fills"])) for r in searched]
+    orders = list(dict.fromkeys(d for *_, d in places if d is not None))
+    number = {d: i for i, d in enumerate(orders)}
+    sets = spark.createDataFrame([(o, i, s, number.get(d, -1)) for o, i, s, d in places], "outer int, inner int, set int, d int")
+    if not orders:
+        return sets.select("outer", "inner", "set", F.lit(None).cast("double").alias("score"))
+    by_group: dict[tuple[int, int], list[int]] = {}
+    for i, d in enumerate(orders):
+        by_group.setdefault(d[:2], []).append(i)
+
+    per_sample = float(SLICE_ROWS // SLICE_SAMPLES)
+    unit = F.xxhash64("outer", "inner", "__row") / F.lit(float(2**64)) + F.lit(0.5)
+    picked = rows.withColumn("__u", unit).filter(F.col("__u") < 1.0 / per_sample).orderBy("__u", "__row").limit(MAX_SAMPLES)
+    sample = picked.select("outer", "inner", *names).toPandas()  # MAX_SAMPLES rows at most
+    cuts = []
+    for d in orders:
+        some = sample[(sample["outer"] == d[0]) & (sample["inner"] == d[1])]
+        at = np.sort(along(d, [some[c].to_numpy(float) for c in names]))
+        cuts.append(np.unique(at[SLICE_SAMPLES - 1 :: SLICE_SAMPLES]))
+    shared = spark.sparkContext.broadcast((orders, by_group, cuts))
+
+    keys = ["outer", "inner"]
+    counts = settle(rows.groupBy(*keys, "__y").agg(F.count(F.lit(1)).alias("w")))
+    ranks = settle(tie_ranks(counts, keys, "__y", "w").select(*keys, "__y", F.col("rank_avg").alias("__r")))
+    few = ranks.limit(MAX_RANKS + 1).count() <= MAX_RANKS
+    ranked = rows.join(F.broadcast(ranks) if few else ranks, [*keys, "__y"]).select(*keys, "__r", *names)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, by_group, cuts = shared.value
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out: list[list] = [[] for _ in range(8)]
+            for i, parts in held.items():
+                p, r = (np.concatenate(x) for x in zip(*parts))
+                by = np.argsort(p, kind="stable")
+                p, r = p[by], r[by]
+                first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                ends, slices = np.r_[first[1:], len(p)], np.searchsorted(cuts[i], p[first], side="right")
+                n, total = np.diff(np.r_[first, len(p)]).astype(float), np.add.reduceat(r, first)
+                for a, b in zip(*_stretches(slices)):
+                    own = r[first[a] : ends[b - 1]]
+                    for column, value in zip(out, (i, slices[a], p[first[a:b]], n[a:b], total[a:b], own @ own, own.min(), own.max())):
+                        column.append(value)
+            held.clear()
+            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 3, *[pa.float64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[c.split()[0] for c in _CELL.split(", ")])
+
+        for batch in batches:
+            outer, inner, r, *x = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(batch.num_columns))
+            for (o, j), some in by_group.items():
+                at = np.flatnonzero((outer == o) & (inner == j))
+                if not len(at):
+                    continue
+                here = [c[at] for c in x]
+                for i in some:
+                    held.setdefault(i, []).append((along(orders[i], here), r[at]))
+                    size += len(at)
+            if size >= HELD:
+                yield flush()
+                size = 0
+        yield flush()
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, n, r = (np.concatenate(pdf[c].to_list()) for c in "pnr")
+        by = np.argsort(p, kind="stable")
+        p, n, r = p[by], n[by], r[by]
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        n, r = np.add.reduceat(n, first), np.add.reduceat(r, first)
+        rank = np.cumsum(n) - n + (n + 1) / 2
+        cells = (int(pdf["d"].iloc[0]), int(pdf["slice"].iloc[0]), n.sum(), n @ rank, n @ (rank * rank), r.sum(), rank @ r, pdf["rr"].sum(), p[0], p[-1], pdf["low"].min(), pdf["high"].max())
+        return pd.DataFrame([cells], columns=[c.split()[0] for c in _SUMS.split(", ")])
+
+    slices = ranked.mapInArrow(collect, _CELL).groupBy("d", "slice").applyInPandas(sums, _SUMS)  # as many rows as cuts and orders
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("d").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    n, a, aa, b, ab, c = (F.col(x) for x in ("n", "a", "aa", "b", "ab", "c"))
+    placed = slices.withColumn("c", below).select("*", (a + c * n).alias("sa"), (aa + 2 * c * a + c * c * n).alias("saa"), (ab + c * b).alias("sab"))
+    total, sa, sb = F.sum("n"), F.sum("sa"), F.sum("b")
+    cov, va, vb = F.sum("sab") - sa * sb / total, F.sum("saa") - sa * sa / total, F.sum("bb") - sb * sb / total
+    differ = (F.min("low") < F.max("high")) & (F.min("b_low") < F.max("b_high"))
+    rho = placed.groupBy("d").agg(F.when(differ, F.try_divide(cov, F.sqrt(va * vb))).alias("score"))
+    return sets.join(rho, "d", "left").select("outer", "inner", "set", "score")
+
+
+def _stretches(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches of equal values."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return starts.tolist(), [*starts[1:].tolist(), len(values)]
+
+
 def nested_elastic_net(
     df: DataFrame, fold: str, folds: Sequence[int], row_id: str, label: str, features: Sequence[str],
     inner: Mapping[int, str], inner_k: int, grid: Sequence[tuple[float, float]], metric: str = "mse", name: str = "ElasticNet",
@@ -256,8 +385,8 @@ def nested_elastic_net(
 
     ``inner`` names, for each outer fold, the column of its inner fold numbers
     (1 to ``inner_k``). The best set has the best mean score over inner folds (at
-    ten decimals), the first of equal ones. Squared-error metrics come from the sums; any other one
-    scores each inner fold's rows by all sets in a second pass.
+    ten decimals), the first of equal ones. Squared-error metrics come from the sums; Spearman's rho
+    ranks every order of rows once (``rank_scores``); any other metric scores each inner fold's rows by all sets in a second pass.
     """
     folds = list(folds)
     known = df.filter(F.col(label).isNotNull())
@@ -283,14 +412,17 @@ def nested_elastic_net(
         error = F.col("sse") / F.col("held")
         scores = fits.filter("inner > 0 and held > 0").select("outer", "inner", "set", (F.sqrt(error) if metric == "rmse" else error).alias("score"))
     else:
-        searched = fits.filter("inner > 0").groupBy("outer", "inner").agg(
-            F.collect_list(F.struct("set", "intercept", "slopes", "fills")).alias("__sets")
-        )
         own = F.filter(F.array(*[F.when(F.col(fold) != k, F.struct(F.lit(k).alias("outer"), F.col(inner[k]).cast("int").alias("inner"))) for k in folds]), lambda x: x.isNotNull())
-        rows = known.select(F.col(label).alias("__y"), *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(features)], F.inline(own))
-        rows = rows.join(F.broadcast(searched), ["outer", "inner"]).select("outer", "inner", "__y", *[f"__f{i}" for i in range(len(features))], F.inline("__sets"))
-        rows = rows.withColumn("p", predicted([f"__f{i}" for i in range(len(features))]))
-        scores = evaluate(rows, "__y", "p", [metric], ["outer", "inner", "set"]).select("outer", "inner", "set", F.col(metric).alias("score"))
+        cells = [nan_to_null(F.col(c).cast("double")).alias(f"__f{i}") for i, c in enumerate(features)]
+        rows = known.select(F.col(row_id).alias("__row"), F.col(label).cast("double").alias("__y"), *cells, F.inline(own))
+        if metric == "spearman":
+            scores = rank_scores(rows, fits, len(features))
+        else:
+            searched = fits.filter("inner > 0").groupBy("outer", "inner").agg(F.collect_list(F.struct("set", "intercept", "slopes", "fills")).alias("__sets"))
+            names = [f"__f{i}" for i in range(len(features))]
+            rows = rows.join(F.broadcast(searched), ["outer", "inner"]).select("outer", "inner", "__y", *names, F.inline("__sets"))
+            rows = rows.withColumn("p", predicted(names))
+            scores = evaluate(rows, "__y", "p", [metric], ["outer", "inner", "set"]).select("outer", "inner", "set", F.col(metric).alias("score"))
     means = scores.groupBy("outer", "set").agg(F.avg("score").alias("score")).collect()  # folds x sets rows
     sign = -1.0 if get_metric(metric).better == "max" else 1.0
     best = {k: 0 for k in folds}
@@ -315,13 +447,14 @@ def inner_group_folds(
     df: DataFrame, fold: str, folds: Sequence[int], group: str, label: str, inner_k: int = 5, bins: int = 10, seed: int = 3748
 ) -> tuple[DataFrame, dict[int, str]]:
     """``df`` with a column of inner fold numbers for each outer fold, groups kept whole, and the columns' names."""
-    out, names = df, {}
+    names, every = {}, None
     for k in folds:
         names[k] = f"__inner{k}"
         train = df.filter((F.col(fold) != k) & F.col(label).isNotNull())
-        inner = stratified_group_folds(train, group, label, inner_k, bins=bins, seed=seed).select(group, F.col("fold").alias(names[k]))
-        out = attach(out, inner, [group], "left")
-    return settle(out), names
+        inner = stratified_group_folds(train, group, label, inner_k, bins=bins, seed=seed).select(group, F.lit(k).alias("__k"), "fold")
+        every = inner if every is None else every.unionByName(inner)
+    wide = every.groupBy(group).agg(*[F.max(F.when(F.col("__k") == k, F.col("fold"))).alias(names[k]) for k in folds])
+    return settle(attach(df, wide, [group], "left")), names
 
 
 def linear_learning_curve(
