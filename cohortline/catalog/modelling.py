@@ -373,8 +373,8 @@ def external_scoring(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    df = _regression_rows(spark, sf)
-    out = L.learning_curve(df, "fold", [1, 2, 3, 4, 5], "id", "y", L.preparation(["price", "l_discount", "l_tax"]), "LinearRegression", "rmse")
+    df, features = _regression_rows(spark, sf), ["price", "l_discount", "l_tax"]
+    out = L.learning_curve(df, "fold", [1, 2, 3, 4, 5], "id", "y", L.preparation(features), "LinearRegression", "rmse", from_sums=features)
     return rounded(out, "score_mean", "score_sd")
 
 

@@ -549,8 +549,17 @@ def learning_curve(
     params: Mapping[str, object] | None = None,
     sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
     seed: int = 17,
+    from_sums: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mean and sd of the fold scores for growing training sets (nested hash samples)."""
+    """Mean and sd of the fold scores for growing training sets (nested hash samples).
+
+    ``from_sums`` names the features of a linear regression with the usual preparation
+    (mean, standardised) and the rmse: all its fits then come from sums of products of one pass.
+    """
+    if from_sums is not None:
+        if model != "LinearRegression" or metric != "rmse" or params:
+            raise ValueError("only the rmse of a linear regression comes from sums")
+        return moments.linear_learning_curve(df, fold, folds, row_id, label, from_sums, sizes, seed=seed)
     unit = F.pmod(hash_order(seed, row_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = None
     for size in sizes:
