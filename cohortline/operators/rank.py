@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.running import running, settle
+from cohortline.operators.running import running, settle, slice_rows
 
 
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -91,15 +91,59 @@ def _pair(value: str) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rho") -> DataFrame:
     """Spearman rho per group on pairwise complete rows.
 
-    Rows collapse to distinct (x, y) pairs first; both rank tables come
-    from value counts, and rank moments are summed with the counts as weights.
+    Rows collapse to distinct (x, y) pairs first, weighted by their number. Groups
+    of few pairs are ranked by windows over the group, all on one partitioning; the
+    groups that a sample finds large get rank tables by slices.
     """
     complete = df.select(*keys, _pair(x).alias("__x"), _pair(y).alias("__y")).dropna(subset=["__x", "__y"])
     complete = settle(complete)
+    if not keys:
+        return _rho(_ranked_by_tables(complete, keys), keys, name)
+    large = _large_groups(complete, keys)
+    if large is None:
+        return _rho(_ranked_in_group(complete, keys), keys, name)
+    on = None
+    for k in keys:
+        same = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        on = same if on is None else on & same
+    few, many = (complete.alias("a").join(F.broadcast(large).alias("b"), on, how) for how in ("left_anti", "left_semi"))
+    return _rho(_ranked_in_group(few, keys), keys, name).unionByName(_rho(_ranked_by_tables(many, keys), keys, name))
+
+
+#: Sampled pairs from which on a group is large; one pair in ``rows of a slice`` is sampled, by its hash.
+LARGE_SAMPLES = 10
+
+
+def _large_groups(complete: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Groups of more than about LARGE_SAMPLES slices of distinct pairs, if any; there are fewer than pairs / that number."""
+    spark = complete.sparkSession
+    unit = F.xxhash64(*keys, "__x", "__y") / F.lit(float(2**64)) + F.lit(0.5)
+    sampled = complete.filter(unit < 1.0 / slice_rows(spark)).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    found = sampled.filter(F.col("__n") >= LARGE_SAMPLES).select(*keys)
+    rows = found.collect()
+    return spark.createDataFrame(rows, found.schema) if rows else None
+
+
+def _ranked_in_group(complete: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct pairs with both average-tie ranks, from windows that hold a group's pairs."""
+    pairs = complete.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
+
+    def rank(c: str) -> Column:
+        upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(c))  # with all ties of the row
+        return upto - (F.sum("w").over(Window.partitionBy(*keys, c)) - 1) / F.lit(2.0)
+
+    return pairs.withColumn("rx", rank("__x")).withColumn("ry", rank("__y"))
+
+
+def _ranked_by_tables(complete: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for groups of any size: both rank tables come from value counts."""
     pairs = complete.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("w"))
     rx = tie_ranks(complete, keys, "__x").select(*keys, "__x", F.col("rank_avg").alias("rx"))
     ry = tie_ranks(complete, keys, "__y").select(*keys, "__y", F.col("rank_avg").alias("ry"))
-    ranked = attach(attach(pairs, rx, [*keys, "__x"]), ry, [*keys, "__y"])
+    return attach(attach(pairs, rx, [*keys, "__x"]), ry, [*keys, "__y"])
+
+
+def _rho(ranked: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     n, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * b)
     cov = F.sum(w * a * b) - sx * sy / n

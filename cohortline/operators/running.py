@@ -25,7 +25,7 @@ import re
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_KEY = "spark.cohortline.slices.rows"
@@ -77,8 +77,12 @@ def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def slice_rows(spark: SparkSession) -> float:
+    return float(spark.conf.get(ROWS_KEY, str(ROWS_PER_SLICE)))
+
+
 def _cuts(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rows = float(source.sparkSession.conf.get(ROWS_KEY, str(ROWS_PER_SLICE)))
+    rows = slice_rows(source.sparkSession)
     unit = F.xxhash64(*[F.col(c) for c in (*keys, *order)]) / F.lit(float(2**64)) + F.lit(0.5)
     picked = source.filter(unit < 1.0 / rows).select(*keys, _order_struct(order).alias("__at"), unit.alias("__unit")).distinct()
     # The smallest hashes stay, which is a smaller share of every group alike; one pass over the rows serves count and sample.
