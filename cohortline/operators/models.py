@@ -33,7 +33,7 @@ from cohortline.operators.metrics import evaluate, get_metric
 from cohortline.operators.prep import TrainImputer, TrainScaler, undersample
 from cohortline.operators.rank import attach
 from cohortline.operators.rows import hash_order
-from cohortline.operators.running import spread
+from cohortline.operators.running import settle, spread
 from cohortline.operators.summary import five_numbers, repeated_importance
 
 MAX_TREE_DEPTH = 30
@@ -597,7 +597,8 @@ def balanced_bagging(
 
 def repeated_forests(df: DataFrame, features: Sequence[str], label: str, repeats: int = 1000, trees: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Small forests with different seeds: mean importance, and the five numbers of the in-sample rho."""
-    data = VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(df.dropna(subset=[label, *features]))
+    rows = settle(df.dropna(subset=[label, *features]))  # read by all fits, and by their scores afterwards
+    data = VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(rows)
     held = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = {
