@@ -156,7 +156,7 @@ def repeated_forests(
     df: DataFrame, row_id: str, features: Sequence[str], label: str, repeats: int = 1000, trees: int = 10, depth: int = 3, bins: int = 32, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """Forests of ``repeats`` seeds at once: mean importance of every feature, and the five numbers of the in-sample rho."""
-    rows = df.dropna(subset=[label, *features])
+    rows = settle(df.dropna(subset=[label, *features]))  # read for cuts, growth, prediction and labels
     splits, cuts = grow(rows, row_id, label, features, repeats * trees, depth, bins, seed=seed)
     weights = importances(splits, features, trees).groupBy("feature").agg(F.avg("importance").alias("importance"))
     guesses = predict(rows, row_id, features, splits, cuts, depth, trees).join(rows.select(row_id, F.col(label).cast("double").alias("__y")), row_id)
