@@ -23,7 +23,8 @@ Every link between different sets is found, by parity sketches:
    d; then the sets themselves are compared. Linked documents become components.
 5. Only keys whose documents are still in several components pair again: those
    outside the key's largest component with all others of another component,
-   through the same filters. So copies are never paired among themselves.
+   through the same filters. So copies are never paired among themselves. Two
+   documents with an earlier key in common have met there.
 6. Components of classes, by propagating the smallest id with pointer jumping.
 
 Nothing is capped or dropped, and nothing but the table of frequent n-grams (of
@@ -60,8 +61,10 @@ SAMPLE = 20_000
 TABLE_BITS, SKETCH_LONGS = 24, 8
 #: A join key counts as hot if so many sampled documents have it; so many hot keys are listed and broadcast.
 HOT, HOT_KEYS = 200, 10_000
-#: So many candidate ids may be broadcast to fetch their texts; more are joined by shuffle.
+#: So many candidate pairs, or else ids, may be broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: So many earlier keys of a document stand beside each of its keys, so that pairs with many keys in common meet few times.
+EARLIER = 16
 REMEMBERED = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.ones(1, bool)
@@ -301,8 +304,7 @@ def _possible(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column) -> C
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) that are links; texts of just their documents are read into sets."""
     pairs = settle(pairs)
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    few = pairs.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -316,9 +318,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             hit = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    sets = _narrow(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
-    whole = left.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a")
+    def sets(ids: DataFrame) -> DataFrame:
+        return _narrow(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
+
+    if few:  # pairs go to the sets of b, so that these are moved once
+        of_a, of_b = (sets(F.broadcast(pairs.select(F.col(c).alias("doc_id")).distinct())) for c in "ab")
+        pairs = F.broadcast(pairs)
+    else:
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        of_a = of_b = sets(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids)
+    left = pairs.join(of_b.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
+    whole = left.join(of_a.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a")
     return settle(whole.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long").distinct())
 
 
@@ -360,22 +370,35 @@ def links(docs: DataFrame, every: DataFrame, keyed: DataFrame, rows: int, size:
     joined = under.join(components(found).withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("c")
     )
-    placed = settle(joined.join(known, "doc_id"))
+    pairs = crossed(settle(joined), known).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return settle(found.unionByName(_verified(pairs, docs, size)))
+
+
+def crossed(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents in different components ``c`` with a key in common, as far as sizes and sketches allow.
+
+    ``placed``: the written table key, doc_id, c; ``known``: doc_id, n, sketch. Documents that are alike share hundreds of
+    keys. Each brings the EARLIER keys before this one, in the order of keys, and two that have one of those in common
+    have met there. Under their first key they have none, so every pair is met at least once.
+    """
     counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     mixed = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
     mixed = settle(mixed.select("key", "largest"))
-    some = placed.join(mixed, "key")
+    before = Window.partitionBy("doc_id").orderBy("key").rowsBetween(-EARLIER, -1)  # the keys of one document
+    some = placed.join(mixed, "key").withColumn("earlier", F.collect_list("key").over(before)).join(known, "doc_id")
     outside = some.filter(F.col("c") != F.col("largest")).select(
-        "key", F.col("doc_id").alias("a"), F.col("c").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")
+        "key", F.col("doc_id").alias("a"), F.col("c").alias("a_c"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"),
+        F.col("earlier").alias("a_earlier"),
     )
     others = some.select(
         F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("c").alias("b_c"), F.col("n").alias("b_n"),
-        F.col("sketch").alias("b_sketch"), "largest",
+        F.col("sketch").alias("b_sketch"), F.col("earlier").alias("b_earlier"), "largest",
     )
     # Two documents outside the largest component meet once, one inside it is always b.
     once = (F.col("b_c") == F.col("largest")) | (F.col("a") < F.col("b"))
-    crossed = outside.join(others, (F.col("key") == F.col("k")) & (F.col("a_c") != F.col("b_c")) & once & fits)
-    return settle(found.unionByName(_verified(crossed.select("a", "b").distinct(), docs, size)))
+    fits = F.coalesce(_possible(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch")), F.lit(True))
+    new = ~F.arrays_overlap("a_earlier", "b_earlier")
+    return outside.join(others, (F.col("key") == F.col("k")) & (F.col("a_c") != F.col("b_c")) & once & fits & new).select("a", "b")
 
 
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

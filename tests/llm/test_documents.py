@@ -3,6 +3,7 @@
 import hashlib
 import math
 import pickle
+import random
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -431,3 +432,26 @@ def test_frequent_ngrams_are_counted_over_all_documents(spark, monkeypatch):
         assert set(found.tolist()) == want
     monkeypatch.setattr(ngram_join, "MOST_SLOTS", 2)  # too many: a higher count is asked for
     assert not ngram_join.frequent_table(docs).any()
+
+
+def test_documents_with_many_keys_in_common_meet_few_times(spark, monkeypatch):
+    """Forty documents that share nine of ten of 300 keys, none of them linked, and two that share their last key alone."""
+    rng = random.Random(11)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(301)]
+    last = max(keys)
+    held = [(k, d, d) for d in range(40) for k in keys if k != last and rng.random() < 0.9] + [(last, 50, 50), (last, 51, 51)]
+    placed = ngram_join.settle(spark.createDataFrame(held, "key long, doc_id long, c long"))
+    known = ngram_join.settle(placed.select("doc_id").distinct().selectExpr("doc_id", "2000L as n", "array_repeat(0L, 8) as sketch"))
+    want = {(a, b) for a in range(40) for b in range(a)} | {(51, 50)}
+    for history in (1, 16):
+        monkeypatch.setattr(ngram_join, "EARLIER", history)
+        rows = [(max(r), min(r)) for r in ngram_join.crossed(placed, known).collect()]
+        assert set(rows) == want
+    assert len(rows) < 3 * len(want)  # some 240 rows a pair if all met under every key
+
+
+def test_few_and_many_pairs_are_verified_alike(spark, odd_docs, monkeypatch):
+    want = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(odd_docs).collect()}
+    for most in (20, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(odd_docs).collect()} == want
