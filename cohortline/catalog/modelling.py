@@ -10,6 +10,7 @@ from cohortline.catalog.tables import (
 )
 from cohortline.functions import scalar as S
 from cohortline.operators import ensemble as E
+from cohortline.operators import forests
 from cohortline.operators import models as L
 from cohortline.operators import testing as T
 from cohortline.operators.metrics import evaluate
@@ -321,8 +322,7 @@ def importance_shares(spark, sf):
     """Forest importances per fold, averaged over folds, as ranked shares."""
     df = _regression_rows(spark, sf)
     names = ["price", "l_discount", "l_tax"]
-    run = L.cross_validate(df, "fold", range(1, 6), "id", "y", L.preparation(names), "RandomForestRegressor", {"n_estimators": 10, "max_depth": 5})
-    per_fold = L.importance_table(df, run.models, names)
+    per_fold = forests.fold_importances(df, "fold", range(1, 6), "id", "y", names, trees=10, depth=5)
     return rounded(weight_share(fold_mean_with_zeros(per_fold, ["feature"], "weight", 5, "weight"), "feature", "weight"), "share")
 
 

@@ -8,6 +8,10 @@ seed, so the number of jobs depends on the depth alone. Splits of all trees are
 found side by side and go back to the rows by broadcast; a tree of depth d is an
 array of at most 2^d - 1 splits, so their size is bounded by the parameters.
 
+``fold_importances`` grows the forests of all folds together in the same way. Its
+histograms are made in tasks, so no row is written once per tree: a level's pass
+reads the rows and leaves sums by (tree, node, feature, bin).
+
 Features are cut at up to ``bins - 1`` quantiles. A node tries ``tried`` features,
 chosen by a hash of tree, node and feature, and takes the cut with the largest
 decrease of the squared error (ties: the first feature, then the lowest cut).
@@ -15,8 +19,11 @@ decrease of the squared error (ties: the first feature, then the lowest cut).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +169,185 @@ def repeated_forests(
     guesses = predict(rows, row_id, features, splits, cuts, depth, trees).join(rows.select(row_id, F.col(label).cast("double").alias("__y")), row_id)
     rho = evaluate(guesses, "__y", "p", ["spearman"], ["seed"])
     return weights, five_numbers(rho, "spearman")
+
+
+#: Rows of a task that are summed by distinct bins at once, and the most sums of a level that a task may hold.
+ROWS_AT_ONCE, MOST_SUMS = 1 << 18, 1 << 25
+#: Draws of 16 random bits.
+_DRAWS = np.searchsorted(_POISSON, (np.arange(1 << 16) + 0.5) / (1 << 16), "right").astype(float)
+#: Quantiles that a fold's rows are known by while cut points are found.
+_FINE = 1024
+
+
+def drawn_at_once(keys: np.ndarray, four: int) -> np.ndarray:
+    """How often rows count in four trees, one a column: 64-bit keys are mixed with the number of the four (splitmix64) and cut into quarters."""
+    z = keys + np.uint64((four + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return z.view(np.uint16).reshape(-1, 4)
+
+
+def _fold_cuts(rows: DataFrame, folds: Sequence[int], count: int, bins: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Mean and cut points of every feature over each fold's training rows, nulls counting as the mean.
+
+    A fold's rows are summed up by _FINE quantiles; a training set's quantiles are those of its folds' together.
+    """
+    at = [i / _FINE for i in range(1, _FINE + 1)]
+    each = [
+        e for i in range(count) for c in [F.col(f"x{i}")]
+        for e in (F.count(c).alias(f"n{i}"), F.sum(c).alias(f"s{i}"), F.percentile_approx(c, at, 10 * _FINE).alias(f"q{i}"))
+    ]
+    own = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *each).collect()  # one row per fold
+    means, cuts = np.zeros((len(folds), count)), [[np.zeros(0)] * count for _ in folds]
+    for j, k in enumerate(folds):
+        train = [r for r in own if r["fold"] != k]
+        for i in range(count):
+            known = [r for r in train if r[f"n{i}"]]
+            n = sum(r[f"n{i}"] for r in known)
+            means[j, i] = sum(r[f"s{i}"] for r in known) / n if n else 0.0
+            values = np.concatenate([*[r[f"q{i}"] for r in known], [means[j, i]]])
+            weights = np.concatenate([*[np.full(_FINE, r[f"n{i}"] / _FINE) for r in known], [sum(r["n"] for r in train) - n]])
+            values, weights = values[weights > 0], weights[weights > 0]
+            order = np.argsort(values)
+            upto = np.cumsum(weights[order])
+            if len(upto):
+                wanted = np.arange(1, bins) / bins * upto[-1] * (1 - 1e-12)
+                cuts[j][i] = np.unique(values[order][np.searchsorted(upto, wanted)])
+    return means, cuts
+
+
+def _by_bins(fine: Sequence[np.ndarray], sizes: Sequence[int]) -> np.ndarray:
+    """A number for every row, the same for the same bins."""
+    code, size = np.zeros(len(fine[0]), np.int64), 1
+    for b, m in zip(fine, sizes):
+        if size * m >= 1 << 62:
+            code, size = np.unique(code, return_inverse=True)[1].astype(np.int64), len(code)
+        code, size = code * m + b, size * m
+    return code
+
+
+def _histograms(
+    rows: DataFrame, folds: Sequence[int], means: np.ndarray, cuts: Sequence[Sequence[np.ndarray]], trees: int, level: int, splits: dict[tuple[int, int], tuple[int, int]],
+) -> DataFrame:
+    """Draws and sums of labels by (tree, node, feature, bin) of one level; ``splits``: (feature, cut) of (tree, node).
+
+    Rows of equal bins are summed first, tree by tree, and only these sums go down the trees.
+    """
+    count, width = means.shape[1], 1 << level
+    bins = 1 + max((len(c) for own in cuts for c in own), default=0)
+    # A feature is cut at the points of all folds; a fold's bin follows from that. The last one is for nulls.
+    points = [np.unique(np.concatenate([own[i] for own in cuts])) for i in range(count)]
+    own_bin = [[np.concatenate([[0], np.searchsorted(own[i], points[i], "right"), [np.searchsorted(own[i], means[j, i])]]) for i in range(count)] for j, own in enumerate(cuts)]
+    sizes = [len(p) + 2 for p in points]
+    feature = np.full((len(folds) * trees, width), -1)
+    cut = np.zeros((len(folds) * trees, width), int)
+    for (t, node), (f, c) in splits.items():
+        feature[t, node], cut[t, node] = f, c
+
+    def add(found: np.ndarray, keys: np.ndarray, y: np.ndarray, fold: np.ndarray, xs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        fine = [np.where(missing, len(p) + 1, np.searchsorted(p, x)) for p, (x, missing) in zip(points, xs)]
+        code = _by_bins(fine, sizes)
+        order = np.argsort(code)
+        code, keys, y, fold = code[order], keys[order], y[order], fold[order]
+        for j, k in enumerate(folds):
+            train = np.flatnonzero(fold != k)
+            if not len(train):
+                continue
+            own_code, own_keys, own_y = code[train], keys[train], y[train]
+            starts = np.concatenate([[0], np.flatnonzero(own_code[1:] != own_code[:-1]) + 1])
+            first = order[train[starts]]
+            # equal bins of this fold's own cuts, of which there are fewer
+            own = [own_bin[j][i][fine[i][first]] for i in range(count)]
+            _, at, cell = np.unique(_by_bins(own, [bins] * count), return_index=True, return_inverse=True)
+            own = np.stack(own)[:, at]
+            each = np.arange(len(at))
+            for t in range(j * trees, (j + 1) * trees):
+                if t % 4 == 0 or t == j * trees:
+                    random = drawn_at_once(own_keys, t // 4)
+                w = _DRAWS[random[:, t % 4]]
+                n = np.bincount(cell, np.add.reduceat(w, starts))
+                s = np.bincount(cell, np.add.reduceat(w * own_y, starts))
+                node = np.ones(len(at), int)  # 0: in a leaf
+                for _ in range(level):
+                    f = feature[t, node]
+                    node = np.where(f >= 0, 2 * node + (own[f, each] > cut[t, node]), 0)
+                slot = np.where(node > 0, node - width, width) * bins
+                for i in range(count):
+                    found[t, i, 0] += np.bincount(slot + own[i], n, (width + 1) * bins)
+                    found[t, i, 1] += np.bincount(slot + own[i], s, (width + 1) * bins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, n = np.zeros((len(folds) * trees, count, 2, (width + 1) * bins)), [], 0
+
+        def flush() -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            xs = [table.column(3 + i) for i in range(count)]
+            add(found, table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy(), table.column(2).to_numpy(),
+                [(x.fill_null(0.0).to_numpy(), x.is_null().to_numpy()) for x in xs])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= ROWS_AT_ONCE:
+                flush()
+                n = 0
+        if held:
+            flush()
+        found = found[..., : width * bins]
+        t, i, at = np.nonzero(found[:, :, 0])
+        columns = [t, at // bins + width, i, at % bins]
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(c.astype(np.int32)) for c in columns], pa.array(found[t, i, 0, at]), pa.array(found[t, i, 1, at])],
+            names=["tree", "node", "feature", "bin", "n", "s"],
+        )
+
+    sums = rows.mapInArrow(run, "tree int, node int, feature int, bin int, n double, s double")
+    return sums.groupBy("tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def fold_importances(
+    df: DataFrame, fold: str, folds: Sequence[int], row_id: str, label: str, features: Sequence[str], trees: int = 10, depth: int = 5,
+    bins: int = 32, tried: int | None = None, least: int = 1, seed: int = 17,
+) -> DataFrame:
+    """``(fold, feature, weight)``: importances of a regression forest fitted on ``fold <> k`` for every fold k.
+
+    The usual preparation is included: nulls become the training mean, and scaling
+    changes no split. All forests grow together, one pass over the rows a level;
+    folds x trees x 2^depth splits at most reach the driver.
+    """
+    if depth < 1 or trees < 1:
+        raise ValueError("at least one tree of one level")
+    folds, tried = list(folds), tried or max(1, len(features) // 3)
+    if 2 * len(folds) * trees * len(features) * bins << depth - 1 > MOST_SUMS:
+        raise ValueError("too many trees, levels or features for sums in tasks; cross_validate fits such forests one by one")
+    known = df.filter(F.col(label).isNotNull() & F.col(fold).isNotNull())
+    rows = settle(known.select(
+        F.xxhash64(F.lit(seed), F.col(row_id)).alias("key"), F.col(label).cast("double").alias("y"), F.col(fold).alias("fold"),
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+    ))
+    means, cuts = _fold_cuts(rows, folds, len(features), bins)
+    splits: list[tuple] = []
+    for level in range(depth):
+        known_splits = {(r["tree"], r["node"]): (r["feature"], r["cut"]) for r in splits}
+        cells = _histograms(rows, folds, means, cuts, trees, level, known_splits).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = _best(cells, tried, least, seed).collect()
+        finally:
+            cells.unpersist()
+        splits += found
+        if not found:
+            break
+    gain = np.zeros((len(folds) * trees, len(features)))
+    for r in splits:
+        gain[r["tree"], r["feature"]] += r["gain"]
+    whole = gain.sum(axis=1, keepdims=True)
+    # Every tree counts alike; a tree without a split counts nowhere.
+    share = np.divide(gain, whole, out=np.zeros_like(gain), where=whole > 0).reshape(len(folds), trees, -1).sum(axis=1)
+    total = share.sum(axis=1, keepdims=True)
+    weight = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
+    table = [(k, c, float(weight[j, i])) for j, k in enumerate(folds) for i, c in enumerate(features)]
+    return df.sparkSession.createDataFrame(table, "fold int, feature string, weight double")
