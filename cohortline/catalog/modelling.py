@@ -401,7 +401,7 @@ def repeated_forests(spark, sf):
     """Mean importance of demographics for the subject's mean prediction over seeds."""
     subjects = agreement(predictions(spark, sf).filter("Label = 'stress_d' and Model = 'RandomForestRegressor'"), KEYS)
     merged = subjects.join(demographics(spark, sf), "snapshot_id").withColumn("lang", F.col("lang").cast("double"))
-    weights, fit = L.repeated_forests(merged.select("true_mn", "n", "age", "lang"), ["n", "age", "lang"], "true_mn", repeats=5)
+    weights, fit = L.repeated_forests(merged.select("true_mn", "n", "age", "lang"), ["n", "age", "lang"], "true_mn", repeats=1000)
     return rounded(weights.withColumn("rho_median", fit.select("median").scalar()), "importance", "rho_median")
 
 

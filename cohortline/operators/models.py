@@ -26,7 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators import moments
+from cohortline.operators import forests, moments
 from cohortline.operators.ensemble import fold_average
 from cohortline.operators.folds import k_folds, stratified_group_folds
 from cohortline.operators.metrics import evaluate, get_metric
@@ -596,24 +596,27 @@ def balanced_bagging(
 
 
 def repeated_forests(df: DataFrame, features: Sequence[str], label: str, repeats: int = 1000, trees: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Small forests with different seeds: mean importance, and the five numbers of the in-sample rho."""
-    rows = settle(df.dropna(subset=[label, *features]))  # read by all fits, and by their scores afterwards
-    data = VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(rows)
-    held = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = {
-            seed: make_estimator("RandomForestRegressor", label, {"n_estimators": trees, "max_depth": depth, "random_state": seed}).fit(held)
-            for seed in range(1, repeats + 1)
-        }
-    finally:
-        held.unpersist()
-    rho, seeds = None, list(models)
-    for start in range(0, repeats, 50):
-        batch = {k: models[k] for k in seeds[start:start + 50]}
-        part = evaluate(score_side_by_side(data, batch, [label]), label, "p", ["spearman"], ["set"])
-        rho = part if rho is None else rho.unionByName(part)
-    weights = importance_table(df, models, features).withColumnRenamed("weight", "importance")
-    return repeated_importance(weights), five_numbers(rho, "spearman")
+    """Small forests with different seeds: mean importance, and the five numbers of the in-sample rho.
+
+    The forests of all seeds grow together, one aggregation a level, so the number
+    of jobs depends on the depth alone. Rows need no id: equal ones are numbered,
+    so a bootstrap follows from the rows' values and not from their order.
+    """
+    rows = settle(df.dropna(subset=[label, *features]))
+    if rows.isEmpty():
+        raise ValueError("no rows without nulls to grow forests on")
+    cells = [F.col(label).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(features)]]
+    names = [f"__x{i}" for i in range(len(features))]
+    equal = rows.select(*cells).groupBy("__y", *names).agg(F.count(F.lit(1)).alias("__n"))
+    copies = spread(equal.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n"))
+    numbered = forests.settle(copies.withColumn("__row", F.xxhash64("__y", *names, "__copy")).drop("__copy"))
+    tried = len(features) if trees == 1 else -(-len(features) // 3)
+    splits, cuts = forests.grow(numbered, "__row", "__y", names, repeats * trees, depth, tried=tried)
+    own = forests.importances(splits, features, trees)
+    each = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("seed"), F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
+    weights = each.join(own, ["seed", "feature"], "left").na.fill(0.0, ["importance"])  # a forest without a split has none
+    guesses = forests.predict(numbered, "__row", names, splits, cuts, depth, trees).join(numbered.select("__row", "__y"), "__row")
+    return repeated_importance(weights), five_numbers(evaluate(guesses, "__y", "p", ["spearman"], ["seed"]), "spearman")
 
 
 def save_models(models: Mapping[int, PipelineModel], folder: str) -> None:
