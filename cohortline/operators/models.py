@@ -233,6 +233,23 @@ def cross_validate(
     return FoldRun(out, models)
 
 
+#: Values in a partition of rows that are fitted on many times over, and the partitions that small tables keep.
+CELLS_PER_PART, LEAST_PARTS = 1 << 17, 8
+
+
+def _held_by_size(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows persisted for many small jobs, and their partitions: spread, but over no more than they fill."""
+    held = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(LEAST_PARTS, -(-held.count() * len(held.columns) // CELLS_PER_PART))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if parts >= most:
+        return held, most
+    fewer = held.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    fewer.count()
+    held.unpersist()
+    return fewer, parts
+
+
 def cross_validate_each(
     df: DataFrame,
     fold: str,
@@ -242,35 +259,61 @@ def cross_validate_each(
     stages: Sequence[Estimator],
     models: Mapping[str, Mapping[str, object] | None],
     classes: Sequence[str] = (),
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> dict[str, FoldRun]:
-    """``cross_validate`` for several models by name: a fold's preparation is fitted once and its prepared rows serve all of them."""
-    data = spread(df.filter(F.col(label).isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    """``cross_validate`` for several models by name: a fold's preparation is fitted once and its prepared rows serve all of them.
+
+    Models of all folds are fitted side by side; a fold's test rows are prepared
+    once and scored by all of its models in one pass.
+    """
+    data, parts = _held_by_size(df.filter(F.col(label).isNotNull()))
+    ready: dict[int, DataFrame] = {}
 
-    def fit(k: int) -> dict[str, PipelineModel]:
+    def prepare(k: int) -> PipelineModel:
         train = data.filter(F.col(fold) != k)
         prepared = Pipeline(stages=list(stages)).fit(train)
-        ready = prepared.transform(train).select(label, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return {m: PipelineModel([*prepared.stages, make_estimator(m, label, params).fit(ready)]) for m, params in models.items()}
-        finally:
-            ready.unpersist()
+        ready[k] = prepared.transform(train).select(label, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        return prepared
 
+    def fit(job: tuple[int, str]) -> Model:
+        k, m = job
+        return make_estimator(m, label, models[m]).fit(ready[k])
+
+    jobs = [(k, m) for m in models for k in folds]
     try:
-        fitted = dict(zip(folds, _in_parallel(df, fit, folds, parallelism)))
+        prepared = dict(zip(folds, _in_parallel(df, prepare, folds, parallelism)))
+        fitted = dict(zip(jobs, _in_parallel(df, fit, jobs, parallelism)))
+        scored = None
+        for k in folds:
+            test = prepared[k].transform(data.filter(F.col(fold) == k)).select(row_id, label, fold, FEATURES)
+            part, made = _scored_by_each(test, {m: fitted[k, m] for m in models}, bool(classes))
+            scored = part if scored is None else scored.unionByName(part)
+        scored = settle(scored.repartition(parts))  # read by every model's rows
     finally:
-        data.unpersist()
-    source, out = df.filter(F.col(label).isNotNull()), {}
+        for rows in (data, *ready.values()):
+            rows.unpersist()
+    out = {}
     for m in models:
-        rows = None
-        for k in folds:
-            scored = _predict_rows(fitted[k][m], source.filter(F.col(fold) == k))
-            part = prediction_rows(scored, row_id, label, m, classes=classes, extra=[fold])
-            rows = part if rows is None else rows.unionByName(part)
-        out[m] = FoldRun(rows, {k: fitted[k][m] for k in folds})
+        cells = [F.col(m)["p"].alias("prediction"), *([F.col(m)["q"].alias("probability")] if m in made else [])]
+        rows = prediction_rows(scored.select(row_id, label, fold, *cells), row_id, label, m, classes=classes, extra=[fold])
+        out[m] = FoldRun(rows, {k: PipelineModel([*prepared[k].stages, fitted[k, m]]) for k in folds})
     return out
 
 
+def _scored_by_each(rows: DataFrame, models: Mapping[str, Model], probabilities: bool) -> tuple[DataFrame, list[str]]:
+    """Rows with a struct by model (``p``: its prediction, ``q``: its probabilities) instead of features, and the models that have ``q``."""
+    keep, cells, made = [c for c in rows.columns if c != FEATURES], [], []
+    for i, (m, fitted) in enumerate(models.items()):
+        fitted = fitted.copy()
+        own = {"predictionCol": f"__p{i}", "probabilityCol": f"__q{i}", "rawPredictionCol": f"__r{i}"}
+        fitted._set(**{k: v for k, v in own.items() if fitted.hasParam(k)})
+        rows = fitted.transform(rows)
+        if probabilities and f"__q{i}" in rows.columns:
+            made.append(m)
+        cells.append(F.struct(F.col(f"__p{i}").alias("p"), *([F.col(f"__q{i}").alias("q")] if m in made else [])).alias(m))
+    return rows.select(*keep, *cells), made
+
+
 def _in_parallel(df: DataFrame, fn: Callable, items: Sequence, parallelism: int) -> list:
     if parallelism <= 1 or len(items) <= 1:
         return [fn(i) for i in items]
